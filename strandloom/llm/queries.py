@@ -6,25 +6,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import documents
+from strandloom.llm import language_id, quality
 from strandloom.llm.exact_dedup import exact_dedup
+from strandloom.llm.mixing import mix_sources, taken_words
+from strandloom.llm.packing import pack_pow2
+from strandloom.llm.pii import KINDS, find_personal_data, spans_text
 from strandloom.llm.simhash import simhash_components
+from strandloom.llm.topk import exact_topk, quantised, usable
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(mix_sources(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_pow2(documents(spark, sf_dir)).drop("row_id")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, quality.label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.grade_documents(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(spans_text("base").cast("binary"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable("embedding")).select("vec_id", quantised("embedding").alias("vector"))
+    return exact_topk(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(documents(spark, sf_dir), words=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_pack_pow2": op6_pack_pow2,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_personal_data": op8_personal_data,
+    "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES = {
+    "op9_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND vec_id IS NOT NULL),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
