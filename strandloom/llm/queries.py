@@ -12,6 +12,7 @@ from strandloom.llm.mixing import mix_sources, taken_words
 from strandloom.llm.packing import pack_pow2
 from strandloom.llm.pii import KINDS, find_personal_data, spans_text
 from strandloom.llm.simhash import simhash_components
+from strandloom.llm.substring_dedup import substring_dedup
 from strandloom.llm.topk import exact_topk, quantised, usable
 
 
@@ -28,6 +29,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(documents(spark, sf_dir))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["j"] - s["i"])
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["i"].cast("string"), s["j"].cast("string"))), ",")
+    return out.select(
+        "doc_id",
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(gone, F.lit(0)).alias("chars_removed"),
+        F.coalesce(spans, F.lit("")).alias("removed"),
+        F.col("kept_text").alias("text"),
+    )
+
+
 def op6_pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pow2(documents(spark, sf_dir)).drop("row_id")
 
@@ -58,6 +72,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_pack_pow2": op6_pack_pow2,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_personal_data": op8_personal_data,
