@@ -25,6 +25,11 @@ END_ID = 2
 CACHE_WORDS = 400_000
 CHUNK_ROWS = 1 << 18
 _GAP = re.compile(r"[ \t\n\r]+")
+_PLAIN = re.compile("[ \\t\\n\\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \\t\\n\\ra-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# the byte-level alphabet: bytes without a visible sign in Latin-1 are written as U+0100 and up, in order
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(_HIDDEN)}
 
 
 def default_tokenizer() -> str:
@@ -34,27 +39,63 @@ def default_tokenizer() -> str:
 
 
 class WordTokens(dict):
-    """Token ids (little-endian unsigned 32-bit) of words between white space.
-
-    The tokenizer splits at white space and drops it, so a text's ids are those
-    of its words in a row.  The table is emptied when it is full.
+    """Token ids (little-endian unsigned 32-bit) of the runs that a tokenizer merges by themselves.
+
+    The tokenizer drops white space and splits the rest into letters, single
+    digits and other signs.  Texts of ASCII and Latin-1 signs are split here in
+    the same way and each run goes through byte-pair merging once; the table is
+    emptied when full.  Texts with other signs, an apostrophe (contractions) or
+    the start of a special token go word by word, and such words through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
+        self.merge = self.tokenizer.model.tokenize
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words: dict[str, bytes] = {}
+
+    def __missing__(self, run: str) -> bytes:
+        signs = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(_BYTE_SIGNS)
+        of = self.bytes
+        out = b"".join([of[t.id] for t in self.merge(signs)])
         if len(self) >= CACHE_WORDS:
             self.clear()
-        out = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) < 200:
-            self[word] = out
+        if len(run) < 100:
+            self[run] = out
+        return out
+
+    def _whole(self, word: str) -> bytes:
+        out = self.words.get(word)
+        if out is None:
+            of = self.bytes
+            out = b"".join([of[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+            if len(self.words) >= CACHE_WORDS // 4:
+                self.words.clear()
+            if len(word) < 100:
+                self.words[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _GAP.split(text)))
+        if _plain(text):
+            return b"".join(map(self.__getitem__, _RUNS.findall(text.lower())))
+        return b"".join([b"".join(map(self.__getitem__, _RUNS.findall(w.lower()))) if _plain(w) else self._whole(w) for w in _GAP.split(text)])
+
+
+def _plain(text: str) -> bool:
+    return "'" not in text and "<|" not in text and _PLAIN.fullmatch(text) is not None
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One per Python worker and path: a worker keeps its tables from task to task."""
+    import sys
+
+    tables = sys.__dict__.setdefault("_strandloom_word_tokens", {})
+    if path not in tables:
+        tables[path] = WordTokens(path)
+    return tables[path]
 
 
 def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
@@ -64,7 +105,7 @@ def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
 
 def _pieces(path: str, end_id: int, most: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = word_tokens(path)
         end = end_id.to_bytes(4, "little")
         names = ["row_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
         types = [pa.int64()] * 6 + [pa.binary()] * keep_ids
