@@ -168,7 +168,8 @@ def mix_sources(
     slot = slot.mapInPandas(to_blocks, "shard int, s int, slot long, epoch long, block long, limit long")
     low = F.greatest(F.col("at"), F.col("block") * block_words)
     high = F.least(F.col("at") + F.col("size"), F.col("block") * block_words + F.col("limit"))
-    pieces = slot.join(held, ["s", "block"]).select("shard", "slot", "epoch", "row_id", "doc_id", (low - F.col("at")).alias("start"), (high - low).alias("n")).where("n > 0")
+    # no size estimate follows an explode: never broadcast a side
+    pieces = slot.join(held.hint("shuffle_merge"), ["s", "block"]).select("shard", "slot", "epoch", "row_id", "doc_id", (low - F.col("at")).alias("start"), (high - low).alias("n")).where("n > 0")
     return Mix(placed, sources, pieces)
 
 
