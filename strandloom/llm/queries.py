@@ -13,6 +13,7 @@ from strandloom.llm.packing import pack_pow2
 from strandloom.llm.pii import KINDS, find_personal_data, spans_text
 from strandloom.llm.simhash import simhash_components
 from strandloom.llm.substring_dedup import substring_dedup
+from strandloom.llm.suffix_dedup import remove_repeats
 from strandloom.llm.topk import exact_topk, quantised, usable
 
 
@@ -20,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("row_id", "spans")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.identify(docs, language_id.train(docs))
@@ -70,6 +75,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,

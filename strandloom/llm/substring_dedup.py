@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import row_id, save
 
 UNIT_WORDS = 8
+PART = 512
 _END = re.compile(r"[.!?](?=\s)|\n")
 
 
@@ -45,7 +46,7 @@ def units(text: str, unit_words: int = UNIT_WORDS) -> Iterator[tuple[int, int]]:
 
 def _digests(unit_words: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):  # bounds the lists
             ids, docs, starts, ends, digests = [], [], [], [], []
             for rid, doc, t in zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 text = t.as_py() or ""
@@ -78,7 +79,7 @@ def repeated_spans(docs: DataFrame, unit_words: int = UNIT_WORDS, least: int = U
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
         kept = []
         for t, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
             text, at, parts = t.as_py() or "", 0, []
