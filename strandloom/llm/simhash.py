@@ -189,7 +189,7 @@ def near_links(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, ba
     rows = rows.join(blocks, "shard").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
     rows = rows.select("view", "shard", "mine", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("view", "shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp")
-    dealt = rows.repartition(parts, "view", "shard", "i", "j").sortWithinPartitions("view", "shard", "i", "j")
+    dealt = rows.repartition(parts, "view", "shard", "i", "j").sortWithinPartitions("view", "shard", "i", "j", "fp")
     return dealt.mapInArrow(_search(radius), "view int, a long, b long")
 
 
@@ -287,8 +287,10 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     rows = save(src.mapInArrow(scan, "row_id long, doc_id long, fps array<long>, sketch binary"), "near-rows")
-    seen = rows.select("row_id", F.posexplode("fps").alias("view", "fp"))
-    nodes = save(seen.groupBy("view", "fp").agg(F.min("row_id").alias("low")), "near-nodes")
+    seen = rows.select("row_id", "doc_id", F.posexplode("fps").alias("view", "fp"))
+    # of rows with one fingerprint the first by doc_id stands for it, whatever the files' order
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id"))["row_id"]
+    nodes = save(seen.groupBy("view", "fp").agg(first.alias("low")), "near-nodes")
     links = near_links(nodes.select("view", "fp"), radius)
     end = lambda x: nodes.select("view", F.col("fp").alias(x), F.col("low").alias(f"row_{x}"))
     pairs = links.join(end("a"), ["view", "a"]).join(end("b"), ["view", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
