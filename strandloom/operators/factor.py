@@ -222,7 +222,7 @@ class FactorModel:
         if batch_map is not None:
             self.batch, used = fit_batch_effects(obs, batch_map, samples, rounds=20)
             self.note("batch_effects", rounds=used)
-            params = self.batch.withColumn("mu", F.lit(0.0))
+            params = self.batch.join(obs.groupBy("feature_id").agg(F.avg("value").alias("mu")), "feature_id")
             normal = features.where("distribution = 'normal'").select("feature_id")
             obs = remove_batch(obs.join(normal, "feature_id", "left_semi"), batch_map, params).unionByName(obs.join(normal, "feature_id", "left_anti").select("sample_id", "feature_id", "view", "value"))
         self._start(obs, features, seed)
@@ -358,7 +358,7 @@ class FactorModel:
 
     def latent(self, factors: DataFrame | None = None) -> DataFrame:
         """(sample_id, feature_id, view, distribution, z): the forward model without batch terms, as a long table."""
-        f = self.features.assign(y=list(self.y.T))[["feature_id", "view", "distribution", "mu", "logsigma", "y"]]
+        f = self.features.assign(y=[list(map(float, c)) for c in self.y.T])[["feature_id", "view", "distribution", "mu", "logsigma", "y"]]
         src = factors if factors is not None else self.factors
         feats = src.sparkSession.createDataFrame(f)
         dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

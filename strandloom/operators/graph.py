@@ -100,9 +100,9 @@ def _prune(pdf: pd.DataFrame, spared: set[str]) -> pd.DataFrame:
     front = [v for v in near if len(near[v]) < 2 and v not in spared]
     while front:
         v = front.pop()
-        for u in near.pop(v, ()):
+        for u in near.pop(v, set()) - {v}:
             near[u].discard(v)
-            if len(near[u]) < 2 and u not in spared and u != v:
+            if len(near[u]) < 2 and u not in spared:
                 front.append(u)
     return pdf[[a in near and b in near for a, b in zip(pdf["src"], pdf["dst"], strict=True)]]
 

@@ -43,7 +43,7 @@ def stratified_group_split(samples: DataFrame, group: str, label: str, shares: l
     counts: dict[str, dict[str, int]] = {}
     for r in samples.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).orderBy(group, label).collect():
         counts.setdefault(r[0], {})[r[1]] = r["n"]
-    place = samples.sparkSession.createDataFrame(list(assign_groups(counts, shares, seed).items()), samples.select(group).schema.add("split", "int"))
+    place = samples.sparkSession.createDataFrame(list(assign_groups(counts, shares, seed).items()), f"{group} {samples.schema[group].dataType.simpleString()}, split int")
     return samples.join(F.broadcast(place), group)
 
 

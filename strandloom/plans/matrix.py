@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: noise model of each view, for operators that need one
@@ -77,10 +77,18 @@ class Tables:
     @cached_property
     def edges(self) -> DataFrame:
         """pathway_id (part type), pos, src, dst (brands), weight: neighbours by part key of the same type."""
+        return self._edges(F.col("p_type"))
+
+    @cached_property
+    def small_edges(self) -> DataFrame:
+        """The same with a pathway for each type and size: many small, sparse graphs."""
+        return self._edges(F.concat_ws("_", "p_type", F.col("p_size").cast("string")))
+
+    def _edges(self, pathway: Column) -> DataFrame:
         from pyspark.sql import Window
 
-        w = Window.partitionBy("p_type").orderBy("p_partkey")
-        e = self.part.select(F.col("p_type").alias("pathway_id"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("src"), F.lead("p_brand").over(w).alias("dst"), F.when(F.col("p_size") % 3 == 0, -1.0).otherwise(1.0).alias("weight"))
+        w = Window.partitionBy(pathway).orderBy("p_partkey")
+        e = self.part.select(pathway.alias("pathway_id"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("src"), F.lead("p_brand").over(w).alias("dst"), F.when(F.col("p_size") % 3 == 0, -1.0).otherwise(1.0).alias("weight"))
         return e.where(F.col("dst").isNotNull())
 
     @cached_property
@@ -106,8 +114,15 @@ X = """x AS (SELECT sample_id, condition, k, ((sample_id * 7919 + k * 10473 + 17
 Y = """y AS (SELECT feature_id, view, distribution, gene, j, k, ((j * 6101 + k * 3571 + 29) % 1000) / 500.0::DOUBLE - 1 AS v FROM features, range(3) AS t(k))"""
 EDGES = """edges AS (SELECT * FROM (SELECT p_type AS pathway_id, p_partkey AS pos, p_brand AS src,
     lead(p_brand) OVER (PARTITION BY p_type ORDER BY p_partkey) AS dst, CASE WHEN p_size % 3 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS weight FROM part) WHERE dst IS NOT NULL)"""
+SMALL_EDGES = EDGES.replace("edges AS", "small_edges AS").replace("p_type AS", "p_type || '_' || CAST(p_size AS VARCHAR) AS").replace("BY p_type", "BY p_type, p_size")
 MEMBERS = """members AS (SELECT DISTINCT p_type || '_' || CAST(p_size % 10 AS VARCHAR) AS set_id, p_brand AS gene FROM part)"""
 
 
 def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def dense(t: Tables) -> DataFrame:
+    """The embeddings as obs: sample = vec_id, feature = dimension, two views of half the dimensions, condition = label."""
+    long = t.embeddings.select(F.col("vec_id").cast("string").alias("sample_id"), F.col("label").cast("string").alias("condition"), F.posexplode("embedding").alias("d", "value"))
+    return long.select("sample_id", "condition", F.format_string("d%02d", "d").alias("feature_id"), F.when(F.col("d") < 32, "low").otherwise("high").alias("view"), F.col("value").cast("double").alias("value"))

@@ -5,6 +5,7 @@ Floating results are rounded, since engines add in different orders.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import scalars as S
 from strandloom.functions import strings as T
 from strandloom.operators import aggregates as A
+from strandloom.operators import baselines as BL
 from strandloom.operators import batch as B
 from strandloom.operators import evaluate as E
 from strandloom.operators import graph as G
@@ -21,8 +23,10 @@ from strandloom.operators import ordered as O
 from strandloom.operators import priors as P
 from strandloom.operators import reshape as R
 from strandloom.operators import select as L
+from strandloom.operators import simulate as SM
 from strandloom.operators import splits as D
-from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OBS, SAMPLES, X, Y, Tables, ctes
+from strandloom.operators.factor import FactorModel
+from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OBS, SAMPLES, SMALL_EDGES, X, Y, Tables, ctes, dense
 from strandloom.sources import files as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,10 +167,10 @@ def coo_rectangle(t):
     return L.rectangle(t.lineitem.select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("v")), (100, 900), (2, 4))
 
 
-@query("SELECT o_orderkey AS i, l_linenumber AS j, l_quantity AS v FROM orders JOIN lineitem ON l_orderkey = o_custkey WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS i, l_linenumber AS j, l_quantity AS v FROM orders JOIN lineitem ON l_orderkey = o_custkey")
 def row_gather(t):
     coo = t.lineitem.select(F.col("l_orderkey").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("v"))
-    return L.gather(coo, t.orders.where("o_orderkey < 500").select(F.col("o_orderkey").alias("new"), F.col("o_custkey").alias("old")))
+    return L.gather(coo, t.orders.select(F.col("o_orderkey").alias("new"), F.col("o_custkey").alias("old")))
 
 
 @query("SELECT DISTINCT l_orderkey AS i FROM lineitem WHERE l_linenumber = 5")
@@ -231,10 +235,10 @@ def align_left(t):
     return J.align_left(t.features, t.obs.where("value > 45000"), t.samples).select("sample_id", "feature_id", r("value", 4).alias("value"))
 
 
-@query("SELECT p.p_partkey, l.l_orderkey, l.l_linenumber FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_brand || '_' || p.p_type = 'Brand#2_ECONOMY'")
+@query("SELECT p.p_brand || '_' || p.p_type AS name, l.l_orderkey, l.l_linenumber FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey")
 def compound_name_join(t):
-    p = t.part.select("p_partkey", T.compound(F.col("p_brand"), F.col("p_type")).alias("name")).where("name = 'Brand#2_ECONOMY'")
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(p, "p_partkey").select("p_partkey", "l_orderkey", "l_linenumber")
+    p = t.part.select("p_partkey", T.compound(F.col("p_brand"), F.col("p_type")).alias("name"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(p, "p_partkey").select("name", "l_orderkey", "l_linenumber")
 
 
 @query("SELECT DISTINCT o_custkey AS sample_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
@@ -257,11 +261,11 @@ def set_weights(t):
     return J.set_weights(J.feature_sets_by_view(t.members, t.features)).withColumn("weight", r("weight"))
 
 
-@query(ctes(EDGES) + """, n AS (SELECT DISTINCT p_brand AS node FROM part), g AS (SELECT DISTINCT p_type AS pathway_id FROM part),
-    used AS (SELECT pathway_id, src AS node FROM edges WHERE pos % 9 = 0 UNION SELECT pathway_id, dst FROM edges WHERE pos % 9 = 0)
+@query(ctes(SMALL_EDGES) + """, n AS (SELECT DISTINCT p_brand AS node FROM part), g AS (SELECT DISTINCT pathway_id FROM small_edges),
+    used AS (SELECT pathway_id, src AS node FROM small_edges UNION SELECT pathway_id, dst FROM small_edges)
     SELECT pathway_id, node FROM g CROSS JOIN n WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.pathway_id = g.pathway_id AND u.node = n.node)""")
 def anti_nongraph(t):
-    return J.outside_graphs(t.part.select(F.col("p_brand").alias("node")).distinct(), t.edges.where("pos % 9 = 0"), t.part.select(F.col("p_type").alias("pathway_id")).distinct())
+    return J.outside_graphs(t.part.select(F.col("p_brand").alias("node")).distinct(), t.small_edges, t.small_edges.select("pathway_id").distinct())
 
 
 def _batch_query(how):
@@ -403,15 +407,15 @@ def value_counts(t):
     return A.value_counts(t.customer, "c_mktsegment").withColumn("share", r("share"))
 
 
-@query("""SELECT round(avg(CASE WHEN quality = (SELECT quality FROM labels WHERE doc_id % 2 = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
-    FROM labels WHERE doc_id % 2 = 1""")
+@query("""SELECT round(avg(CASE WHEN quality = (SELECT quality FROM labels WHERE toxic = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+    FROM labels""")
 def mode_baseline(t):
-    return A.mode_accuracy(t.labels.where("doc_id % 2 = 0"), t.labels.where("doc_id % 2 = 1"), "quality").select(r("accuracy").alias("accuracy"))
+    return A.mode_accuracy(t.labels.where("toxic = 0"), t.labels, "quality").select(r("accuracy").alias("accuracy"))
 
 
-@query("SELECT round(avg(pow(value - (SELECT avg(value) FROM events WHERE event_id % 2 = 0), 2)), 4) AS mse FROM events WHERE event_id % 2 = 1")
+@query("SELECT round(avg(pow(value - (SELECT avg(value) FROM events WHERE event_type = 'click'), 2)), 4) AS mse FROM events")
 def mean_baseline(t):
-    return A.mean_baseline_mse(t.events.where("event_id % 2 = 0"), t.events.where("event_id % 2 = 1"), "value").select(r("mse", 4).alias("mse"))
+    return A.mean_baseline_mse(t.events.where("event_type = 'click'"), t.events, "value").select(r("mse", 4).alias("mse"))
 
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
@@ -485,14 +489,14 @@ def weighted_scores(t):
     return A.weighted_mean(t.lineitem.select("l_returnflag", F.col("l_discount").alias("score"), F.col("l_quantity").alias("size")), "l_returnflag").withColumn("score", r("score"))
 
 
-_TF = "(SELECT l_returnflag, l_quantity AS t, l_extendedprice / 1500 AS f FROM lineitem WHERE l_orderkey % 5 = 0)"
+_TF = "(SELECT l_returnflag, l_quantity AS t, l_extendedprice / 1500 AS f FROM lineitem)"
 
 
 @query(f"""WITH d AS (SELECT *, avg(t) OVER (PARTITION BY l_returnflag) AS mt, rank() OVER (PARTITION BY l_returnflag ORDER BY t) + (count(*) OVER (PARTITION BY l_returnflag, t) - 1) / 2.0 AS rt,
     rank() OVER (PARTITION BY l_returnflag ORDER BY f) + (count(*) OVER (PARTITION BY l_returnflag, f) - 1) / 2.0 AS rf FROM {_TF})
     SELECT l_returnflag, round(1 - sum(pow(t - f, 2)) / sum(pow(t - mt, 2)), 6) AS r2, round(corr(t, f), 6) AS pearson, round(corr(rt, rf), 6) AS spearman FROM d GROUP BY 1""")
 def r2_pearson_spearman(t):
-    d = t.lineitem.where("l_orderkey % 5 = 0").select("l_returnflag", F.col("l_quantity").alias("t"), (F.col("l_extendedprice") / 1500).alias("f"))
+    d = t.lineitem.select("l_returnflag", F.col("l_quantity").alias("t"), (F.col("l_extendedprice") / 1500).alias("f"))
     return A.recovery(d, "l_returnflag").select("l_returnflag", r("r2").alias("r2"), r("pearson").alias("pearson"), r("spearman").alias("spearman"))
 
 
@@ -609,14 +613,14 @@ def edge_dedup_latest(t):
     return G.undirected(t.edges, "pathway_id")
 
 
-@query("""WITH h AS (SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'fit_start' WHEN event_type IN ('click', 'view', 'purchase') THEN 'fit_step' ELSE event_type END AS name FROM events WHERE event_id < 600),
+@query("""WITH h AS (SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'fit_start' WHEN event_type IN ('click', 'view', 'purchase') THEN 'fit_step' ELSE event_type END AS name FROM events),
     m AS (SELECT *, sum(CASE WHEN name = 'fit_start' OR name NOT LIKE 'fit%' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS run, sum(CASE WHEN name = 'fit_start' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS fit FROM h),
     f AS (SELECT *, first_value(name) OVER (PARTITION BY run ORDER BY event_id) AS opener FROM m)
     SELECT event_id, name, CAST(fit AS BIGINT) AS fit FROM f WHERE opener = 'fit_start'""")
 def history_segments(t):
     e, c = F.col("event_type"), F.col("event_id")
     name = F.when((e == "click") & (c % 4 == 0), "fit_start").when(e.isin("click", "view", "purchase"), "fit_step").otherwise(e)
-    return O.history_segments(t.events.where("event_id < 600").select("event_id", name.alias("name")), "event_id", "name", "fit_start", "fit")
+    return O.history_segments(t.events.select("event_id", name.alias("name")), "event_id", "name", "fit_start", "fit")
 
 
 # ---------------------------------------------------------------- scalars, strings, shapes
@@ -736,9 +740,9 @@ def path_kvs(t):
     return t.pages.select("page_id", F.inline(T.path_pairs(p)))
 
 
-@query("SELECT l_orderkey, l_linenumber, printf('%.2f_%.2f', l_discount, l_tax) AS label FROM lineitem WHERE l_orderkey < 3000")
+@query("SELECT l_orderkey, l_linenumber, printf('%.2f_%.2f', l_discount, l_tax) AS label FROM lineitem")
 def corruption_label(t):
-    return t.lineitem.where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", T.corruption_label(F.col("l_discount"), F.col("l_tax")).alias("label"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", T.corruption_label(F.col("l_discount"), F.col("l_tax")).alias("label"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type || '_' || p_partkey ELSE p_brand END AS label FROM part")
@@ -836,7 +840,7 @@ def laplacian_quadratic(t):
 
 @query()
 def prune_leaves(t):
-    return G.prune_leaves(t.edges.where("pos % 5 = 0"), ["Brand#1"])
+    return G.prune_leaves(t.small_edges, ["Brand#1"])
 
 
 @query(ctes(MEMBERS) + """, s AS (SELECT set_id, count(*) AS n FROM members GROUP BY 1), b AS (SELECT l.set_id AS a, m.set_id AS b, count(*) AS k FROM members l JOIN members m ON l.gene = m.gene AND l.set_id < m.set_id GROUP BY ALL)
@@ -853,7 +857,7 @@ def rank_cover(t):
 
 @query()
 def network_penalty(t):
-    x = t.part.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("node")).agg((F.count(F.lit(1)) / 50).alias("x"))
+    x = t.part.groupBy(F.col("p_brand").alias("node")).agg((F.count(F.lit(1)) / 50).alias("x"))
     return G.network_penalty(t.edges, x.where("node <> 'Brand#3'"), 0.1)
 
 
@@ -899,10 +903,11 @@ def penalties(t):
     return P.l2(y, w).toDF("l2").crossJoin(P.l1(y, w).toDF("l1")).crossJoin(P.ard(y).toDF("ard")).select(r("l2").alias("l2"), r("l1").alias("l1"), r("ard", 4).alias("ard"))
 
 
-@query(ctes(CELLS, FEATURES, Y, _W, EDGES) + """, used AS (SELECT CAST(pos % 3 AS INTEGER) AS k, src AS gene FROM edges WHERE pos < 40 UNION SELECT CAST(pos % 3 AS INTEGER), dst FROM edges WHERE pos < 40)
+@query(ctes(CELLS, FEATURES, Y, _W) + """, used AS (SELECT DISTINCT p_size - 1 AS k, p_brand AS gene FROM part)
     SELECT round(sum(w * abs(v)), 6) AS loss FROM y JOIN w USING (k) WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.k = y.k AND u.gene = y.gene)""")
 def selective_l1(t):
-    e = t.edges.where("pos < 40").select((F.col("pos") % 3).cast("int").alias("pathway_id"), "src", "dst")
+    # the graph of factor k holds the brands of parts of size k + 1
+    e = t.part.select((F.col("p_size") - 1).alias("pathway_id"), F.col("p_brand").alias("src"), F.col("p_brand").alias("dst"))
     graphs = t.spark.createDataFrame([(0,), (1,), (2,)], "pathway_id int")
     out = J.outside_graphs(t.features.select(F.col("gene").alias("node")).distinct(), e, graphs)
     mask = out.join(t.features, F.col("node") == F.col("gene")).select(F.col("pathway_id").alias("k"), "feature_id")
@@ -1057,3 +1062,134 @@ def variable_feature_sets(t):
     top = L.top_variance(t.obs, 0.23).select("feature_id", "view")
     sets = J.feature_sets_by_view(t.members, top.withColumn("gene", F.split("feature_id", "_")[0]))
     return J.set_weights(sets).withColumn("weight", r("weight"))
+
+
+# ---------------------------------------------------------------- fits, simulation, baselines (no SQL form)
+
+
+def _study(t):
+    """obs, samples and features of the dense matrix."""
+    d = dense(t)
+    return d, d.select("sample_id", "condition").distinct(), d.select("feature_id", "view", F.lit("normal").alias("distribution")).distinct()
+
+
+def _checkpointed(t):
+    if t.spark.sparkContext.getCheckpointDir() is None:
+        t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
+
+
+def _fitted(t, prior="l2", sets=None, epochs=4, outer=2):
+    _checkpointed(t)
+    obs, samples, features = _study(t)
+    return FactorModel(4, prior=prior, ridge=0.1).fit(obs, samples, features, sets=sets, epochs=epochs, outer=outer)
+
+
+@query()
+def fit_history(t):
+    m = _fitted(t)
+    return t.spark.createDataFrame([(h["epoch"], h["total_loss"]) for h in m.history if h["name"] == "epoch"], "epoch int, total_loss double")
+
+
+@query()
+def fit_ard(t):
+    m = _fitted(t, "ard")
+    return t.spark.createDataFrame([(k, float(v)) for k, v in enumerate((m.y**2).sum(axis=1))], "k int, ssq double")
+
+
+@query()
+def fit_feature_sets(t):
+    _, _, features = _study(t)
+    sets = features.withColumn("set_id", F.concat(F.col("view"), (F.substring("feature_id", 2, 2).cast("int") % 6).cast("string")))
+    return _fitted(t, "fsard", J.set_weights(sets.select("view", "set_id", "feature_id"))).interpret(t.spark)
+
+
+@query()
+def transform_new_samples(t):
+    return _fitted(t).transform(dense(t))
+
+
+@query()
+def impute_model(t):
+    return _fitted(t, epochs=2).impute()
+
+
+@query()
+def batch_effects_fit(t):
+    _checkpointed(t)
+    o = t.obs.select("sample_id", "feature_id", "view", (F.col("value") / 10000).alias("value"))
+    return B.fit_batch_effects(o, t.batch_map, t.samples, rounds=6)[0]
+
+
+@query()
+def pca_components(t):
+    out = BL.pca_baseline(dense(t), 3)
+    rows = [(int(k), f, float(v)) for k, row in enumerate(out["y"]) for f, v in zip(out["ids"], row, strict=True) if v]
+    return t.spark.createDataFrame(rows, "k int, feature_id string, v double")
+
+
+@query()
+def linear_transform(t):
+    out = BL.pca_baseline(dense(t), 2)
+    return BL.linear_transform(BL.wide_rows(A.standardise(dense(t), out["params"]), out["ids"]), out["y"])
+
+
+@query()
+def span_similarity(t):
+    a, b = (E.long_to_array(t.y(k).where("v <> 0"), "feature_id", k) for k in (3, 4))
+    cos = E.squared_cosines(a, b)
+    return t.spark.createDataFrame([(E.span_similarity(a, b), E.best_match(cos))], "span double, match double")
+
+
+@query()
+def factor_assignment(t):
+    a, b = (E.long_to_array(t.y(k), "feature_id", k) for k in (3, 4))
+    return t.spark.createDataFrame(J.assignment(E.squared_cosines(a, b)), "i int, j int")
+
+
+@query()
+def stratified_group_split(t):
+    s = t.customer.select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_nationkey").alias("batch"), "c_mktsegment")
+    return D.stratified_group_split(s, "batch", "c_mktsegment", [0.75, 0.25], seed=1)
+
+
+@query()
+def rewired_graph(t):
+    return G.rewire(t.edges, seed=1)
+
+
+@query()
+def corrupted_graph(t):
+    return G.corrupt_nodes(t.edges, [f"Extra#{i}" for i in range(40)], 0.2, 0.2, seed=1)
+
+
+@query()
+def simulated_obs(t):
+    f = SM.column_values(t.features.select("feature_id", "view", "distribution"), 3, seed=3)
+    return SM.simulate_data(SM.factor_values(t.samples, "sample_id", 3, 1), SM.factor_values(t.features, "feature_id", 3, 2), f, seed=4)
+
+
+@query()
+def corrupted_sets(t):
+    return SM.corrupt_sets(J.feature_sets_by_view(t.members, t.features), t.features, 0.2, 0.2, seed=1)
+
+
+@query()
+def random_sample(t):
+    return D.sample_rows(t.customer.select("c_custkey", F.greatest("c_acctbal", F.lit(1.0)).alias("w")), 50, "c_custkey", seed=2, weight="w")
+
+
+@query(ctes(OBS, FEATURES, MEMBERS) + """, s AS (SELECT DISTINCT set_id, feature_id FROM members JOIN features USING (gene) WHERE view = 'A'),
+    k AS (SELECT sample_id, feature_id, (rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0 - (count(*) OVER (PARTITION BY sample_id) + 1) / 2.0) / count(*) OVER (PARTITION BY sample_id) AS r FROM obs)
+    SELECT sample_id, set_id, round(avg(r), 6) + 0.0::DOUBLE AS score FROM k JOIN s USING (feature_id) GROUP BY ALL""")
+def sample_set_scores(t):
+    s = J.feature_sets_by_view(t.members, t.features).where("view = 'A'")
+    return BL.sample_rank_scores(t.obs, s).withColumn("score", r("score") + 0.0)
+
+
+@query()
+def forest_predictions(t):
+    from pyspark.ml.functions import array_to_vector
+
+    d = t.embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
+    model = BL.random_forest(t.spark, d, "label", trees=30)
+    return model.transform(d).select("vec_id", "label", "prediction")

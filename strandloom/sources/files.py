@@ -27,9 +27,12 @@ def name_sif(edges: DataFrame, names: DataFrame) -> DataFrame:
     return numbered.join(names.select(F.col("id").cast("string").alias("id"), "name"), "id", "left").select(F.coalesce("name", "id").alias("name"), "src", "itype", "dst")
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """(name, pos, src, itype, dst) of a JSON object with parallel arrays ``names`` and ``pathways``."""
-    raw = spark.read.json(path, multiLine=True, schema="names ARRAY<STRING>, pathways ARRAY<ARRAY<ARRAY<STRING>>>")
+def read_collection(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(name, pos, src, itype, dst) of a JSON object with parallel arrays ``names`` and ``pathways``.
+
+    ``lines``: an object on each line, as :func:`write_collection` writes them.
+    """
+    raw = spark.read.json(path, multiLine=not lines, schema="names ARRAY<STRING>, pathways ARRAY<ARRAY<ARRAY<STRING>>>")
     named = raw.select(F.inline(F.arrays_zip("names", "pathways")))
     return named.select(F.col("names").alias("name"), F.posexplode("pathways").alias("pos", "e")).select("name", "pos", F.col("e")[0].alias("src"), F.col("e")[1].alias("itype"), F.col("e")[2].alias("dst"))
 
