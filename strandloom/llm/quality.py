@@ -27,38 +27,55 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 6000
-CACHE_WORDS = 200_000
-BEGINNINGS = (3, 4, 5)
+CACHE_WORDS = 400_000
+BEGINNINGS = (3, 5)
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
+_OUTER = re.compile(r"\A[\W_]+|[\W_]+\Z")
 _KIND = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "0"))
 
 
 def shape(word: str) -> str:
+    """Letters of a run as ``A`` (all capital) or ``a``, digits as ``0``; runs of one sign joined."""
+    if word.isalpha():
+        return "A" if word.isupper() else "a"
+    if word[:-1].isalpha():
+        return ("A" if word[:-1].isupper() else "a") + ("0" if word[-1].isdecimal() else word[-1])
     for pattern, by in _KIND:
         word = pattern.sub(by, word)
     return _RUN.sub(r"\1", word)[:12]
 
 
 class Hashed(dict):
-    """word -> (buckets of the word and its beginnings, bucket of its shape); emptied when full."""
+    """word -> (buckets of the word and its beginnings, bucket of its shape); emptied when full.
+
+    With ``weights``, buckets of words without a weight are left out.
+    """
+
+    def __init__(self, weights: np.ndarray | None = None) -> None:
+        self.used = None if weights is None else set(np.flatnonzero(weights).tolist())
 
     def __missing__(self, word: str) -> tuple[tuple[int, ...], int]:
+        low = word.lower()
+        bare = low if low.isalpha() else _OUTER.sub("", low) if not low[:-1].isalpha() else low[:-1]
+        digest = xxhash.xxh3_64_intdigest
+        buckets = [digest(bare[:n], n) % BUCKETS for n in BEGINNINGS if len(bare) > n]
+        buckets.append(digest(bare, 1) % BUCKETS)
+        if self.used is not None:
+            buckets = [i for i in buckets if i in self.used]
         if len(self) >= CACHE_WORDS:
             self.clear()
-        bare = re.sub(r"^[\W_]+|[\W_]+$", "", word.lower())
-        bucket = lambda s: xxhash.xxh64_intdigest(s, 3) % BUCKETS
-        out = (tuple(bucket("p" + bare[:n]) for n in BEGINNINGS if len(bare) > n) + (bucket("w" + bare),), bucket("s" + shape(word)))
-        self[word] = out
+        out = self[word] = (tuple(buckets), digest(shape(word), 2) % BUCKETS)
         return out
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets and their values."""
         words = Counter((text or "").split())
-        total, seen, shapes = sum(words.values()), set(), Counter()
+        total, seen, shapes = sum(words.values()), set(), {}
         for word, n in words.items():
-            w, s = self[word]
-            seen.update(w)
-            shapes[s] += n
+            buckets, s = self[word]
+            if buckets:
+                seen.update(buckets)
+            shapes[s] = shapes.get(s, 0) + n
         out = dict.fromkeys(seen, 1.0)
         for s, n in shapes.items():
             out[s] = out.get(s, 0.0) + 4.0 * n / total
@@ -89,9 +106,11 @@ def fit_ordinal(index: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np
     n, top = len(grade), int(grade.max(initial=0))
     if not top:
         return Ordinal(np.zeros(buckets, np.float32), np.full(0, 0.0))
-    used, at, count = np.unique(index, return_inverse=True, return_counts=True)
-    common = (count > 2)[at]
-    at, value, row = at[common], value[common], row[common]
+    count = np.bincount(index, minlength=buckets)
+    used, common = np.flatnonzero(count > 2), (count > 2)[index]
+    place = np.zeros(buckets, np.int32)
+    place[used] = np.arange(len(used))
+    at, value, row = place[index[common]], value[common], row[common].astype(np.int32)
     w, free = np.zeros(len(used)), np.concatenate(([0.0], np.zeros(top - 1)))
     m, v = np.zeros(len(used) + top), np.zeros(len(used) + top)
     for step in range(1, steps + 1):
@@ -158,7 +177,8 @@ def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None
     g = (at_least or len(thresholds)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, w = Hashed(), weights.value
+        w = weights.value
+        hashed = Hashed(w)
         for b in batches:
             score = np.zeros(b.num_rows)
             for k, t in enumerate(b.column("text")):
