@@ -198,14 +198,15 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
     Texts (and n_chars, if there) change where a pass doesn't take all words.
     """
-    taken = mix.pieces.groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("stretches"))
-    rows = docs.withColumn("__row_id", row_id()).join(taken.withColumnRenamed("row_id", "__row_id"), "__row_id").drop("__row_id", "epoch")
+    taken = mix.pieces.groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("__stretches"))
+    taken = taken.select(F.col("row_id").alias("__row_id"), "__stretches")
+    rows = docs.withColumn("__row_id", row_id()).join(taken, "__row_id").drop("__row_id")
     kept = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, stretches in zip(b.column("text"), b.column("stretches").to_pylist(), strict=True):
+            for text, stretches in zip(b.column("text"), b.column("__stretches").to_pylist(), strict=True):
                 runs: list[tuple[int, int]] = []
                 for x in stretches:
                     if runs and runs[-1][1] == x["start"]:

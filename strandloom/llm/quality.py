@@ -165,15 +165,15 @@ def train(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> Ordina
     return fit_ordinal(np.concatenate(index), np.concatenate([np.frombuffer(r["v"], np.float32) for r in got]), row, np.array([r["grade"] for r in got]))
 
 
-def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None, sure: float = 0.5) -> DataFrame:
+def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None, sure: float = 0.5, names: tuple[str, str, str] = ("expected_grade", "tail", "keep")) -> DataFrame:
     """``docs`` with expected_grade, tail (P(grade >= at_least), default the top grade) and keep (tail >= sure).
 
-    The new columns replace columns of these names.  Null and empty texts have
+    The new columns, called ``names``, replace columns of these names.  Null and empty texts have
     no features: their score is 0.  Without any rating above 0 to learn from,
     expected_grade is 0, tail 1 and every document is kept.
     """
     weights, thresholds = docs.sparkSession.sparkContext.broadcast(model.weights), model.thresholds
-    kept = [c for c in docs.columns if c not in ("expected_grade", "tail", "keep")]
+    kept = [c for c in docs.columns if c not in names]
     g = (at_least or len(thresholds)) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +187,10 @@ def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None
             tails = Ordinal(w, thresholds).tails(score)
             tail = tails[:, g] if len(thresholds) else np.ones(len(score))
             new = [pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= sure)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + new, [*kept, "expected_grade", "tail", "keep"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + new, [*kept, *names])
 
     src = docs.select(*kept)
-    schema = StructType([*src.schema, StructField("expected_grade", DoubleType()), StructField("tail", DoubleType()), StructField("keep", BooleanType())])
+    schema = StructType([*src.schema, *(StructField(n, t()) for n, t in zip(names, (DoubleType, DoubleType, BooleanType), strict=True))])
     return src.mapInArrow(run, schema)
 
 
