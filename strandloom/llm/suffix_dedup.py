@@ -341,16 +341,22 @@ def _rows(pdf: pd.DataFrame) -> Iterator[tuple[dict, bytes, np.ndarray]]:
 
 
 def _counted_keys(pdf: pd.DataFrame, least: int) -> tuple[list, np.ndarray]:
-    """Per row what :func:`_open_windows` gives with the window hashes, and all hashes of the shard."""
+    """Per row what :func:`_open_windows` gives, and the hashes of all strings to be counted, in order."""
     info, keys = [], [np.zeros(0, np.uint64)]
     for r, text, anchors in _rows(pdf):
         sure, count = _open_windows(text, anchors, r, least)
-        h = [_window_hash(np.frombuffer(text[i : j + least], np.uint8), least) for i, j in count]
-        info.append((r, text, anchors, sure, count, h))
-        keys += h
+        keys += [_window_hash(np.frombuffer(text[i : j + least], np.uint8), least) for i, j in count]
+        info.append((r, text, anchors, sure, count))
     return info, np.concatenate(keys)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each x is in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def remove_repeats(docs: DataFrame, least: int = LEAST, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per document: row_id, doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
@@ -396,7 +402,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, hot_rows: int = HOT_ROWS
         keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
         k, n = np.unique(np.concatenate(keys), return_counts=True)
         again = k[n > 1]
-        return pd.DataFrame({"shard": pdf["shard"], "keys": [own[np.frombuffer(s, bool) | np.isin(own, again, assume_unique=True)].tobytes() for own, s in zip(keys, pdf["several"], strict=True)]})
+        return pd.DataFrame({"shard": pdf["shard"], "keys": [own[np.frombuffer(s, bool) | _among(own, again)].tobytes() for own, s in zip(keys, pdf["several"], strict=True)]})
 
     asked = sharded.where(F.exists("verdicts", lambda v: v["emit"] > 0) | (F.size("hot") > 0))
     sent = save(asked.groupBy("shard").applyInPandas(send, "shard long, bucket long, keys binary, several binary"), "suffix-sent")
@@ -404,23 +410,26 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, hot_rows: int = HOT_ROWS
 
     def cover(key: tuple, pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         again = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in replies["keys"])]))
-        out = []
-        for r, text, anchors, sure, count, hashes in _counted_keys(pdf, least)[0]:
+        info, keys = _counted_keys(pdf, least)
+        repeated, at, out = _among(keys, again), 0, []
+        for r, text, anchors, sure, count in info:
             n = len(text)
-            edge = np.zeros(n + 1, np.int64)
+            edge = np.zeros(n + 1, np.int32)
             for i, j in sure:
                 edge[i] += 1
                 edge[j + least] -= 1
-            hit = [np.flatnonzero(np.isin(h, again)) + i for (i, _), h in zip(count, hashes, strict=True)]
+            hit = []
+            for i, j in count:
+                hit.append(np.flatnonzero(repeated[at : at + j - i + 1]) + i)
+                at += j - i + 1
             if bare := bare_windows(n, anchors, least):
-                known = np.array([int(k) & (1 << 64) - 1 for k in r["keys"]], np.uint64)
-                hit += [np.flatnonzero(np.isin(_bare_key(_window_hash(np.frombuffer(text[i : j + least], np.uint8), least)), known)) + i for i, j in bare]
+                known = np.sort(np.array(r["keys"], np.int64).view(np.uint64))
+                hit += [np.flatnonzero(_among(_bare_key(_window_hash(np.frombuffer(text[i : j + least], np.uint8), least)), known)) + i for i, j in bare]
             for p in hit:
-                np.add.at(edge, p, 1)
-                np.add.at(edge, p + least, -1)
+                edge[p] += 1
+                edge[p + least] -= 1
             gone = np.cumsum(edge[:-1]) > 0
-            turn = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-            spans = turn.reshape(-1, 2)
+            spans = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             out.append((r["row_id"], int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), [{"i": int(i), "j": int(j)} for i, j in spans]))
         return pd.DataFrame(out, columns=["row_id", "n_removed", "n_spans", "kept_sha256", "spans"])
