@@ -96,7 +96,7 @@ class Ordinal:
         return _sigmoid(score[:, None] - self.thresholds)
 
 
-def fit_ordinal(index: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarray, buckets: int = BUCKETS, steps: int = 200, rate: float = 0.05, sparse: float = 4e-4) -> Ordinal:
+def fit_ordinal(index: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarray, buckets: int = BUCKETS, steps: int = 200, rate: float = 0.1, sparse: float = 4e-4) -> Ordinal:
     """Full-batch proximal Adam on the mean negative log-likelihood plus sparse |w|_1.
 
     index, value, row: the features in coordinate form.  Buckets on one or two
@@ -111,7 +111,10 @@ def fit_ordinal(index: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np
     place = np.zeros(buckets, np.int32)
     place[used] = np.arange(len(used))
     at, value, row = place[index[common]], value[common], row[common].astype(np.int32)
-    w, free = np.zeros(len(used)), np.concatenate(([0.0], np.zeros(top - 1)))
+    # thresholds start at the grades' own odds, so that only telling features get weights
+    share = np.clip([(grade >= g).mean() for g in range(1, top + 1)], 1e-3, 1 - 1e-3)
+    odds = np.log(1 / share - 1)
+    w, free = np.zeros(len(used)), np.concatenate((odds[:1], np.log(np.maximum(np.diff(odds), 0.1))))
     m, v = np.zeros(len(used) + top), np.zeros(len(used) + top)
     for step in range(1, steps + 1):
         score = np.bincount(row, value * w[at], n)
