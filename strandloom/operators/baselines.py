@@ -28,6 +28,7 @@ def pca(rows: DataFrame, n: int, k: int, rounds: int = 10, tolerance: float = 1e
     Expectation-maximisation: a round fills each row's gaps from its own least
     squares scores and adds up the n x n second moments; the driver decomposes.
     """
+    rows = rows.persist()  # each round reads them again
     y = np.zeros((0, n))
     share, last = np.zeros(k), np.inf
     for _ in range(rounds):
@@ -55,6 +56,7 @@ def pca(rows: DataFrame, n: int, k: int, rounds: int = 10, tolerance: float = 1e
         if abs(last - share.sum()) < tolerance:
             break
         last = share.sum()
+    rows.unpersist()
     return y, share
 
 

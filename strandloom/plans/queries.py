@@ -389,12 +389,12 @@ def gamma_moments(t):
 
 
 @query("""SELECT op, event_type, d, round(v, 4) AS v FROM (
-    SELECT 'mean' AS op, event_type, CAST(ts AS DATE) AS d, avg(value) AS v FROM events GROUP BY ALL UNION ALL
-    SELECT 'std', event_type, CAST(ts AS DATE), stddev_samp(value) FROM events GROUP BY ALL UNION ALL
-    SELECT 'median', event_type, CAST(ts AS DATE), median(value) FROM events GROUP BY ALL UNION ALL
+    SELECT 'mean' AS op, event_type, CAST(ts AS DATE) AS d, avg(value / 1.37) AS v FROM events GROUP BY ALL UNION ALL
+    SELECT 'std', event_type, CAST(ts AS DATE), stddev_samp(value / 1.37) FROM events GROUP BY ALL UNION ALL
+    SELECT 'median', event_type, CAST(ts AS DATE), median(value / 1.37) FROM events GROUP BY ALL UNION ALL
     SELECT 'count', event_type, CAST(ts AS DATE), CAST(count(value) AS DOUBLE) FROM events GROUP BY ALL)""")
 def replicate_agg(t):
-    e = t.events.select("event_type", F.to_date("ts").alias("d"), "user_id", "value")
+    e = t.events.select("event_type", F.to_date("ts").alias("d"), "user_id", (F.col("value") / 1.37).alias("value"))
     out = None
     for op in ("mean", "std", "median", "count"):
         one = A.replicate_aggregate(e, ["user_id"], "value", op).select(F.lit(op).alias("op"), "event_type", "d", r(F.col("value").cast("double"), 4).alias("v"))
