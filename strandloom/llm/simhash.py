@@ -13,6 +13,7 @@ it found, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -218,9 +219,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def word_fingerprints(words: list[bytes], views: int) -> list[int]:
-    """``views`` independent SimHashes of the set of words, signed."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+def word_fingerprints(h: np.ndarray, views: int) -> list[int]:
+    """``views`` independent SimHashes of a set of word hashes, signed."""
     out = []
     with np.errstate(over="ignore"):
         for v in range(views):
@@ -234,71 +234,182 @@ def word_fingerprints(words: list[bytes], views: int) -> list[int]:
     return out
 
 
-def sketch(text: str | None, words: int, size: int) -> tuple[list[bytes], np.ndarray]:
-    """The set of words, and the ``size`` smallest 32-bit hashes of the ``words``-word shingles."""
+def shingle_set(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the set of words, and of the set of ``words``-word shingles (fewer words: the whole sequence)."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return [], np.zeros(0, np.uint32)
-    each = np.array([xxhash.xxh32_intdigest(w) for w in parts], np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     k = min(words, len(parts))
     with np.errstate(over="ignore"):
-        h = np.zeros(len(parts) - k + 1, np.uint64)
+        h = np.full(len(parts) - k + 1, k, np.uint64)
         for i in range(k):
             h = (h ^ each[i : len(parts) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
-    return sorted(set(parts)), np.unique((h & np.uint64(0xFFFFFFFF)).astype(np.uint32))[:size]
+    return np.unique(each), np.unique(h)
 
 
-def resemblance(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    """Jaccard similarity of two shingle sets from their bottom sketches (exact for sets of up to ``size``)."""
-    union = np.union1d(a, b)[:size]
-    if not len(union):
-        return 1.0
-    both = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
-    return float(both.mean())
+def least_overlap(n: int, m: int, similarity: float) -> int:
+    """Shingles that sets of ``n`` and ``m`` share at the least if their Jaccard similarity reaches ``similarity``."""
+    return math.ceil(similarity / (1 + similarity) * (n + m) - 1e-6)
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 6, radius: int = 4, size: int = 256, margin: float = 0.03
-) -> DataFrame:
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in an order that all sets share, so many that two near sets have one in common.
+
+    Common shingles (``common``, sorted, with ``counts``) come last, the
+    commonest at the very end.  Any one order gives the same links; only the
+    work differs.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        shingles = shingles[np.lexsort((shingles, np.where(common[at] == shingles, counts[at], 0)))]
+    return shingles[: n - math.ceil(similarity * n - 1e-6) + 1]
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, n: int, m: int, similarity: float) -> bool:
+    """False only if two sets of ``n`` and ``m`` shingles with bottom sketches ``a`` and ``b`` can't reach ``similarity``.
+
+    Up to the smaller end of two cut sketches all shingles are known; what one
+    set lacks there it lacks for sure.
+    """
+    need = least_overlap(n, m, similarity)
+    if need > min(n, m):
+        return False
+    ends = [x[-1] for x, size in ((a, n), (b, m)) if len(x) and len(x) < size]
+    if ends:
+        a, b = a[a <= min(ends)], b[b <= min(ends)]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return len(a) - both <= n - need and len(b) - both <= m - need
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets (1 if both are empty)."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return both / union if union else 1.0
+
+
+def common_shingles(src: DataFrame, words: int, sampled: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in three or more of about ``sampled`` rows, sorted, and their counts; only the order of prefixes hangs on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words)[1].view(np.int64))], ["key"])
+
+    step = max(1, src.count() // sampled)
+    some = src.where(F.pmod(F.xxhash64("row_id", F.lit(11)), F.lit(step)) == 0)
+    rows = some.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys, counts = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 6, radius: int = 4, size: int = 256) -> DataFrame:
     """One row per input row: row_id, doc_id, component_id, first (as in :func:`simhash_components`).
 
     Documents are near duplicates if the Jaccard similarity of their sets of
-    ``words``-word shingles is ``similarity`` or more.  One shingle SimHash
-    can't find these within a few bits: at 0.8 two of them differ in ten bits of
-    64.  So candidates come from ``views`` SimHashes of the set of words, which
-    an edited word moves little, each searched with BK-trees at ``radius``; at
-    0.8 over 95 % of pairs meet in one of six views.  Each candidate link is
-    then checked on bottom-``size`` sketches of the shingle sets, exact for
-    texts of up to ``size`` shingles; ``margin`` is about one standard error.
+    ``words``-word shingles is ``similarity`` or more.  Links are exact, up to
+    collisions of 64-bit hashes, and found in three steps.  Rows with the same
+    set stand for each other.  Most other links come from ``views`` SimHashes
+    of the set of words, searched with BK-trees at ``radius``.  These neither
+    find all pairs nor keep all that they find, so prefix filtering completes
+    them: two near sets share one of the first n - ceil(similarity n) + 1 of
+    their n shingles in any order that is the same for all sets, and all pairs
+    of rows that do and aren't connected yet are candidates.  Every candidate
+    is decided on the whole sets; bottom-``size`` sketches before that only
+    drop pairs that can't reach ``similarity``.
     Texts without words are near duplicates of each other.
     """
     src = docs.select(row_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common, counts = common_shingles(src, words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [sketch(t.as_py(), words, size) for t in b.column("text")]
-            fps = pa.array([word_fingerprints(w, views) for w, _ in both], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), fps, pa.array([s.tobytes() for _, s in both], pa.binary())], ["row_id", "doc_id", "fps", "sketch"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digests, sizes, fps, sketches, firsts = [], [], [], [], []
+            for t in b.column("text"):
+                each, shingles = shingle_set(t.as_py(), words)
+                digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                sizes.append(len(shingles))
+                fps.append(word_fingerprints(each, views))
+                sketches.append(shingles[:size].tobytes())
+                firsts.append(prefix(shingles, similarity, common, counts).view(np.int64))
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, longs), pa.array(sketches, pa.binary()), pa.array(firsts, longs)]
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), *columns], ["row_id", "doc_id", "digest", "n", "fps", "sketch", "prefix"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [resemblance(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), size) >= similarity - margin for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            sets = pa.array([shingle_set(t.as_py(), words)[1].tobytes() for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), sets], ["row_id", "shingles"])
+
+    def keep(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = [test(*x) for x in zip(*(c if n in ("na", "nb") else map(_hashes, c) for n, c in zip(b.schema.names[2:], b.columns[2:], strict=True)), strict=True)]
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        return run
 
-    rows = save(src.mapInArrow(scan, "row_id long, doc_id long, fps array<long>, sketch binary"), "near-rows")
-    seen = rows.select("row_id", "doc_id", F.posexplode("fps").alias("view", "fp"))
-    # of rows with one fingerprint the first by doc_id stands for it, whatever the files' order
+    rows = save(src.mapInArrow(scan, "row_id long, doc_id long, digest binary, n long, fps array<long>, sketch binary, prefix array<long>"), "near-rows")
+    # of rows with one set or fingerprint the first by doc_id stands for it, whatever the files' order
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id"))["row_id"]
+    sets = save(rows.groupBy("digest").agg(first.alias("low")), "near-sets")
+    equal = rows.join(sets, "digest").where(F.col("row_id") != F.col("low")).select(F.col("low").alias("a"), F.col("row_id").alias("b"))
+    only = rows.join(sets.select(F.col("low").alias("row_id")), "row_id", "left_semi")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose similarity suffices."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+        of = lambda x: rows.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+        pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(a, b, n.as_py(), m.as_py(), similarity)), "a long, b long"), "near-pairs")
+        asked = pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct()
+        known = save(src.join(asked, "row_id", "left_semi").select("row_id", "text").mapInArrow(whole, "row_id long, shingles binary"), "near-shingles")
+        of = lambda x: known.select(F.col("row_id").alias(x), F.col("shingles").alias(f"s{x}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
+        return save(both.mapInArrow(keep(lambda a, b: jaccard(a, b) >= similarity), "a long, b long"), "near-links")
+
+    seen = only.select("row_id", "doc_id", F.posexplode("fps").alias("view", "fp"))
     nodes = save(seen.groupBy("view", "fp").agg(first.alias("low")), "near-nodes")
     links = near_links(nodes.select("view", "fp"), radius)
     end = lambda x: nodes.select("view", F.col("fp").alias(x), F.col("low").alias(f"row_{x}"))
     pairs = links.join(end("a"), ["view", "a"]).join(end("b"), ["view", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     same = seen.join(nodes, ["view", "fp"]).where(F.col("row_id") != F.col("low")).select(F.col("low").alias("a"), F.col("row_id").alias("b"))
-    pairs = save(pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "near-pairs")
-    of = lambda x: rows.select(F.col("row_id").alias(x), F.col("sketch").alias(f"s{x}"))
-    links = save(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "near-links")
-    rooted = rows.select("row_id", "doc_id").join(connected_components(links).withColumnRenamed("node", "row_id"), "row_id", "left")
-    rooted = save(rooted.withColumn("root", F.coalesce("root", "row_id")), "near-roots")
-    low = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("low"))
-    return rooted.join(low, "root").select("row_id", "doc_id", F.col("low.doc_id").alias("component_id"), (F.col("row_id") == F.col("low.row_id")).alias("first"))
+    links = verified(pairs.unionByName(same))
+
+    shared = only.select("row_id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    shared = save(shared.where("rows > 1").drop("rows"), "near-prefixes")
+
+    def rooted(df: DataFrame) -> DataFrame:
+        return df.join(connected_components(links).withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+
+    # first the neighbours in a group by size, and its first: that connects most of a large group of copies
+    order = Window.partitionBy("key").orderBy("n", "row_id")
+    ends = [F.struct(f("row_id").over(order).alias("a"), f("root").over(order).alias("root_a"), f("n").over(order).alias("n_a")) for f in (F.lag, F.first)]
+    pairs = rooted(shared).withColumn("o", F.array(*ends)).select("row_id", "root", "n", F.explode("o").alias("o")).where((F.col("o.root_a") != F.col("root")) & (F.col("o.n_a") >= similarity * F.col("n") - 1e-6))
+    links = save(links.unionByName(verified(pairs.select(F.col("o.a").alias("a"), F.col("row_id").alias("b")))), "near-links")
+
+    # then all pairs that aren't connected: one of the two is outside the largest component of its group
+    state = save(rooted(shared), "near-state")
+    main = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
+    state = state.join(main, "key")
+    x, y = state.where("root != main").alias("x"), state.alias("y")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6)
+    # at the first shingle that two sets share, all that they share is still to come
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & (rest >= need))
+    links = links.unionByName(verified(pairs.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))))
+
+    links = save(links.unionByName(equal), "near-links")
+    named = save(rooted(rows.select("row_id", "doc_id")), "near-roots")
+    low = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("low"))
+    return named.join(low, "root").select("row_id", "doc_id", F.col("low.doc_id").alias("component_id"), (F.col("row_id") == F.col("low.row_id")).alias("first"))
+
+
+def _hashes(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_py(), np.uint64)

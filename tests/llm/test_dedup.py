@@ -254,3 +254,25 @@ def test_near_duplicates_by_shingles(spark, edge, empty, tmp_path):
     rows = S.near_duplicates(edge).collect()
     assert len(rows) == len(EDGE) and {r.component_id for r in rows if r.doc_id in (4, 5)} == {4} and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert S.near_duplicates(empty).count() == 0
+
+
+def _near_roots(spark, texts, path):
+    """Near-copy groups as found, and by comparing all shingle sets with all."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(path))
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.read.parquet(str(path))).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    want = _components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    return [got[i] for i in range(len(texts))], want
+
+
+def test_near_copies_behind_a_far_text_of_equal_words(spark, tmp_path):
+    rng = random.Random(21)
+    texts = []
+    for g in range(8):  # one set of words in every group, so one fingerprint in every view
+        words = [f"g{g}w{i}" for i in range(80)]
+        first, second = rng.sample(words, 80), rng.sample(words, 80)
+        third = second[:]
+        third[-1], third[-2] = third[-2], third[-1]
+        texts += [" ".join(first), " ".join(second), " ".join(third)]
+    got, want = _near_roots(spark, texts, tmp_path / "t")
+    assert got == want and want[2] == want[1] == 1
