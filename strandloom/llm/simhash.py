@@ -29,6 +29,7 @@ from strandloom.llm.components import connected_components
 SEED = 42
 SHARD_ROWS = 4096
 _CHUNK = 1 << 15
+_BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 5) -> int:
@@ -273,8 +274,9 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
 def may_be_near(a: np.ndarray, b: np.ndarray, n: int, m: int, similarity: float) -> bool:
     """False only if two sets of ``n`` and ``m`` shingles with bottom sketches ``a`` and ``b`` can't reach ``similarity``.
 
-    Up to the smaller end of two cut sketches all shingles are known; what one
-    set lacks there it lacks for sure.
+    Sketches hold the upper halves of the smallest hashes.  Up to the smaller
+    end of two cut sketches all are known; what one set lacks there it lacks
+    for sure.
     """
     need = least_overlap(n, m, similarity)
     if need > min(n, m):
@@ -336,7 +338,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 sizes.append(len(shingles))
                 fps.append(word_fingerprints(each, views))
-                sketches.append(shingles[:size].tobytes())
+                sketches.append(np.unique((shingles[:size] >> np.uint64(32)).astype(np.uint32)).tobytes())
                 firsts.append(prefix(shingles, similarity, common, counts).view(np.int64))
             longs = pa.list_(pa.int64())
             columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, longs), pa.array(sketches, pa.binary()), pa.array(firsts, longs)]
@@ -350,7 +352,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     def keep(test):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ok = [test(*x) for x in zip(*(c if n in ("na", "nb") else map(_hashes, c) for n, c in zip(b.schema.names[2:], b.columns[2:], strict=True)), strict=True)]
+                ok = [test(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return run
@@ -362,17 +364,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     equal = rows.join(sets, "digest").where(F.col("row_id") != F.col("low")).select(F.col("low").alias("a"), F.col("row_id").alias("b"))
     only = rows.join(sets.select(F.col("low").alias("row_id")), "row_id", "left_semi")
 
+    def asked(df: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of ``df`` in any of the pairs; few enough ids are broadcast, so that texts and sketches aren't shuffled for them."""
+        ids = save(pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct(), "near-asked")
+        return df.join(F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids, "row_id", "left_semi")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity suffices."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-        of = lambda x: rows.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        pairs = save(pairs, "near-candidates")
+        drawn = asked(rows.select("row_id", "n", "sketch"), pairs)
+        of = lambda x: drawn.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
-        pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(a, b, n.as_py(), m.as_py(), similarity)), "a long, b long"), "near-pairs")
-        asked = pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct()
-        known = save(src.join(asked, "row_id", "left_semi").select("row_id", "text").mapInArrow(whole, "row_id long, shingles binary"), "near-shingles")
+        pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), n, m, similarity)), "a long, b long"), "near-pairs")
+        known = save(asked(src.select("row_id", "text"), pairs).mapInArrow(whole, "row_id long, shingles binary"), "near-shingles")
         of = lambda x: known.select(F.col("row_id").alias(x), F.col("shingles").alias(f"s{x}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
-        return save(both.mapInArrow(keep(lambda a, b: jaccard(a, b) >= similarity), "a long, b long"), "near-links")
+        return save(both.mapInArrow(keep(lambda a, b: jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity), "a long, b long"), "near-links")
 
     seen = only.select("row_id", "doc_id", F.posexplode("fps").alias("view", "fp"))
     nodes = save(seen.groupBy("view", "fp").agg(first.alias("low")), "near-nodes")
@@ -409,7 +417,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     named = save(rooted(rows.select("row_id", "doc_id")), "near-roots")
     low = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("low"))
     return named.join(low, "root").select("row_id", "doc_id", F.col("low.doc_id").alias("component_id"), (F.col("row_id") == F.col("low.row_id")).alias("first"))
-
-
-def _hashes(x: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(x.as_py(), np.uint64)
