@@ -35,7 +35,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(documents(spark, sf_dir))
+    out = substring_dedup(documents(spark, sf_dir), whole=True)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["j"] - s["i"])
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["i"].cast("string"), s["j"].cast("string"))), ",")
     return out.select(

@@ -92,6 +92,23 @@ def test_substring_against_brute_force(sample, edge, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_substring_runs_inside_long_lines(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for _ in range(40):
+        passage = some(50)
+        texts += [f"{some(30)} {passage} {some(30)}", f"{some(41)} {passage} {some(22)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in substring_dedup(df, whole=True).collect()}
+    for k in range(0, len(texts), 2):
+        shared = set(texts[k].split()) & set(texts[k + 1].split())
+        gone = [texts[k + 1][s.i : s.j].split() for s in got[k + 1].spans]
+        assert got[k].spans is None and len(gone) == 1 and len(gone[0]) >= 16 and set(gone[0]) <= shared
+        assert got[k + 1].kept_text.split() == [w for w in texts[k + 1].split() if w not in gone[0]]
+
+
 # ---- suffix
 
 
@@ -276,3 +293,34 @@ def test_near_copies_behind_a_far_text_of_equal_words(spark, tmp_path):
         texts += [" ".join(first), " ".join(second), " ".join(third)]
     got, want = _near_roots(spark, texts, tmp_path / "t")
     assert got == want and want[2] == want[1] == 1
+
+
+def _block_edits():
+    """Pairs of a text and its copy with a block of new words more, or a tail less, at 0.8 to 0.84."""
+    texts = []
+    for g, n in enumerate([20, 60, 200, 1000] * 12):
+        base = [f"t{g}w{i}" for i in range(n)]
+        shingles = n - 4
+        if g // 4 % 3 == 0:
+            copy = [*base, *(f"t{g}n{i}" for i in range(int(shingles * 0.23)))]
+        elif g // 4 % 3 == 1:
+            copy = [*(f"t{g}n{i}" for i in range(int(shingles * 0.23))), *base]
+        else:
+            copy = base[: n - int(shingles * 0.18)]
+        texts += [" ".join(base), " ".join(copy)]
+    return texts
+
+
+def test_near_copies_with_a_block_more_or_less(spark, tmp_path):
+    got, want = _near_roots(spark, _block_edits(), tmp_path / "t")
+    assert got == want == [i - i % 2 for i in range(len(got))]
+
+
+def test_near_copies_at_exactly_the_similarity(spark, tmp_path):
+    texts = []
+    for g, shingles in enumerate([10, 100, 240, 300, 1000, 5000]):
+        words = [f"s{g}w{i}" for i in range(shingles + 4)]
+        cut = shingles // 5 * 4 + 4
+        texts += [" ".join(words), " ".join(words[:cut]), " ".join(f"far{w}" for w in words), " ".join(f"far{w}" for w in words[: cut - 1])]
+    got, want = _near_roots(spark, texts, tmp_path / "t")
+    assert got == want == [i - (i % 4 == 1) for i in range(len(texts))]
