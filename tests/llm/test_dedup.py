@@ -109,6 +109,13 @@ def test_substring_runs_inside_long_lines(spark):
         assert got[k + 1].kept_text.split() == [w for w in texts[k + 1].split() if w not in gone[0]]
 
 
+def test_substring_removes_short_lines_again(spark):
+    line = "Released under the MIT license.\n"
+    df = spark.createDataFrame([(i, f"{line}text {i}\n\nlast {i} {line}") for i in range(4)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in substring_dedup(df, whole=True).collect()}
+    assert got[0].spans is None and all([(s.i, s.j) for s in got[i].spans] == [(0, len(line))] for i in (1, 2, 3))
+
+
 # ---- suffix
 
 
