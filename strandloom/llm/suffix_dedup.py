@@ -9,8 +9,9 @@ array); the phrase before a suffix is its Burrows-Wheeler symbol.
 
 The shards' transforms are merged by interleave refinement: suffixes start in
 the interleave of their first symbol, and each round splits every block by the
-next symbol, for as long as a block holds more than one suffix.  No suffix is
-sorted again.  Blocks of round d are the repeated intervals with a common
+next symbol, for as long as a block holds more than one suffix.  A round sorts
+the live suffixes by that forward symbol; it doesn't place them by the shards'
+transforms, whose symbol serves the test for maximality only.  Blocks of round d are the repeated intervals with a common
 prefix of d phrases.  If two suffixes of a block also agree in the symbol
 before and the phrase after, all strings between those phrases are repeated.
 If not, the interval is left- or right-maximal and its strings, which end
