@@ -5,7 +5,6 @@ Floating results are rounded, since engines add in different orders.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +27,7 @@ from strandloom.operators import splits as D
 from strandloom.operators.factor import FactorModel
 from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OBS, SAMPLES, SMALL_EDGES, X, Y, Tables, ctes, dense
 from strandloom.sources import files as I
+from strandloom.sources.scratch import checkpointing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1073,13 +1073,8 @@ def _study(t):
     return d, d.select("sample_id", "condition").distinct(), d.select("feature_id", "view", F.lit("normal").alias("distribution")).distinct()
 
 
-def _checkpointed(t):
-    if t.spark.sparkContext.getCheckpointDir() is None:
-        t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandloom-"))
-
-
 def _fitted(t, prior="l2", sets=None, epochs=4, outer=2):
-    _checkpointed(t)
+    checkpointing(t.spark)
     obs, samples, features = _study(t)
     return FactorModel(4, prior=prior, ridge=0.1).fit(obs, samples, features, sets=sets, epochs=epochs, outer=outer)
 
@@ -1115,7 +1110,7 @@ def impute_model(t):
 
 @query()
 def batch_effects_fit(t):
-    _checkpointed(t)
+    checkpointing(t.spark)
     o = t.obs.select("sample_id", "feature_id", "view", (F.col("value") / 10000).alias("value"))
     return B.fit_batch_effects(o, t.batch_map, t.samples, rounds=6)[0]
 
