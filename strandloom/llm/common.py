@@ -2,53 +2,64 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.sources.scratch import discard, save, shared_dir
+
+__all__ = ["WORD", "discard", "documents", "fresh", "heavy_join", "identified", "row_id", "save", "shared_dir", "shuffle_partitions", "text_of"]
+
 #: Words are runs of anything but these separators (space and U+0009..U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys that a broadcast resolves before a shuffle: a fixed bound.
+HEAVY_KEYS = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can see (``spark.checkpoint.dir``).
-
-    Where the setting is absent (tests, notebooks on one machine) a temporary
-    folder is made once and stored in the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    Cuts lineage and keeps the rows safe when an executor is lost; a later plan
-    reads the columns it needs instead of computing them again.
-    """
-    path = f"{shared_dir(df.sparkSession)}/strandloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def row_id(row: str | None = None) -> Column:
+    """The column ``row``, or a number for each row of this one scan.
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The numbers hang on how files are split into tasks, which a lost executor
+    or another setting changes: write them once with the columns they name and
+    never take them again in a second scan (see :func:`identified`).
+    """
+    return F.col(row) if row else F.monotonically_increasing_id()
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def row_id() -> Column:
-    """Identity of a row of a file scan; the same for the same files and settings."""
-    return F.monotonically_increasing_id()
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers its rows, written once, and that column's name."""
+    name = fresh("row_id", docs.columns)
+    return save(docs.withColumn(name, row_id()), "identified"), name
 
 
 def text_of(col: str = "text") -> Column:
     """The whole text, null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, heavy: int = HEAVY_KEYS) -> DataFrame:
+    """``rows`` joined with ``lookup`` (one row per key) on ``key``, without its column ``weight``.
+
+    The ``heavy`` keys of the largest ``weight`` are broadcast, so that the rows
+    of a hot key are not shuffled to one task; the others meet in a shuffle.
+    """
+    top = save(lookup.orderBy(F.col(weight).desc(), key).limit(heavy).drop(weight), "heavy-keys")
+    rest = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(lookup.drop(weight), key)
+    return rows.join(F.broadcast(top), key).unionByName(rest)

@@ -39,18 +39,20 @@ def misra_gries(rows: DataFrame, key: str, counters: int = COUNTERS, block_rows:
     return merged.orderBy(F.col("estimate").desc(), key).limit(counters)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, row: str | None = None) -> DataFrame:
     """One row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as the empty text, so null and
     empty texts form one group.  Of equal texts the row with the largest id
     stays (null ids are smallest); among rows that repeat both id and text the
     one with the largest row_id stays, so exactly one row of a group is kept.
-    Other columns of ``docs`` are never read.  An empty table gives no rows.
+    ``row`` names a column that numbers the rows (default: numbers are given
+    here).  A text of any length is hashed whole.  Other columns of ``docs`` are
+    never read.  An empty table gives no rows.
     """
     rows = save(
         docs.select(
-            row_id().alias("row_id"),
+            row_id(row).alias("row_id"),
             F.col(id_col).cast("long").alias("doc_id"),
             F.unhex(F.sha2(text_of(text_col).cast("binary"), 256)).alias("digest"),
         ),

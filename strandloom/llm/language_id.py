@@ -17,10 +17,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRAIN_ROWS = 4000
+LANGUAGES = 256
+_SPACE = 1 << 40
 WINDOWS = 4
 WINDOW = 64
 CHUNK = 128
@@ -166,26 +168,31 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def training_windows(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = WINDOWS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def training_windows(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = WINDOWS, window: int = WINDOW, languages: int = LANGUAGES) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Byte windows (time, n), labels and languages of a bounded sample.
 
-    Of each language up to rows / languages documents, those with the smallest
-    hashes of their id, give ``windows`` windows from hashed places of the whole
-    text.  The driver holds rows * windows short strings.
+    The ``languages`` languages of the most rows (ties: first by name) are
+    learned.  Of each up to rows / languages rows, those with the smallest
+    hashes of id and text, give ``windows`` windows of ``window`` characters from
+    hashed places of the whole text.  Rows that repeat id and text count once.
+    The driver holds rows * windows short strings, whatever ids repeat.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    langs = sorted(r[0] for r in usable.select("lang").distinct().collect())
-    if not langs:
+    rank = F.xxhash64("doc_id", "text", F.lit(11))
+    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(rank).alias("n")).orderBy(F.col("rows").desc(), "lang").limit(languages).collect()
+    if not common:
         return np.zeros((window, 0), np.intp), np.zeros(0, np.int64), []
-    rank = F.xxhash64("doc_id", F.lit(11))
-    ids = None
-    for lang in langs:
-        own = usable.where(F.col("lang") == lang).select("doc_id", rank.alias("rank")).orderBy("rank", "doc_id").limit(max(1, rows // len(langs))).select("doc_id")
-        ids = own if ids is None else ids.unionByName(own)
+    langs, most = sorted(r["lang"] for r in common), max(1, rows // len(common))
+    # about twice the rows needed pass the hash threshold of their language, then the smallest are taken
+    share = {r["lang"]: min(1.0, (2 * most + 100) / max(1, r["n"])) for r in common}
+    pass_ = F.create_map(*(F.lit(x) for r in common for x in (r["lang"], int(share[r["lang"]] * _SPACE))))
     n = F.length("text")
     at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(100 + i)), F.greatest(n - window + 1, F.lit(1))).cast("int") + 1
     cut = F.array(*(F.substring(F.col("text"), at(i), F.lit(window)) for i in range(windows)))
-    sample = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "lang", cut.alias("cut")).orderBy("doc_id", "lang").collect()
+    hashed = usable.select("lang", rank.alias("rank"), cut.alias("cut")).where(F.pmod("rank", F.lit(_SPACE)) < pass_[F.col("lang")])
+    distinct = hashed.groupBy("lang", "rank").agg(F.min("cut").alias("cut"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    sample = distinct.withColumn("nth", nth).where(F.col("nth") <= most).orderBy("lang", "nth").select("lang", "cut").collect()
     x, label = [], []
     for r in sample:
         for piece in r["cut"]:
@@ -210,8 +217,10 @@ def identify(docs: DataFrame, model: ByteGRU) -> DataFrame:
 
     ``lang_pred`` is the language of the largest pooled probability (ties: first
     by name) and ``score`` that probability.  Null texts, texts without a letter
-    and any text if no language was learned give ``und`` with score 0.  Rows
-    that repeat a doc_id are predicted each; other columns are not read.
+    and any text if no language was learned give ``und`` with score 0.  All bytes
+    of a text of any length count, in chunks that each start from a fresh state.
+    Rows that repeat a doc_id are predicted each; other columns are not read; an
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, row_id, save, shuffle_partitions, text_of
+from strandloom.llm.common import WORD, fresh, row_id, save, shuffle_partitions, text_of
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1 << 18
+MOST_SHARDS = 1 << 16
 RUN_SLOTS = 4096
 CHUNK_ROWS = 4096
 
@@ -104,21 +105,26 @@ def mix_sources(
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
     seed: int = 1,
+    row: str | None = None,
 ) -> Mix:
     """Plan a mix of ``docs`` (doc_id, source, text; other columns are not read).
 
     ``pieces`` has a row for each stretch of words that a slot takes from a
-    document: shard, slot, epoch, row_id, doc_id, start, n (words).  The number
-    of sources and of (output shard, source) counts is held on the driver.
+    document: shard, slot, epoch, row_id, doc_id, start, n (words).  The driver
+    holds one row for each source and one count for each (output shard,
+    source); shards grow beyond ``shard_slots`` where there would be more than
+    ``MOST_SHARDS``, so these counts are bounded by the number of sources alone.
+    Slots are made on the executors.  ``row`` names a column that numbers the
+    rows (default: numbers are given here).
 
     Null texts have size 0, sources that are null form a source of their own,
     last in order.  Sources without words and documents without words take no
-    part.  Rows that repeat a doc_id are documents of their own.  An empty table
-    gives empty results.
+    part.  Rows that repeat a doc_id are documents of their own.  A very long
+    text is cut into blocks like any other.  An empty table gives empty results.
     """
     spark = docs.sparkSession
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    sized = save(docs.select(row_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sized = save(docs.select(row_id(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
     per = sorted(((r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in per]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], share, most)
@@ -144,16 +150,14 @@ def mix_sources(
     first, final = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     held = placed.where("size > 0").select("s", "row_id", "doc_id", "at", "size", F.explode(F.sequence(first, final)).alias("block"))
 
-    # runs of slots of one source in one output shard
-    counts = shard_counts(slots, shard_slots, seed)
-    firsts = np.cumsum(counts, axis=0) - counts
-    runs = [
-        (int(shard), int(s), int(firsts[shard, s] + at), int(min(RUN_SLOTS, counts[shard, s] - at)), int(at))
-        for shard, s in zip(*np.nonzero(counts), strict=True)
-        for at in range(0, int(counts[shard, s]), RUN_SLOTS)
-    ]
-    run = spark.createDataFrame(runs, "shard int, s int, j0 long, n long, at long").repartition(shuffle_partitions(spark))
-    slot = run.select("shard", "s", F.explode(F.sequence("j0", F.col("j0") + F.col("n") - 1)).alias("j"))
+    # slots of one source in one output shard, spread over the executors by runs
+    counts = shard_counts(slots, max(shard_slots, -(-sum(slots) // MOST_SHARDS)), seed)
+    shard, s = np.nonzero(counts)
+    firsts = (np.cumsum(counts, axis=0) - counts)[shard, s]
+    drawn = pd.DataFrame({"shard": shard.astype(np.int32), "s": s.astype(np.int32), "first": firsts, "n": counts[shard, s]})
+    drawn = spark.createDataFrame(drawn, "shard int, s int, first long, n long")
+    run = drawn.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN_SLOTS).cast("long")))).repartition(shuffle_partitions(spark), "shard", "s", "at")
+    slot = run.select("shard", "s", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + RUN_SLOTS, "n") - 1)).alias("j"))
 
     def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n_blocks, n_slots, cut = np.array(blocks or [0], np.int64), np.array(slots or [0], np.int64), np.array(last or [0], np.int64)
@@ -193,20 +197,23 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
     return "\n".join(text[at[i][0] : at[j - 1][1]] for i, j in runs)
 
 
-def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
+def mixed_documents(docs: DataFrame, mix: Mix, row: str) -> DataFrame:
     """``docs``' columns; a row for each pass over a document with the words the mix takes in it.
 
-    Texts (and n_chars, if there) change where a pass doesn't take all words.
+    ``row`` is the column that numbered the rows for :func:`mix_sources`; it is
+    dropped.  Texts (and n_chars, if there) change where a pass doesn't take all
+    words.  The words of a pass stay in their document, whatever shards took
+    them: the mix's order is that of ``pieces``, not of these rows.
     """
-    taken = mix.pieces.groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("__stretches"))
-    taken = taken.select(F.col("row_id").alias("__row_id"), "__stretches")
-    rows = docs.withColumn("__row_id", row_id()).join(taken, "__row_id").drop("__row_id")
-    kept = docs.columns
+    kept = [c for c in docs.columns if c != row]
+    held = fresh("stretches", docs.columns)
+    taken = mix.pieces.groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias(held))
+    rows = docs.join(taken.select(F.col("row_id").alias(row), held), row).select(*kept, held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, stretches in zip(b.column("text"), b.column("__stretches").to_pylist(), strict=True):
+            for text, stretches in zip(b.column("text"), b.column(held).to_pylist(), strict=True):
                 runs: list[tuple[int, int]] = []
                 for x in stretches:
                     if runs and runs[-1][1] == x["start"]:
@@ -217,4 +224,4 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), b.schema.field("n_chars").type if "n_chars" in kept else pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in kept], kept)
 
-    return rows.mapInArrow(cut, docs.schema)
+    return rows.mapInArrow(cut, docs.select(*kept).schema)

@@ -127,8 +127,9 @@ def _pieces(path: str, end_id: int, most: int, keep_ids: bool):
 def pack_pow2(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, most: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """One row per piece: row_id, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Null and empty texts are one piece of the end id alone.  Rows that repeat a
-    doc_id are packed each.  With ``keep_ids`` the token ids come as binary.
+    Null and empty texts are one piece of the end id alone.  A text of any length
+    is cut into as many pieces as it needs.  Rows that repeat a doc_id are packed
+    each.  With ``keep_ids`` the token ids come as binary.
     Only doc_id and text are read; an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -146,8 +146,11 @@ def fit_ordinal(index: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np
 def train(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal:
     """Fit on up to ``rows`` rated documents, those with the smallest hashes of their id.
 
-    ``ratings`` has doc_id and grade (int, from 0).  Features are made on the
-    executors from whole texts; the driver gets hashed features of ``rows`` rows.
+    ``ratings`` has doc_id and grade (int, from 0); null ids and grades are left
+    out, an id with several grades has the highest.  Where documents repeat an
+    id, the text with the smallest hash is read, so a sampled id gives one row
+    whatever the table.  Features are made on the executors from whole texts; the
+    driver gets hashed features of ``rows`` rows.
     """
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     sample = rated.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
@@ -159,7 +162,8 @@ def train(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> Ordina
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([i.tobytes() for i, _ in both], pa.binary()), pa.array([v.tobytes() for _, v in both], pa.binary())], ["doc_id", "grade", "i", "v"])
 
     pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = pairs.select("doc_id", F.col("grade").cast("int").alias("grade"), "text").mapInArrow(run, "doc_id long, grade int, i binary, v binary").collect()
+    one = pairs.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = one.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, i binary, v binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["i"]))
     if not got:
         return Ordinal(np.zeros(BUCKETS, np.float32), np.zeros(0))
@@ -173,7 +177,9 @@ def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None
 
     The new columns, called ``names``, replace columns of these names.  Null and empty texts have
     no features: their score is 0.  Without any rating above 0 to learn from,
-    expected_grade is 0, tail 1 and every document is kept.
+    expected_grade is 0, tail 1 and every document is kept.  Rows that repeat a
+    doc_id or a text are graded each; a text of any length is read whole; an
+    empty table gives no rows.
     """
     weights, thresholds = docs.sparkSession.sparkContext.broadcast(model.weights), model.thresholds
     kept = [c for c in docs.columns if c not in names]
@@ -198,5 +204,5 @@ def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None
 
 
 def label_grades(labels: DataFrame) -> DataFrame:
-    """Grades from two 0/1 labels: how many of 'good' and 'not toxic' hold (0, 1, 2)."""
+    """Grades from two 0/1 labels: how many of 'good' and 'not toxic' hold (0, 1, 2); null where a label is."""
     return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))

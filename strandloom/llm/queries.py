@@ -22,7 +22,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).drop("row_id", "spans")
+    return remove_repeats(documents(spark, sf_dir)).drop("spans")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(spans_text("base").cast("binary"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(spans_text("base").cast("binary"), 256).alias("base_sha256"), spans_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

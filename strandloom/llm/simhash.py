@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import row_id, save, shuffle_partitions
+from strandloom.llm.common import discard, row_id, save, shuffle_partitions
 from strandloom.llm.components import connected_components
 
 SEED = 42
@@ -32,6 +32,16 @@ _CHUNK = 1 << 15
 _BROADCAST_IDS = 1_000_000
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit numbers have each bit set, bit 0 first."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _CHUNK):  # very long texts by chunks
+        bits = np.unpackbits(h[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # up to 255 rows add up in a byte each
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return ones
+
+
 def fingerprint(text: str | None, words: int = 5) -> int:
     """64-bit SimHash: bit i is 1 if set in over half of the shingle hashes.
 
@@ -47,10 +57,8 @@ def fingerprint(text: str | None, words: int = 5) -> int:
     k = min(words, len(parts))
     starts, ends = starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), _CHUNK):  # very long texts by chunks
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    ones = bit_counts(h)
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
@@ -228,10 +236,7 @@ def word_fingerprints(h: np.ndarray, views: int) -> list[int]:
             x = (h ^ np.uint64((v + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(29)
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(x), _CHUNK):
-                ones += np.unpackbits(x[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out.append(int(np.packbits(ones * 2 > len(x), bitorder="little").view(np.int64)[0]))
+            out.append(int(np.packbits(bit_counts(x) * 2 > len(x), bitorder="little").view(np.int64)[0]))
     return out
 
 
@@ -311,9 +316,12 @@ def common_shingles(src: DataFrame, words: int, sampled: int = 10_000, most: int
     return keys[order], counts[order]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 6, radius: int = 4, size: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 3, radius: int = 4, size: int = 128, row: str | None = None) -> DataFrame:
     """One row per input row: row_id, doc_id, component_id, first (as in :func:`simhash_components`).
 
+    ``row`` names a column that numbers the rows of a written table; without it
+    doc_id and text are written once with numbers.
+
     Documents are near duplicates if the Jaccard similarity of their sets of
     ``words``-word shingles is ``similarity`` or more.  Links are exact, up to
     collisions of 64-bit hashes, and found in three steps.  Rows with the same
@@ -321,13 +329,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     of the set of words, searched with BK-trees at ``radius``.  These neither
     find all pairs nor keep all that they find, so prefix filtering completes
     them: two near sets share one of the first n - ceil(similarity n) + 1 of
-    their n shingles in any order that is the same for all sets, and all pairs
-    of rows that do and aren't connected yet are candidates.  Every candidate
+    their n shingles in any order that is the same for all sets.  Of the rows
+    that do, neighbours by size are candidates at once, and all pairs that these
+    links don't connect after that.  Every candidate
     is decided on the whole sets; bottom-``size`` sketches before that only
     drop pairs that can't reach ``similarity``.
-    Texts without words are near duplicates of each other.
+    Texts without words are near duplicates of each other.  A text of any length
+    is read whole by one task.  Other columns are not read; an empty table gives
+    no rows.
     """
-    src = docs.select(row_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(row_id(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = src if row else save(src, "near-source")
     common, counts = common_shingles(src, words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,13 +386,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
         pairs = save(pairs, "near-candidates")
         drawn = asked(rows.select("row_id", "n", "sketch"), pairs)
+        candidates = pairs
         of = lambda x: drawn.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
         pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), n, m, similarity)), "a long, b long"), "near-pairs")
+        discard(candidates)
         known = save(asked(src.select("row_id", "text"), pairs).mapInArrow(whole, "row_id long, shingles binary"), "near-shingles")
         of = lambda x: known.select(F.col("row_id").alias(x), F.col("shingles").alias(f"s{x}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
-        return save(both.mapInArrow(keep(lambda a, b: jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity), "a long, b long"), "near-links")
+        found = save(both.mapInArrow(keep(lambda a, b: jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity), "a long, b long"), "near-links")
+        discard(pairs, known)
+        return found
 
     seen = only.select("row_id", "doc_id", F.posexplode("fps").alias("view", "fp"))
     nodes = save(seen.groupBy("view", "fp").agg(first.alias("low")), "near-nodes")
@@ -388,20 +404,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     end = lambda x: nodes.select("view", F.col("fp").alias(x), F.col("low").alias(f"row_{x}"))
     pairs = links.join(end("a"), ["view", "a"]).join(end("b"), ["view", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     same = seen.join(nodes, ["view", "fp"]).where(F.col("row_id") != F.col("low")).select(F.col("low").alias("a"), F.col("row_id").alias("b"))
-    links = verified(pairs.unionByName(same))
 
     shared = only.select("row_id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
     shared = save(shared.where("rows > 1").drop("rows"), "near-prefixes")
+    # neighbours in a group by size, and its first: that connects most of a large group of copies
+    order = Window.partitionBy("key").orderBy("n", "row_id")
+    ends = [F.struct(f("row_id").over(order).alias("a"), f("n").over(order).alias("n_a")) for f in (F.lag, F.first)]
+    beside = shared.withColumn("o", F.array(*ends)).select("row_id", "n", F.explode("o").alias("o")).where(F.col("o.n_a") >= similarity * F.col("n") - 1e-6).select(F.col("o.a").alias("a"), F.col("row_id").alias("b"))
+    links = verified(pairs.unionByName(same).unionByName(beside))
 
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(connected_components(links).withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
 
-    # first the neighbours in a group by size, and its first: that connects most of a large group of copies
-    order = Window.partitionBy("key").orderBy("n", "row_id")
-    ends = [F.struct(f("row_id").over(order).alias("a"), f("root").over(order).alias("root_a"), f("n").over(order).alias("n_a")) for f in (F.lag, F.first)]
-    pairs = rooted(shared).withColumn("o", F.array(*ends)).select("row_id", "root", "n", F.explode("o").alias("o")).where((F.col("o.root_a") != F.col("root")) & (F.col("o.n_a") >= similarity * F.col("n") - 1e-6))
-    links = save(links.unionByName(verified(pairs.select(F.col("o.a").alias("a"), F.col("row_id").alias("b")))), "near-links")
-
     # then all pairs that aren't connected: one of the two is outside the largest component of its group
     state = save(rooted(shared), "near-state")
     main = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
@@ -415,5 +429,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
 
     links = save(links.unionByName(equal), "near-links")
     named = save(rooted(rows.select("row_id", "doc_id")), "near-roots")
+    discard(rows, sets, nodes, shared, *([] if row else [src]))
     low = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("low"))
     return named.join(low, "root").select("row_id", "doc_id", F.col("low.doc_id").alias("component_id"), (F.col("row_id") == F.col("low.row_id")).alias("first"))

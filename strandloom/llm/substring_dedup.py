@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import row_id, save
+from strandloom.llm.common import discard, heavy_join, row_id, save
 
 UNIT_WORDS = 8
 #: Units of LONG words or more are also hashed by runs of RUN words or more between boundaries at most GAP words apart.
@@ -97,20 +97,22 @@ def _digests(unit_words: int, least: int, whole: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, unit_words: int = UNIT_WORDS, least: int = UNIT_WORDS, whole: bool = False) -> DataFrame:
-    """row_id and spans (array of struct i, j; by i): the units to remove from each row that has any.
+def repeated_spans(src: DataFrame, unit_words: int = UNIT_WORDS, least: int = UNIT_WORDS, whole: bool = False) -> DataFrame:
+    """row_id and spans (array of struct i, j; by i): the units to remove from each row of ``src`` (row_id, doc_id, text) that has any.
 
     Units of fewer than ``least`` words always stay, unless ``whole`` is set and
     they are a line; with it the runs of long units count too, and spans may overlap.  Earliest is by doc_id
-    (nulls last), then row_id, then offset.
+    (nulls last), then row_id, then offset.  A digest's earliest occurrence is a
+    partial aggregate; the commonest digests find it by a broadcast.
     """
-    src = docs.select(row_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = save(src.mapInArrow(_digests(unit_words, least, whole), "row_id long, doc_id long, i long, j long, digest binary"), "substring-units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id", "i")
-    groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("keep")).where("n > 1").select("digest", "keep.row_id", "keep.i")
-    groups = groups.toDF("digest", "keep_row", "keep_i")
-    gone = found.join(groups, "digest").where((F.col("row_id") != F.col("keep_row")) | (F.col("i") != F.col("keep_i")))
-    return save(gone.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("spans")), "substring-spans")
+    groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("keep")).where("n > 1")
+    groups = save(groups.select("digest", "n", F.col("keep.row_id").alias("keep_row"), F.col("keep.i").alias("keep_i")), "substring-groups")
+    gone = heavy_join(found, groups, "digest", "n").where((F.col("row_id") != F.col("keep_row")) | (F.col("i") != F.col("keep_i")))
+    spans = save(gone.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("spans")), "substring-spans")
+    discard(found, groups)
+    return spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +138,10 @@ def substring_dedup(docs: DataFrame, unit_words: int = UNIT_WORDS, least: int =
 
     With ``whole`` lines of any length and the runs of long units count too;
     overlapping spans are joined.  Null texts count as empty and keep the empty text.  Of equal rows the one
-    with the smallest row_id keeps its units.  Other columns are not read; an
-    empty table gives no rows.
+    with the smallest row_id keeps its units.  A text of any length is read whole
+    by one task.  The rows are written once with their row_id.  Other columns are
+    not read; an empty table gives no rows.
     """
-    spans = repeated_spans(docs, unit_words, least, whole)
-    src = docs.select(row_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = save(docs.select(row_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "substring-rows")
+    spans = repeated_spans(src, unit_words, least, whole)
     return src.join(spans, "row_id", "left").mapInArrow(_cut, "row_id long, doc_id long, spans array<struct<i:long,j:long>>, kept_text string")

@@ -17,7 +17,7 @@ EDGE = [
     (9, "12345 67890 !!", "fr", "b"),
 ]
 #: columns whose names clash with the operators' own
-CLASH = ["row_id", "digest", "n", "kept", "spans", "fp", "key", "shard", "view", "block", "start", "target", "score", "s", "at", "chunk", "length", "epoch", "stretches", "expected_grade", "tail", "keep", "sketch", "bits", "prev", "bucket", "keys", "hot", "verdicts"]
+CLASH = ["row_id", "digest", "n", "kept", "spans", "fp", "key", "shard", "view", "block", "start", "target", "score", "s", "at", "chunk", "length", "epoch", "stretches", "expected_grade", "tail", "keep", "sketch", "bits", "prev", "bucket", "keys", "hot", "verdicts", "dkey", "whole", "copies", "i", "j", "x", "fits", "patterns", "best", "cell", "part", "level", "known", "__row_id", "__grade", "__tail", "__keep", "__stretches", "_row_id", "rank", "cut"]
 
 
 @pytest.fixture(scope="session")

@@ -9,6 +9,7 @@ import pytest
 
 from strandloom.llm import mixing as M
 from strandloom.llm import packing as K
+from strandloom.llm.common import identified
 from strandloom.llm.topk import build_tree, exact_topk, quantised, search_tree, usable
 
 # ---- mixing
@@ -67,8 +68,9 @@ def test_mix_near_target(sample):
 
 def test_mixed_documents_have_the_taken_words(sample, edge):
     for df in (sample, edge):
-        mix = M.mix_sources(df)
-        out = M.mixed_documents(df, mix)
+        numbered, row = identified(df)
+        mix = M.mix_sources(numbered, row=row)
+        out = M.mixed_documents(numbered, mix, row)
         assert out.columns == df.columns
         taken = defaultdict(int)
         for r in M.taken_words(mix).collect():

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandloom.llm import simhash as S
+from strandloom.llm import suffix_dedup as X
 from strandloom.llm.common import row_id
 from strandloom.llm.components import connected_components
 from strandloom.llm.exact_dedup import exact_dedup, misra_gries
@@ -70,7 +71,7 @@ def test_substring_against_brute_force(sample, edge, empty):
         for doc, rid, text in sorted(((r.doc_id, r.row_id, None) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
             first.setdefault((doc, rid), text)
         texts = {r.row_id: None for r in got}
-        with_id = df.select(row_id().alias("rid"), "doc_id", "text").collect()
+        with_id = df.select(row_id().alias("rid"), "doc_id", "text").collect()  # as written: no task splits a file here
         texts = {r.rid: (r.doc_id, r.text or "") for r in with_id}
         seen, want = set(), {}
         for rid, (doc, text) in sorted(texts.items(), key=lambda kv: (kv[1][0] is None, kv[1][0] or 0, kv[0])):
@@ -161,8 +162,37 @@ def test_suffix_against_brute_force(spark, tmp_path):
     _check_suffix(spark, texts, tmp_path / "t")
 
 
-def test_suffix_hot_symbols_go_by_hash(spark, tmp_path):
-    _check_suffix(spark, _hard_texts(), tmp_path / "t", hot_rows=2)
+def test_suffix_hot_symbols_are_dealt_by_more_symbols(spark, tmp_path):
+    for hot in (1, 2, 7):
+        _check_suffix(spark, _hard_texts(), tmp_path / "t", hot_rows=hot)
+
+
+def test_suffix_sample_against_brute_force(sample):
+    got = remove_repeats(sample).orderBy("doc_id").collect()
+    texts = [(r.text or "").encode() for r in sample.orderBy("doc_id").collect()]
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == _brute(texts, 400)
+
+
+def test_interleave_of_sorted_runs():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        m, width = int(rng.integers(1, 60)), 4
+        rows = sorted((int(rng.integers(0, 4)), tuple(rng.integers(0, 3, width).tolist())) for _ in range(m))
+        shard, table = np.array([s for s, _ in rows]), np.zeros((m, width, 2), np.uint64)
+        table[:, :, 0] = [t for _, t in rows]
+        order, block = np.arange(m), np.zeros(m, np.int64)
+        for d in range(width):
+            order, block = X._refine(order, block, shard, table[:, d])
+            want = sorted(range(m), key=lambda i: (rows[i][1][: d + 1], i))
+            assert order.tolist() == want
+            assert [len({block[i] for i in range(m) if rows[order[i]][1][: d + 1] == p}) for p in {t[: d + 1] for _, t in rows}] == [1] * (block[-1] + 1)
+
+
+def test_distinct_keys_with_equal_halves():
+    wide, small = np.array([5, 5, 1, 5, 1], np.uint64), np.array([2, 1, 0, 2, 0], np.uint32)
+    a, b, n, place = X.distinct_keys(wide, small)
+    assert a.tolist() == [1, 5, 5] and b.tolist() == [0, 1, 2] and n.tolist() == [2, 1, 2] and place.tolist() == [2, 1, 0, 2, 0]
+    assert [len(x) for x in X.distinct_keys(wide[:0], small[:0])] == [0] * 4
 
 
 def test_suffix_edge_and_empty(edge, empty):
