@@ -10,42 +10,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import quality
-from strandloom.llm.common import row_id, save
+from strandloom.llm.common import fresh, identified, save
 from strandloom.llm.exact_dedup import exact_dedup
 from strandloom.llm.mixing import mix_sources, mixed_documents
 from strandloom.llm.packing import pack_pow2
 from strandloom.llm.simhash import near_duplicates
 
-ROW = "__row_id"
 
-
-def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose row_id is in ``rows``."""
-    return docs.withColumn(ROW, row_id()).join(rows.select(F.col("row_id").alias(ROW)), ROW, "left_semi").drop(ROW)
+def _only(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose number (column ``row``, dropped) is a row_id of ``rows``."""
+    return docs.join(rows.select(F.col("row_id").alias(row)), row, "left_semi").drop(row)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade is at least one half stay."""
+    """Documents whose probability of the top grade is at least one half stay.
+
+    A document without words scores 0 and is judged by the thresholds alone; without ratings all stay.
+    """
     model = quality.train(docs, quality.label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.grade_documents(docs, model, names=("__grade", "__tail", "__keep")).where("__keep").select(*docs.columns)
+    names = tuple(fresh(name, docs.columns) for name in ("expected_grade", "tail", "keep"))
+    return quality.grade_documents(docs, model, names=names).where(F.col(names[2])).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts (null is empty) the row with the largest doc_id stays, of rows that repeat both the last."""
+    docs, row = identified(docs)
+    return _only(docs, row, exact_dedup(docs, row=row).where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays."""
-    return _only(docs, near_duplicates(docs, words=5, similarity=0.8).where("first"))
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays.
+
+    Texts without words are one group.
+    """
+    docs, row = identified(docs)
+    return _only(docs, row, near_duplicates(docs, words=5, similarity=0.8, row=row).where("first"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes; a row for each pass over a document."""
-    return mixed_documents(docs, mix_sources(docs))
+    """The words that the mix takes; a row for each pass over a document.  Texts without words are not taken."""
+    docs, row = identified(docs)
+    return mixed_documents(docs, mix_sources(docs, row=row), row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document (see :func:`strandloom.llm.packing.pack_pow2`); no other columns."""
     return pack_pow2(docs).drop("row_id")
 
 
