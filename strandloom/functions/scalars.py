@@ -153,6 +153,13 @@ def survival_stratum(days_to_death: Column, days_to_followup: Column, median_dea
     return F.when(days_to_death.isNotNull(), F.when(days_to_death > median_death, 1).otherwise(0)).otherwise(F.when(days_to_followup > median_followup, 3).otherwise(2))
 
 
+def stratum(kind: str, *cols: Column) -> Column:
+    """The class to stratify by: of survival (four columns), of a stage, or the value itself."""
+    if kind == "survival":
+        return survival_stratum(*cols)
+    return stage_code(cols[0]) if kind == "stage" else cols[0]
+
+
 def stage_code(stage: Column) -> Column:
     """'stage i'..'stage v' as 0..4, sub-stage letters dropped; else NULL."""
     s = F.regexp_replace(F.lower(F.trim(stage)), "[^iv]$", "")

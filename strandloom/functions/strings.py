@@ -76,6 +76,36 @@ def corruption_label(*levels: Column) -> Column:
     return F.format_string("_".join(["%.2f"] * len(levels)), *levels)
 
 
+def display_name(name: Column, names: dict[str, str]) -> Column:
+    """The name to show; names without one are shown as they are."""
+    return F.coalesce(lookup(names)[name], name) if names else name
+
+
+def option_value(text: str) -> object:
+    """The value of an option as written: nothing, a bool, an int, a float, a list a:b:c, or the text."""
+    if text in ("nothing", "None", ""):
+        return None
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return [option_value(t) for t in text.split(":")] if ":" in text else text
+
+
+def options(known: dict[str, object], args: list[str]) -> dict[str, object]:
+    """``known`` options updated by k=v arguments; unknown names are an error."""
+    out = dict(known)
+    for arg in args:
+        name, _, text = arg.removeprefix("--").partition("=")
+        if name not in known:
+            raise ValueError(f"unknown option {name!r}; known: {sorted(known)}")
+        out[name] = option_value(text)
+    return out
+
+
 def view_label(feature: Column, view: Column) -> Column:
     """Plain numbers get the view in front."""
     return F.when(feature.rlike("^[0-9]+$"), F.concat_ws("_", view, feature)).otherwise(feature)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import ratio
+from strandloom.operators.ranged import quantile
 
 AGGREGATES = {"mean": F.avg, "var": F.var_samp, "median": F.median, "count": F.count, "std": F.stddev_samp}
 
@@ -89,12 +90,12 @@ def first_seen(df: DataFrame, col: str, pos: str) -> DataFrame:
 
 
 def medians(obs: DataFrame) -> DataFrame:
-    return obs.groupBy("feature_id").agg(F.median("value").alias("median"))
+    return quantile(obs, "value", 0.5, "feature_id", name="median")
 
 
 def median_impute(grid: DataFrame, med: DataFrame) -> DataFrame:
     """Missing values replaced by the (training) median of their feature."""
-    return grid.join(F.broadcast(med), "feature_id", "left").select("sample_id", "feature_id", F.coalesce("value", "median").alias("value"))
+    return grid.join(med, "feature_id", "left").select("sample_id", "feature_id", F.coalesce("value", "median").alias("value"))
 
 
 def standardise(obs: DataFrame, params: DataFrame | None = None, population: bool = True) -> DataFrame:
@@ -160,7 +161,8 @@ def average_rank(col: str, *by: str) -> Column:
 def recovery(df: DataFrame, *by: str) -> DataFrame:
     """R2, Pearson and Spearman correlation of fitted (f) against true (t) values."""
     mean = df.groupBy(*by).agg(F.avg("t").alias("mt"))
-    ranked = df.withColumn("rt", average_rank("t", *by)).withColumn("rf", average_rank("f", *by)).join(F.broadcast(mean), list(by))
+    ranked = df.withColumn("rt", average_rank("t", *by)).withColumn("rf", average_rank("f", *by))
+    ranked = ranked.join(mean, list(by)) if by else ranked.crossJoin(mean)
     return ranked.groupBy(*by).agg(
         (1 - F.sum((F.col("t") - F.col("f")) ** 2) / F.nullif(F.sum((F.col("t") - F.col("mt")) ** 2), F.lit(0.0))).alias("r2"), F.corr("t", "f").alias("pearson"), F.corr("rt", "rf").alias("spearman")
     )

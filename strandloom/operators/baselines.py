@@ -5,58 +5,62 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.operators import sums as U
 from strandloom.operators.aggregates import column_params, median_impute, medians, standardise
+from strandloom.operators.factor import packed_rows
 from strandloom.operators.joins import align_left
 from strandloom.operators.optimise import masked_least_squares
 from strandloom.operators.select import composite_filter
+from strandloom.sources.scratch import discard, save
 
 
 def wide_rows(obs: DataFrame, ids: list[str]) -> DataFrame:
-    """sample_id and values in the order of ``ids``, NULL where missing."""
-    place = obs.sparkSession.createDataFrame(list(enumerate(ids)), "j int, feature_id string")
-    packed = obs.where("value is not null").join(F.broadcast(place), "feature_id").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("m"))
-    return packed.select(F.col("sample_id").cast("string").alias("sample_id"), F.transform(F.sequence(F.lit(0), F.lit(len(ids) - 1)), lambda j: F.col("m")[j]).alias("vals"))
+    """sample_id, and the values it has as sorted lists: idx (place in ``ids``) and vals."""
+    return packed_rows(obs, ids).drop("condition")
 
 
-def pca(rows: DataFrame, n: int, k: int, rounds: int = 10, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(Y: k x n, share of variance explained): components of standardised rows with missing values.
+def pca(rows: DataFrame, n: int, k: int, rounds: int = 50, tolerance: float = 1e-6, extra: int = 60, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(Y: k x n, share of variance explained): components of standardised rows (idx, vals) with missing values.
 
-    Expectation-maximisation: a round fills each row's gaps from its own least
-    squares scores and adds up the n x n second moments; the driver decomposes.
+    Subspace iteration inside expectation-maximisation: a round fills each row's
+    gaps from its own least squares scores and adds up  Z'(Z B)  for a basis B of
+    k + ``extra`` directions, n x (k + extra) numbers instead of n x n moments.
+    Rows with k or fewer values take no part.
     """
-    rows = rows.persist()  # each round reads them again
-    y = np.zeros((0, n))
-    share, last = np.zeros(k), np.inf
+    rows = save(rows, "pca-rows")  # each round reads them again
+    q = min(n, k + extra)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, q)))[0]
+    y, share, last = np.zeros((0, n)), np.zeros(k), np.inf
     for _ in range(rounds):
 
-        def run(batches: Iterator[pd.DataFrame], y: np.ndarray = y) -> Iterator[pd.DataFrame]:
-            total, count = np.zeros((n, n)), 0
-            for pdf in batches:
-                z = np.array([[np.nan if v is None else v for v in r] for r in pdf["vals"]], float).reshape(len(pdf), n)
-                fill = masked_least_squares(z, y, 1e-6) @ y if len(y) else np.zeros_like(z)
-                z = np.where(np.isfinite(z), z, fill)
-                total += z.T @ z
-                count += len(z)
-            yield pd.DataFrame({"i": np.arange(n + 1), "row": [*total, [float(count)]]})
-
-        parts = rows.mapInPandas(run, "i int, row array<double>")
-        got = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-        m = np.zeros((n, n))
-        own = got[got["i"] < n]
-        m[own["i"].to_numpy(int), own["j"].to_numpy(int)] = own["v"]
-        m /= max(1.0, float(got.loc[got["i"] == n, "v"].sum()))
-        values, vectors = np.linalg.eigh((m + m.T) / 2)
-        y = vectors[:, ::-1][:, :k].T
+        def run(batches: Iterator[pa.RecordBatch], y: np.ndarray = y, basis: np.ndarray = basis) -> Iterator[pa.RecordBatch]:
+            table, size = np.zeros((n, q)), np.zeros(2)
+            for b in (piece for whole in batches for piece in U.slices(whole, n)):
+                z = U.dense(b, n)
+                z = z[np.isfinite(z).sum(axis=1) > k]
+                gaps = ~np.isfinite(z)
+                z = np.where(gaps, masked_least_squares(z, y, 1e-6) @ y if len(y) and gaps.any() else 0.0, z)
+                table += z.T @ (z @ basis)
+                size += (float((z * z).sum()), len(z))
+            yield U.partial(U.split_rows("moment", table) | {"size": size})
+
+        got = U.add_up(rows.mapInArrow(run, U.SCHEMA))
+        total, count = got.get("size", np.zeros(2))
+        moment = U.join_rows("moment", got, (n, q)) / max(1.0, count)
+        small = basis.T @ moment
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        y = (basis @ vectors[:, ::-1][:, :k]).T
         y = y * np.where(y[np.arange(len(y)), np.abs(y).argmax(axis=1)] < 0, -1, 1)[:, None]
-        share = values[::-1][:k] / max(values.sum(), 1e-12)
+        share = values[::-1][:k] / max(total / max(1.0, count), 1e-12)
         if abs(last - share.sum()) < tolerance:
             break
         last = share.sum()
-    rows.unpersist()
+        basis = np.linalg.qr(moment)[0]
+    discard(rows)
     return y, share
 
 
@@ -87,14 +91,15 @@ def block_diagonal(blocks: list[np.ndarray]) -> np.ndarray:
 
 
 def linear_transform(rows: DataFrame, y: np.ndarray, ridge: float = 0.0) -> DataFrame:
-    """(sample_id, x): least squares scores of rows with missing values on the components y."""
+    """(sample_id, x): least squares scores of rows (idx, vals) with missing values on the components y."""
+    k, n = y.shape
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            z = np.array([[np.nan if v is None else v for v in r] for r in pdf["vals"]], float).reshape(len(pdf), y.shape[1])
-            yield pd.DataFrame({"sample_id": pdf["sample_id"], "x": list(masked_least_squares(z, y, ridge))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (piece for whole in batches for piece in U.slices(whole, n)):
+            x = masked_least_squares(U.dense(b, n), y, ridge)
+            yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(x.ravel()))], ["sample_id", "x"])
 
-    return rows.mapInPandas(run, "sample_id string, x array<double>")
+    return rows.mapInArrow(run, "sample_id string, x array<double>")
 
 
 def raw_baseline(obs: DataFrame, samples: DataFrame, least: int, fraction: float) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.sources.scratch import checkpointing
+
 
 def residual_statistics(obs: DataFrame, batch_map: DataFrame, samples: DataFrame) -> DataFrame:
     """(view, batch, feature_id, n, s, q, sigma2): residuals after the mean of the sample's condition.
@@ -38,7 +40,7 @@ def em_round(state: DataFrame) -> DataFrame:
     )
     alpha = 2 + F.col("dm") ** 2 / (F.col("dv") + 1e-9)
     p = prior.withColumn("alpha", alpha).withColumn("beta", F.col("dm") * (F.col("alpha") - 1))
-    j = state.join(F.broadcast(p), ["view", "batch"])
+    j = state.join(p, ["view", "batch"])
     spread = F.col("delta2") * F.col("sigma2")
     theta = (F.col("tm") * spread + F.col("theta_lsq") * F.col("n") * F.col("tv")) / (spread + F.col("n") * F.col("tv"))
     j = j.withColumn("theta", theta)
@@ -53,6 +55,7 @@ def fit_batch_effects(obs: DataFrame, batch_map: DataFrame, samples: DataFrame,
     Stops when |change of theta|^2 <= tolerance |theta|^2.  The state is
     checkpointed every few rounds.
     """
+    checkpointing(obs.sparkSession)
     state = least_squares_start(residual_statistics(obs, batch_map, samples)).checkpoint()
     used = 0
     for used in range(1, rounds + 1):

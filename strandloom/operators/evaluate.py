@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.scalars import guarded
+from strandloom.operators.aggregates import recovery
 from strandloom.operators.joins import assignment
 from strandloom.operators.ordered import average_precision, roc_auc
+from strandloom.operators.ranged import BUCKET, buckets
 
 
 def classification_scores(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -35,21 +38,75 @@ def regression_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.agg(e.alias("mse"), (1 - e / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"), F.var_pop(y).alias("baseline_mse"))
 
 
+def later_wins(r: np.ndarray, w: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each point, in the order given, the weight of later points with a smaller r, plus half of those with an equal one.
+
+    Counted level by level: blocks of 1, 2, 4 ... points look up the sorted block
+    beside them.  Points with ``own`` 0 are not asked.
+    """
+    n = len(r)
+    rank = np.unique(r, return_inverse=True)[1].astype(np.int64)
+    out, size, top = np.zeros(n), 1, int(rank.max(initial=0)) + 1
+    at = np.arange(n)
+    while size < n:
+        pair, right = at // (2 * size), at // size % 2 == 1
+        key = pair[right] * top + rank[right]
+        order = np.argsort(key, kind="stable")
+        key, upto = key[order], np.concatenate(([0.0], np.cumsum(w[right][order])))
+        ask = ~right & (own > 0)
+        want = pair[ask] * top + rank[ask]
+        base = upto[np.searchsorted(key, pair[ask] * top, "left")]
+        out[ask] += (upto[np.searchsorted(key, want, "left")] + upto[np.searchsorted(key, want, "right")]) / 2 - base
+        size *= 2
+    return out
+
+
 def concordance(df: DataFrame, time: str, dead: str, risk: str) -> DataFrame:
     """Harrell's index: of the pairs whose order in time is known, the share in which the earlier death has the higher risk.
 
     Ties in risk count half; pairs with equal times count if only one died.
-    Rows are first counted by distinct (time, risk); the range join then pairs
-    these, so the work grows with the square of the number of distinct values.
-    Made for test sets of a study, not for whole corpora.
+    Rows are first counted by distinct (time, risk), then ranged by time and by
+    risk.  Pairs in one range of time, or of different times in one range of
+    risk, are counted by sorting in a task; all others follow from counts by
+    (range, range), so the work grows with n log n.
     """
-    pts = df.groupBy(F.col(time).alias("t"), F.col(risk).alias("r")).agg(F.sum(F.col(dead).cast("int")).alias("d"), F.sum((~F.col(dead)).cast("int")).alias("c"))
-    # deaths against everything later, and against the living at the same time
-    a = pts.where("d > 0").select(F.col("t").alias("t0"), F.col("r").alias("r0"), F.col("d").alias("d0"))
-    j = a.join(pts, (F.col("t") > F.col("t0")) | ((F.col("t") == F.col("t0")) & (F.col("c") > 0)))
-    n = F.col("d0") * F.when(F.col("t") > F.col("t0"), F.col("d") + F.col("c")).otherwise(F.col("c"))
-    won = F.when(F.col("r0") > F.col("r"), 1.0).when(F.col("r0") == F.col("r"), 0.5).otherwise(0.0)
-    return j.agg(F.coalesce(F.try_divide(F.sum(n * won), F.sum(n)), F.lit(0.5)).alias("concordance"))
+    pts = df.groupBy(F.col(time).cast("double").alias("t"), F.col(risk).cast("double").alias("r")).agg(F.sum(F.col(dead).cast("int")).alias("d"), F.sum((~F.col(dead)).cast("int")).alias("c"))
+    by_time = buckets(pts, "t").withColumnRenamed(BUCKET, "tb")
+    held = buckets(by_time, "r").withColumnRenamed(BUCKET, "rb")
+
+    def same_time(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All pairs inside a range of time."""
+        p = pdf.sort_values(["t", "r"], ignore_index=True)
+        d, c, t = (p[x].to_numpy(float) for x in ("d", "c", "t"))
+        won = later_wins(p["r"].to_numpy(), d + c, d)  # at equal times the others follow with a higher risk
+        starts = np.searchsorted(t, t, "left")
+        alive = np.concatenate(([0.0], np.cumsum(c)))
+        won += alive[:-1] - alive[starts] + c / 2
+        ends, weight = np.searchsorted(t, t, "right"), np.concatenate(([0.0], np.cumsum(d + c)))
+        pairs = weight[-1] - weight[ends] + alive[ends] - alive[starts]
+        return pd.DataFrame({"won": [float((d * won).sum())], "n": [float((d * pairs).sum())]})
+
+    def same_risk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs inside a range of risk whose ranges of time differ: all later ones but those of the same range."""
+        p = pdf.sort_values(["tb", "r", "t"], ignore_index=True)
+        d, c = p["d"].to_numpy(float), p["c"].to_numpy(float)
+        r, tb = p["r"].to_numpy(), p["tb"].to_numpy()
+        won = later_wins(r, d + c, d)
+        for i, j in zip(*(np.searchsorted(tb, np.unique(tb), side) for side in ("left", "right")), strict=True):
+            won[i:j] -= later_wins(r[i:j], (d + c)[i:j], d[i:j])
+        return pd.DataFrame({"won": [float((d * won).sum())], "n": [0.0]})
+
+    parts = "won double, n double"
+    # a row for each pair of ranges: what lies later, and later in lower ranges of risk
+    grid = held.groupBy("tb", "rb").agg(F.sum("d").alias("d"), F.sum(F.col("d") + F.col("c")).alias("w"))
+    full = held.select("tb").distinct().crossJoin(held.select("rb").distinct()).join(grid, ["tb", "rb"], "left").na.fill(0, ["d", "w"])
+    lower = F.coalesce(F.sum("w").over(Window.partitionBy("tb").orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    full = full.withColumn("lower", lower).withColumn("all", F.sum("w").over(Window.partitionBy("tb")))
+    later = Window.partitionBy("rb").orderBy("tb").rowsBetween(1, Window.unboundedFollowing)
+    full = full.withColumn("won", F.col("d") * F.coalesce(F.sum("lower").over(later), F.lit(0))).withColumn("n", F.col("d") * F.coalesce(F.sum("all").over(later), F.lit(0)))
+    far = full.agg(F.coalesce(F.sum("won"), F.lit(0)).cast("double").alias("won"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
+    near = held.groupBy("tb").applyInPandas(same_time, parts).unionByName(held.groupBy("rb").applyInPandas(same_risk, parts))
+    return near.unionByName(far).agg(F.coalesce(F.try_divide(F.sum("won"), F.sum("n")), F.lit(0.5)).alias("concordance"))
 
 
 def span_similarity(true: np.ndarray, fitted: np.ndarray) -> float:
@@ -95,3 +152,72 @@ def procrustes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     u1, _, v1 = np.linalg.svd(a, full_matrices=False)
     u2, _, v2 = np.linalg.svd(b, full_matrices=False)
     return (u1 @ v1) @ (u2 @ v2).T @ b
+
+
+def column_scores(df: DataFrame, score: str, truth: str, column: str) -> DataFrame:
+    """Mean over columns of AUC and average precision, columns of one class left out of the latter."""
+    auc, ap = roc_auc(df, score, truth, column), average_precision(df, score, truth, column)
+    return auc.join(ap, column).agg(F.avg("auc").alias("auc"), F.avg("ap").alias("ap"))
+
+
+def pair_scores(true: DataFrame, fitted: DataFrame, item: str) -> DataFrame:
+    """(i, j, auc): how well the values of fitted column j tell the positive items of true column i.
+
+    true: (i, item, positive); fitted: (j, item, v).
+    """
+    pairs = true.join(fitted, item)
+    return roc_auc(pairs, "v", "positive", "i", "j")
+
+
+def best_pairs(scores: DataFrame, value: str, size: int) -> float:
+    """Mean of the best one-to-one matching of (i, j, value) rows; factors of a model, so size x size numbers come to the driver."""
+    grid = np.zeros((size, size))
+    for r in scores.select("i", "j", value).collect():
+        grid[r["i"], r["j"]] = r[value]
+    return best_match(grid)
+
+
+def recovery_scores(true: dict[str, DataFrame], fitted: dict[str, DataFrame], k: int) -> dict[str, float]:
+    """How well a fit recovers simulated parameters.
+
+    Tables by name: X (k, sample_id, v), Y (k, feature_id, v); A (k, set_id, v);
+    mu, logsigma (feature_id, v); theta, logdelta (view, batch, feature_id, v).
+    Spans of X and Y, AUC, average precision and base rate of A's entries after
+    matching, and r2, Pearson and Spearman correlation of the others; a
+    non-finite logdelta counts as 0.  Tables that either side lacks are left out.
+    """
+    out: dict[str, float] = {}
+    for name, item in (("X", "sample_id"), ("Y", "feature_id")):
+        if name in true and name in fitted:
+            out[f"{name}_span"] = span_from_products(*(_products(a, b, item, k) for a, b in ((true[name], fitted[name]), (true[name], true[name]), (fitted[name], fitted[name]))))
+    if "A" in true and "A" in fitted:
+        t = true["A"].select(F.col("k").alias("i"), "set_id", (F.col("v") > 0).alias("positive"))
+        pairs = pair_scores(t, fitted["A"].select(F.col("k").alias("j"), "set_id", "v"), "set_id")
+        out["A_auc"] = best_pairs(pairs, "auc", k)
+        ap = average_precision(t.join(fitted["A"].select(F.col("k").alias("j"), "set_id", "v"), "set_id"), "v", "positive", "i", "j")
+        out["A_ap"] = best_pairs(ap.na.fill(0.0, ["ap"]), "ap", k)
+        out["A_base"] = t.agg(F.avg(F.col("positive").cast("double"))).first()[0]
+    for name in ("mu", "logsigma", "theta", "logdelta"):
+        if name in true and name in fitted:
+            keys = [c for c in true[name].columns if c != "v"]
+            f = guarded(F.col("f"), 0.0) if name == "logdelta" else F.col("f")
+            both = true[name].withColumnRenamed("v", "t").join(fitted[name].select(*keys, F.col("v").alias("f")), keys).withColumn("f", f)
+            r = recovery(both.select("t", "f")).first()
+            out |= {f"{name}_{c}": r[c] for c in ("r2", "pearson", "spearman")}
+    return out
+
+
+def _products(a: DataFrame, b: DataFrame, item: str, k: int) -> np.ndarray:
+    """k x k inner products of two long factor tables over their items."""
+    left, right = a.select(item, F.col("k").alias("i"), F.col("v").alias("a")), b.select(item, F.col("k").alias("j"), F.col("v").alias("b"))
+    out = np.zeros((k, k))
+    for r in left.join(right, item).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p")).collect():
+        out[r["i"], r["j"]] = r["p"]
+    return out
+
+
+def span_from_products(cross: np.ndarray, true: np.ndarray, fitted: np.ndarray) -> float:
+    """:func:`span_similarity` from K x K inner products, for factors of any number of items."""
+    s, t = (np.sort(np.maximum(np.linalg.eigvalsh(g), 0))[::-1] for g in (true, fitted))
+    bound = float((s * t).sum())
+    return float((cross**2).sum() / bound) if bound else 0.0

@@ -2,80 +2,210 @@
 
 Forward model:  z = (x_i . y_j) sigma_j delta_bj + mu_j + theta_bj, then the
 inverse link of the feature's noise model.  Parameters of feature size (K x N)
-live on the driver and are broadcast; everything of sample size stays in
-DataFrames: one row per sample with its values and its factor.  An epoch is one
-pass over these rows: every partition updates its own factors and returns
-partial sums per feature, which Spark adds up by feature.
+live on the driver and are broadcast.  A sample's factor is the minimiser of its
+own row given these, so it is never kept during a fit: a pass reads the rows
+(written once, as sorted index and value lists), solves each row and returns
+sums per feature, from which the driver takes a Newton step on Y that uses the
+priors' gradients and curvatures.  With normal noise this is alternating least
+squares.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import DISTRIBUTIONS, finite, impute
+from strandloom.operators import sums as U
 from strandloom.operators.batch import fit_batch_effects, remove_batch
-from strandloom.operators.optimise import ista_nonnegative, lbfgs, masked_least_squares
+from strandloom.operators.regularise import FeatureSets, Prior, Relevance, SamplePrior, feature_prior, minimal_prior
 from strandloom.sources.files import load_tables, save_tables
+from strandloom.sources.scratch import save
 
 THRESHOLDS = (-1.0, 1.0)
-_STATE = "sample_id string, vals array<double>, x array<double>, acc array<double>"
+_LEAST_STEP, _MOST_STEP = 0.02, 8.0
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * z) + 0.5
 
 
-def loss_and_gradient(kind: str, z: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Elementwise loss and its derivative in z; zero where d is missing."""
+def noise_terms(kind: str, z: np.ndarray, d: np.ndarray, cuts: tuple = THRESHOLDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elementwise loss, its derivative in z and a curvature; zero where d is missing.
+
+    ``cuts``: the two thresholds of ordinal noise, numbers or one for each column.
+    """
     seen = np.isfinite(d)
     d = np.where(seen, d, 0.0)
     if kind == "normal":
-        loss, g = 0.5 * (z - d) ** 2, z - d
+        loss, g, h = 0.5 * (z - d) ** 2, z - d, np.ones_like(z)
     elif kind == "bernoulli":
-        loss, g = np.logaddexp(0, z) - d * z, _sigmoid(z) - d
+        p = _sigmoid(z)
+        loss, g, h = np.logaddexp(0, z) - d * z, p - d, p * (1 - p)
     elif kind == "poisson":
         e = np.exp(np.minimum(z, 30))
-        loss, g = e - d * z, e - d
+        loss, g, h = e - d * z, e - d, e
     elif kind == "bernoulli_sq_hinge":
         s = 2 * d - 1
-        h = np.maximum(1 - s * z, 0)
-        loss, g = 0.5 * h * h, -s * h
+        m = np.maximum(1 - s * z, 0)
+        loss, g, h = 0.5 * m * m, -s * m, (m > 0) * s * s
     elif kind == "ordinal3":
-        cuts = np.array([-np.inf, *THRESHOLDS, np.inf])
-        level = np.clip(np.where(seen, d, 1), 1, 3).astype(int)
-        a, b = _sigmoid(cuts[level - 1] - z), _sigmoid(cuts[level] - z)
-        loss, g = -np.log(np.maximum(b - a, 1e-12)), 1 - a - b
+        low, high = (np.broadcast_to(c, z.shape) for c in cuts)
+        level = np.clip(np.where(seen, d, 1), 1, 3)
+        a = np.where(level == 1, 0.0, _sigmoid(np.where(level == 2, low, high) - z))
+        b = np.where(level == 3, 1.0, _sigmoid(np.where(level == 1, low, high) - z))
+        loss, g, h = -np.log(np.maximum(b - a, 1e-12)), 1 - a - b, a * (1 - a) + b * (1 - b)
     elif kind == "ordinal_sq_hinge3":
-        loss, g = np.zeros_like(z), np.zeros_like(z)
-        for i, t in enumerate(THRESHOLDS):
+        loss, g, h = np.zeros_like(z), np.zeros_like(z), np.zeros_like(z)
+        for i, t in enumerate(cuts):
             s = np.where(d > i + 1, 1.0, -1.0)
-            h = np.maximum(1 - s * (z - t), 0)
-            loss, g = loss + 0.5 * h * h, g - s * h
+            m = np.maximum(1 - s * (z - t), 0)
+            loss, g, h = loss + 0.5 * m * m, g - s * m, h + (m > 0)
     else:
         raise ValueError(f"unknown distribution {kind!r}; known: {DISTRIBUTIONS}")
-    return loss * seen, g * seen
+    return loss * seen, g * seen, np.maximum(h, 1e-6) * seen
+
+
+def packed_rows(obs: DataFrame, ids: list[str], samples: DataFrame | None = None) -> DataFrame:
+    """sample_id, condition and the finite values as sorted lists: idx (place in ``ids``) and vals."""
+    place = obs.sparkSession.createDataFrame(pd.DataFrame({"feature_id": pd.Series(ids, dtype=object), "j": np.arange(len(ids), dtype=np.int32)}), "feature_id string, j int")
+    at = obs.withColumn("value", finite(F.col("value"))).where("value is not null").join(F.broadcast(place), "feature_id")
+    cells = at.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("j", F.col("value").cast("double").alias("value")))).alias("c"))
+    out = cells.select(F.col("sample_id").cast("string").alias("sample_id"), F.transform("c", lambda s: s["j"]).alias("idx"), F.transform("c", lambda s: s["value"]).alias("vals"))
+    if samples is not None and "condition" in samples.columns:
+        return out.join(samples.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("condition").cast("string").alias("condition")), "sample_id", "left")
+    return out.withColumn("condition", F.lit(None).cast("string"))
+
+
+def column_estimates(kind: str, levels: np.ndarray, cuts: tuple[np.ndarray, np.ndarray], rounds: int = 60) -> np.ndarray:
+    """The best shift of each column alone, by Newton steps on the counts of its levels (rows: columns)."""
+    mu = np.zeros(len(levels))
+    values = [0.0, 0.0, 1.0] if kind == "bernoulli_sq_hinge" else [1.0, 2.0, 3.0]
+    for _ in range(rounds):
+        g, h = np.zeros(len(levels)), np.full(len(levels), 1e-9)
+        for i, v in enumerate(values):
+            _, slope, bend = noise_terms(kind, mu, np.full(len(levels), v), cuts)
+            g, h = g + levels[:, i] * slope, h + levels[:, i] * bend
+        step = np.clip(g / h, -1, 1)
+        mu = np.clip(mu - step, -10, 10)
+        if np.abs(step).max(initial=0) < 1e-9:
+            break
+    return mu
+
+
+@dataclass
+class Columns:
+    """What a kernel needs to know about the features."""
+
+    y: np.ndarray
+    sigma: np.ndarray
+    mu: np.ndarray
+    weight: np.ndarray
+    groups: list[tuple[str, np.ndarray]]
+    cuts: tuple[np.ndarray, np.ndarray]
+
+    @property
+    def normal(self) -> bool:
+        return all(kind == "normal" for kind, _ in self.groups)
+
+    def terms(self, x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Loss, slope and curvature of each cell in z, without weights."""
+        z = (x @ self.y) * self.sigma + self.mu
+        loss, g, h = np.zeros_like(d), np.zeros_like(d), np.zeros_like(d)
+        for kind, cols in self.groups:
+            loss[:, cols], g[:, cols], h[:, cols] = noise_terms(kind, z[:, cols], d[:, cols], tuple(c[cols] for c in self.cuts))
+        return loss, g, h
+
+    def solve(self, d: np.ndarray, ridge: np.ndarray, rounds: int = 25) -> np.ndarray:
+        """The factor of each row: minimiser of its weighted loss plus 1/2 ridge x^2 (rows x K)."""
+        k, n = self.y.shape
+        pairs = (self.y[:, None, :] * self.y[None, :, :]).reshape(k * k, n).T
+        scale = self.weight * self.sigma**2
+        diagonal = np.eye(k) * (ridge + 1e-8)[:, :, None]
+        if self.normal:
+            z = (d - self.mu) / self.sigma
+            w = np.isfinite(z) * scale
+            b = (w * np.where(np.isfinite(z), z, 0.0)) @ self.y.T
+            return np.linalg.solve((w @ pairs).reshape(-1, k, k) + diagonal, b[..., None])[..., 0]
+        total = lambda x: (self.terms(x, d)[0] * self.weight).sum(axis=1) + 0.5 * (ridge * x * x).sum(axis=1)
+        x = np.zeros((len(d), k))
+        now = total(x)
+        for _ in range(rounds):
+            _, g, h = self.terms(x, d)
+            slope = (g * self.weight * self.sigma) @ self.y.T + ridge * x
+            step = -np.linalg.solve(((h * scale) @ pairs).reshape(-1, k, k) + diagonal, slope[..., None])[..., 0]
+            size = np.ones(len(d))
+            for _ in range(12):  # halve the step of the rows that rise
+                new = total(x + size[:, None] * step)
+                worse = new > now + 1e-12 * np.abs(now)
+                if not worse.any():
+                    break
+                size[worse] /= 2
+            size[worse] = 0.0
+            x = x + size[:, None] * step
+            before, now = now, np.where(worse, now, new)
+            if np.all(before - now <= 1e-9 * (1 + np.abs(now))):
+                break
+        return x
+
+
+class Selection:
+    """A ``keep`` callback of a fit: the model of the smallest loss among those whose scores pass.
+
+    ``scores``: the scores of a model; their ``share`` quantile has to exceed ``least``.
+    """
+
+    def __init__(self, scores: Callable[[FactorModel], list[float]], least: float, share: float = 0.75) -> None:
+        self.scores, self.least, self.share = scores, least, share
+        self.loss, self.kept = np.inf, None
+
+    def __call__(self, model: FactorModel, loss: float) -> None:
+        if loss < self.loss and np.quantile(self.scores(model), self.share) > self.least:
+            self.loss, self.kept = loss, (model.y.copy(), model.features.copy(), {v: a.copy() for v, a in model.assign.items()})
+
+
+@dataclass
+class Sums:
+    """What a pass adds up: per feature the second moments a, slope b, loss, sums of slopes and curvatures in mu, squared slopes, values; and of X."""
+
+    a: np.ndarray
+    b: np.ndarray
+    loss: np.ndarray
+    slope: np.ndarray
+    curvature: np.ndarray
+    squares: np.ndarray
+    count: np.ndarray
+    penalty: float
+    grams: dict[str, np.ndarray]
+    rows: float
 
 
 @dataclass
 class FactorModel:
     """Fit, transform, impute, interpret, save and load.
 
-    ``features`` (pandas): feature_id, view, distribution, mu, logsigma, weight in
-    model order; ``y``: K x N; ``factors`` (DataFrame): sample_id, x.
+    ``features`` (pandas): feature_id, view, distribution, mu, logsigma, weight,
+    cut1, cut2 in model order; ``y``: K x N; ``factors`` (DataFrame): sample_id, x.
+
+    ``prior`` of Y: 'l2' (a ridge by view, with ``selective_l1`` and ``network``
+    and graphs a mixture), 'ard' or 'fsard'; of X: a ridge, and one by the
+    samples' conditions where they have any.
     """
 
     k: int
     prior: str = "l2"
-    ridge: float = 0.1
+    ridge: float = 1.0
     alpha0: float = 1.001
     v0: float = 0.8
+    selective_l1: float | None = None
+    network: float | None = None
     features: pd.DataFrame | None = None
     y: np.ndarray | None = None
     factors: DataFrame | None = None
@@ -83,11 +213,21 @@ class FactorModel:
     assign: dict[str, np.ndarray] = field(default_factory=dict)
     set_names: dict[str, list[str]] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
+    frozen: set[str] = field(default_factory=set)
+    y_prior: Prior = field(default_factory=Prior)
+    x_prior: SamplePrior | None = None
     started: float = field(default_factory=time.time)
 
     def note(self, name: str, **more: float) -> None:
         self.history.append({"name": name, "time": time.time() - self.started, **more})
 
+    def freeze(self, *layers: str) -> None:
+        """These layers keep their values in a joint refit; they are still applied."""
+        self.frozen |= set(layers)
+
+    def unfreeze(self, *layers: str) -> None:
+        self.frozen -= set(layers or self.frozen)
+
     # -- data ------------------------------------------------------------------
 
     @staticmethod
@@ -101,98 +241,77 @@ class FactorModel:
         if batch_map is not None and batch_map.select("view").distinct().join(features.select("view").distinct(), "view", "left_anti").limit(1).count():
             raise ValueError("batch_map names a view that no feature has")
 
-    def rows(self, obs: DataFrame) -> DataFrame:
-        """One row per sample: values in model order, NULL where missing; features unknown to the model are dropped."""
-        n = len(self.features)
-        place = obs.sparkSession.createDataFrame(pd.DataFrame({"feature_id": self.features["feature_id"], "j": np.arange(n)}))
-        at = obs.withColumn("value", finite(F.col("value"))).where("value is not null").join(F.broadcast(place), "feature_id")
-        packed = at.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("m"))
-        vals = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.col("m")[j.cast("long")])
-        return packed.select(F.col("sample_id").cast("string").alias("sample_id"), vals.alias("vals"))
+    def rows(self, obs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+        """One row per sample: condition, and sorted lists of model places and values; features unknown to the model are dropped."""
+        return packed_rows(obs, list(self.features["feature_id"]), samples)
 
-    # -- one pass ----------------------------------------------------------------
+    def _columns(self, y: np.ndarray | None = None) -> Columns:
+        f = self.features
+        kinds = f["distribution"].to_numpy()
+        return Columns(self.y if y is None else y, np.exp(f["logsigma"].to_numpy(float)), f["mu"].to_numpy(float), f["weight"].to_numpy(float), [(d, np.flatnonzero(kinds == d)) for d in pd.unique(kinds)], (f["cut1"].to_numpy(float), f["cut2"].to_numpy(float)))
 
-    def _pass(self, state: DataFrame, rate: float | None, weight_x: float) -> DataFrame:
-        """New state rows (j NULL) and partial sums by feature (j, a, b, loss).
+    # -- one pass ----------------------------------------------------------------
 
-        rate None: least squares, a = sums of x x', b = sums of x z; else an
-        AdaGrad step with gradient b.
+    def _pass(self, rows: DataFrame, y: np.ndarray | None = None) -> Sums:
+        """Solve all rows at ``y`` and add up what a step needs."""
+        c, prior = self._columns(y), self.x_prior
+        k, n = c.y.shape
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, grams, penalty = np.zeros((n, k * k + k + 5)), {}, 0.0
+            for b in (piece for whole in batches for piece in U.slices(whole, n)):
+                d, own = U.dense(b, n), b.column("condition").to_pylist()
+                ridge = prior.weights(own, k)
+                x = c.solve(d, ridge)
+                loss, g, h = c.terms(x, d)
+                pairs = (x[:, :, None] * x[:, None, :]).reshape(-1, k * k)
+                table[:, : k * k] += (h * c.weight * c.sigma**2).T @ pairs
+                table[:, k * k : k * k + k] += (g * c.weight * c.sigma).T @ x
+                for i, v in enumerate((loss * c.weight, g * c.weight, h * c.weight, g * g, np.isfinite(d))):
+                    table[:, k * k + k + i] += v.sum(axis=0)
+                penalty += 0.5 * float((ridge * x * x).sum())
+                for name in set(own):
+                    at = np.array([o == name for o in own])
+                    grams[name or ""] = grams.get(name or "", 0) + np.append(pairs[at].sum(axis=0), at.sum())
+            yield U.partial(U.split_rows("column", table) | {f"x:{name}": v for name, v in grams.items()} | {"penalty": np.array([penalty])})
+
+        got = U.add_up(rows.mapInArrow(run, U.SCHEMA))
+        t = U.join_rows("column", got, (n, k * k + k + 5))
+        grams = {key[2:]: v for key, v in got.items() if key.startswith("x:")}
+        rest = t[:, k * k + k :].T
+        return Sums(t[:, : k * k].reshape(n, k, k), t[:, k * k : k * k + k], *rest, float(got["penalty"][0]) if "penalty" in got else 0.0, {c: v[:-1].reshape(k, k) for c, v in grams.items()}, sum(v[-1] for v in grams.values()))
+
+    def _total(self, s: Sums, y: np.ndarray) -> float:
+        return float(s.loss.sum()) + s.penalty + self.y_prior.value(y)
+
+    def _descend(self, rows: DataFrame, epochs: int, tolerance: float, stage: str) -> Sums:
+        """Newton steps on Y until the total loss changes by less than ``tolerance`` of itself.
+
+        Steps grow while the loss falls (alternating minimisation moves along the
+        same way for long) and are cut while it rises; the best Y is kept.
         """
-        y, k = self.y, self.k
-        sigma, mu = np.exp(self.features["logsigma"].to_numpy(float)), self.features["mu"].to_numpy(float)
-        w, kinds = self.features["weight"].to_numpy(float), self.features["distribution"].to_numpy()
-        groups = [(d, np.flatnonzero(kinds == d)) for d in pd.unique(kinds)]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            a, b, total = np.zeros((y.shape[1], k, k)), np.zeros((y.shape[1], k)), np.zeros(y.shape[1])
-            for pdf in batches:
-                d = np.array([[np.nan if v is None else v for v in row] for row in pdf["vals"]], float).reshape(len(pdf), -1)
-                x, acc = (np.array(list(pdf[c]), float).reshape(len(pdf), k) for c in ("x", "acc"))
-                if rate is None:
-                    z = (d - mu) / sigma
-                    x = masked_least_squares(z, y, weight_x, w)
-                    seen = np.isfinite(z) * w
-                    a += np.einsum("rj,rk,rl->jkl", seen, x, x)
-                    b += np.einsum("rj,rk->jk", seen * np.where(np.isfinite(z), z, 0), x)
-                    total += 0.5 * (seen * np.where(np.isfinite(z), x @ y - z, 0) ** 2).sum(axis=0)
-                else:
-                    z, g = (x @ y) * sigma + mu, np.zeros_like(d)
-                    for kind, cols in groups:
-                        loss, gc = loss_and_gradient(kind, z[:, cols], d[:, cols])
-                        g[:, cols] = gc * w[cols] * sigma[cols]
-                        total[cols] += (loss * w[cols]).sum(axis=0)
-                    b += np.einsum("rj,rk->jk", g, x)
-                    gx = g @ y.T + weight_x * x
-                    acc = acc + gx * gx
-                    x = x - rate * gx / (np.sqrt(acc) + 1e-8)
-                yield pd.DataFrame({"sample_id": pdf["sample_id"], "vals": pdf["vals"], "x": list(x), "acc": list(acc), "j": None, "a": None, "b": None, "loss": None})
-            yield pd.DataFrame({"sample_id": None, "vals": None, "x": None, "acc": None, "j": np.arange(len(total)), "a": list(a.reshape(len(a), -1)), "b": list(b), "loss": total})
-
-        return state.mapInPandas(run, _STATE + ", j int, a array<double>, b array<double>, loss double")
-
-    def _sums(self, out: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-        """Partial sums added up by feature; the driver gets one row per feature."""
-        parts = out.where("j is not null")
-        add = lambda c, n: F.array(*(F.sum(F.col(c)[i]) for i in range(n)))
-        got = parts.groupBy("j").agg(add("a", self.k**2).alias("a"), add("b", self.k).alias("b"), F.sum("loss").alias("loss")).orderBy("j").collect()
-        a = np.array([r["a"] for r in got]).reshape(len(got), self.k, self.k)
-        return a, np.array([r["b"] for r in got]), float(sum(r["loss"] for r in got))
-
-    # -- priors on y ---------------------------------------------------------------
-
-    def _curvature(self, beta: np.ndarray | None) -> np.ndarray:
-        """Ridge of each entry of y: constant, or the relevance prior's majoriser (1 + 2 alpha) / (2 beta + y^2)."""
-        if beta is None:
-            return np.full_like(self.y, self.ridge)
-        return self.ridge * (1 + 2 * self.alpha0) / (2 * beta + self.y**2) / ((1 + 2 * self.alpha0) / (2 * self.v0))
-
-    def _betas(self, sets: dict[str, np.ndarray]) -> np.ndarray | None:
-        if self.prior == "l2":
-            return None
-        beta = np.full_like(self.y, self.v0)
-        if self.prior == "fsard":
-            for view, s in sets.items():
-                if view in self.assign:
-                    cols = np.flatnonzero(self.features["view"] == view)
-                    beta[:, cols] = (self.v0 + self.assign[view].T @ s) * 1.0
-        return beta
-
-    def update_assignment(self, sets: dict[str, np.ndarray], rounds: int = 200, lam: float = 1.0, patience: int = 20) -> None:
-        """Non-negative assignment A of sets to factors for each view, by ISTA on the gamma-normal loss."""
-        for view, s in sets.items():
-            cols = np.flatnonzero(self.features["view"] == view)
-            half, a = 0.5 * self.y[:, cols] ** 2, np.zeros((len(s), self.k))
-            ssq, best, kept, stale = np.full_like(a, 1e-8), np.inf, a, 0
-            alpha, c = self.alpha0, self.alpha0 - 1
-            for _ in range(rounds):
-                beta = c * (self.v0 + a.T @ s)
-                loss = float((-alpha * np.log(beta) + (alpha + 0.5) * np.log(beta + half)).sum() + lam * a.sum() * c)
-                best, kept, stale = (loss, a, 0) if loss < best - 1e-9 else (best, kept, stale + 1)
-                if stale >= patience:
+        best, step, size, kept = np.inf, np.zeros_like(self.y), 1.0, None
+        at = self.y
+        for epoch in range(epochs + 1):
+            s = self._pass(rows, at)
+            total = self._total(s, at)
+            self.note("epoch", stage=stage, epoch=epoch, total_loss=total, data_loss=float(s.loss.sum()), rate=size)
+            if total > best:
+                size = 1.0 if size > 1 else size / 2
+                if size < _LEAST_STEP:
                     break
-                d_beta = -alpha / beta + (alpha + 0.5) / (beta + half)
-                a = ista_nonnegative(a, c * (s @ d_beta.T), ssq, np.full(self.k, lam * c))
-            self.assign[view] = kept
+                at = self.y + size * step
+                continue
+            gain, best, self.y, kept = best - total, total, at, s
+            if gain <= tolerance * abs(total):
+                break
+            curvature = s.a + np.eye(self.k) * (self.y_prior.curvature(at).T + 1e-10)[:, :, None]
+            step = -np.linalg.solve(curvature, (s.b + self.y_prior.gradient(at).T)[..., None])[..., 0].T
+            size = min(_MOST_STEP, 1.5 * size)
+            at = self.y + size * step
+        slope = kept.b.T + self.y_prior.gradient(self.y)
+        self.note("descended", stage=stage, total_loss=best, gradient=float(np.abs(slope).max()), step=float(np.abs(step).max()))
+        return kept
 
     # -- fit -------------------------------------------------------------------------
 
@@ -203,89 +322,173 @@ class FactorModel:
         features: DataFrame,
         batch_map: DataFrame | None = None,
         sets: DataFrame | None = None,
-        epochs: int = 10,
-        outer: int = 3,
-        rate: float = 0.5,
+        graphs: list[list[tuple[str, str, float]]] | None = None,
+        epochs: int = 200,
+        outer: int = 10,
         tolerance: float = 1e-5,
+        weights: str = "EB",
+        joint: bool = False,
+        rotate: bool = True,
+        ordinal_start: bool = False,
+        batch_rounds: int = 100,
         seed: int = 0,
+        keep: Callable[[FactorModel, float], None] | None = None,
     ) -> FactorModel:
-        """Start values, batch effects, then alternating passes; whitened and ordered at the end.
-
-        All features normal: least squares.  Otherwise AdaGrad, with the rate
-        halved when the loss rises.  ``sets`` (view, set_id, feature_id, weight)
-        is needed for the prior 'fsard'.
+        """Start values, batch effects, then the stages of the prior; whitened, reweighted and ordered at the end.
+
+        'l2': with ``weights`` 'EB' a first fit under a minimal prior sets the
+        priors' weights, else they stay as given.  'ard': a first fit under the
+        minimal prior, then the relevance prior.  'fsard': that, then the
+        assignment of ``sets`` (view, set_id, feature_id, weight) and Y by turns
+        until the scales settle, at most ``outer`` times.  ``graphs``: an edge
+        list for each factor.  ``keep`` is called with the model and its loss
+        after each stage.  ``joint``: the column shifts are refitted at the end.
         """
         if self.prior == "fsard" and sets is None:
             raise ValueError("the prior 'fsard' needs feature sets")
         self.validate(samples, features, batch_map)
-        spark = obs.sparkSession
+        self.note("start")
         if batch_map is not None:
-            self.batch, used = fit_batch_effects(obs, batch_map, samples, rounds=20)
-            self.note("batch_effects", rounds=used)
-            params = self.batch.join(obs.groupBy("feature_id").agg(F.avg("value").alias("mu")), "feature_id")
-            normal = features.where("distribution = 'normal'").select("feature_id")
-            obs = remove_batch(obs.join(normal, "feature_id", "left_semi"), batch_map, params).unionByName(obs.join(normal, "feature_id", "left_anti").select("sample_id", "feature_id", "view", "value"))
-        self._start(obs, features, seed)
-        normal = bool((self.features["distribution"] == "normal").all())
-        init = F.transform(F.sequence(F.lit(1), F.lit(self.k)), lambda i: (F.pmod(F.xxhash64("sample_id", i, F.lit(seed)), F.lit(20001)) - 10000) / 50000.0)
-        state = self.rows(obs).withColumn("x", init).withColumn("acc", F.array_repeat(F.lit(0.0), self.k)).checkpoint()
-        s = self._set_matrices(sets) if sets is not None else {}
-        for turn in range(outer if self.prior == "fsard" else 1):
-            if turn:
-                self.update_assignment(s)
-            state = self._epochs(state, None if normal else rate, self._betas(s), epochs, tolerance)
-        self.factors = state.select("sample_id", "x")
+            obs = self._without_batch_effects(obs, samples, features, batch_map, batch_rounds)
+        self._start(obs, features, seed, ordinal_start)
+        rows = save(self.rows(obs, samples), "factor-rows")
+        relevance = self.prior in ("ard", "fsard")
+        conditions = sorted({r[0] for r in rows.select("condition").where("condition is not null").distinct().collect()})
+        views, ids = self.features["view"].to_numpy(), list(self.features["feature_id"])
+        x_prior = SamplePrior.of(self.k, self.ridge, conditions, self.ridge, relevance)
+        y_prior = Relevance() if relevance else feature_prior(self.k, views, ids, l2=self.ridge, selective_l1=self.selective_l1, network=self.network, graphs=graphs)
+
+        # at Y = 0: weights of the losses; values for the first prior
+        self.x_prior = SamplePrior(np.ones(self.k))
+        zero = self._pass(rows, np.zeros_like(self.y))
+        self._reweight(zero)
+        if relevance or weights == "EB":
+            self.x_prior = SamplePrior(np.full(self.k, 1e-6 if relevance else 1.0))
+            sigma = self.features["logsigma"].to_numpy(float)
+            self.y_prior = minimal_prior(self.features["distribution"].to_numpy(), self.k, sigma, self._variance, zero.count, int(zero.rows))
+            s = self._descend(rows, epochs, tolerance, "first")
+            if rotate:
+                u, d, v = np.linalg.svd(self.y, full_matrices=False)
+                self.y = d[:, None] * v
+                s.grams = {c: u.T @ g @ u for c, g in s.grams.items()}
+            if relevance:
+                self._whiten_columns(np.sqrt(np.maximum(sum(np.diag(g) for g in s.grams.values()) / max(1.0, s.rows), 0)))
+                s = self._pass(rows)
+            x_prior.reweight(s.grams)
+            y_prior.reweight(self.y)
+            self._reweight(s)
+            self.note("reweight_eb")
+        self.x_prior, self.y_prior = x_prior, y_prior
+        s = self._descend(rows, epochs, tolerance, "fit")
+        if keep is not None:
+            keep(self, self._total(s, self.y))
+        if self.prior == "fsard":
+            self.y_prior = feature_prior(self.k, views, ids, sets=self._set_prior(sets))
+            for turn in range(outer):
+                change = self.y_prior.update(self.y)
+                self.note("assignment", turn=turn, change=change)
+                if change < tolerance or turn == outer - 1:
+                    break
+                s = self._descend(rows, epochs, tolerance, f"sets {turn}")
+                if keep is not None:
+                    keep(self, self._total(s, self.y))
+            self.assign, self.set_names = self.y_prior.assign, self.y_prior.names
+        if joint and "mu" not in self.frozen:
+            s = self._joint(rows, epochs, tolerance)
+        self.factors = save(self._factors(rows, self.x_prior), "factors")
         self.whiten()
+        self._reweight(s)
         self.reorder()
+        self.note("finish")
         return self
 
-    def _start(self, obs: DataFrame, features: DataFrame, seed: int) -> None:
+    def _without_batch_effects(self, obs: DataFrame, samples: DataFrame, features: DataFrame, batch_map: DataFrame, rounds: int) -> DataFrame:
+        """Batch effects of normal features by EM, taken out of their values; other features keep theirs."""
+        normal = features.where("distribution = 'normal'").select("feature_id")
+        own = obs.join(normal, "feature_id", "left_semi")
+        self.batch, used = fit_batch_effects(own, batch_map, samples, rounds=rounds)
+        self.note("batch_effects", rounds=used)
+        params = self.batch.join(own.groupBy("feature_id").agg(F.avg("value").alias("mu")), "feature_id")
+        rest = obs.join(normal, "feature_id", "left_anti").select("sample_id", "feature_id", "view", "value")
+        return remove_batch(own, batch_map, params).unionByName(rest)
+
+    def _start(self, obs: DataFrame, features: DataFrame, seed: int, ordinal_start: bool) -> None:
+        """Model order, shifts at the columns' own best, scales of normal columns, a random Y."""
         f = features.toPandas().sort_values(["distribution", "view", "feature_id"]).reset_index(drop=True)
-        stats = obs.groupBy("feature_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).toPandas().set_index("feature_id")
-        m, s = f["feature_id"].map(stats["m"]).fillna(0.0), f["feature_id"].map(stats["s"]).fillna(1.0)
-        kind = f["distribution"]
-        inside = m.clip(1e-3, 1 - 1e-3)
-        f["mu"] = np.where(kind == "bernoulli", np.log(inside / (1 - inside)), np.where(kind == "poisson", np.log(m.clip(lower=1e-3)), np.where(kind == "normal", m, 0.0)))
-        f["logsigma"] = np.where(kind == "normal", np.log(s.where(s > 0, 1.0)), 0.0)
-        f["weight"] = np.where(kind == "normal", 1 / np.exp(2 * f["logsigma"]), 1.0)
-        if (kind == "normal").all():
-            f["weight"] = 1.0
-        self.features = f
+        stats = obs.groupBy("feature_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.var_samp("value").alias("v")).toPandas().set_index("feature_id")
+        m, s, v = (f["feature_id"].map(stats[c]) for c in ("m", "s", "v"))
+        kind, inside = f["distribution"], m.fillna(0.5).clip(1e-3, 1 - 1e-3)
+        f["cut1"], f["cut2"] = THRESHOLDS
+        levels = self._levels(obs, f)
+        if ordinal_start:
+            for view, own in f[kind == "ordinal3"].groupby("view"):
+                share = np.cumsum(1 + levels[own.index].sum(axis=0)) / (3 + levels[own.index].sum())
+                f.loc[own.index, ["cut1", "cut2"]] = np.log(share[:2] / (1 - share[:2]))
+        f["mu"] = np.where(kind == "bernoulli", np.log(inside / (1 - inside)), np.where(kind == "poisson", np.log(m.fillna(1.0).clip(lower=1e-3)), np.where(kind == "normal", m.fillna(0.0), 0.0)))
+        for name in ("bernoulli_sq_hinge", "ordinal3", "ordinal_sq_hinge3"):
+            own = np.flatnonzero(kind == name)
+            f.loc[own, "mu"] = column_estimates(name, levels[own], (f["cut1"].to_numpy()[own], f["cut2"].to_numpy()[own]))
+        f["logsigma"] = np.where(kind == "normal", np.log(s.where(s > 0, 1.0).fillna(1.0)), 0.0)
+        f["weight"] = 1.0
+        self.features, self._variance = f, v.to_numpy(float)
         self.y = np.random.default_rng(seed).standard_normal((self.k, len(f))) * 0.3
 
-    def _epochs(self, state: DataFrame, rate: float | None, beta: np.ndarray | None, epochs: int, tolerance: float) -> DataFrame:
-        last, acc = np.inf, np.zeros_like(self.y)
-        for epoch in range(epochs):
-            out = self._pass(state, rate, self.ridge).checkpoint()
-            a, b, loss = self._sums(out)
-            ridge = self._curvature(beta)
-            if rate is None:
-                self.y = np.stack([np.linalg.solve(a[j] + np.diag(ridge[:, j] + 1e-10), b[j]) for j in range(len(b))], axis=1)
-            else:
-                if loss > last:
-                    rate /= 2
-                g = b.T + ridge * self.y
-                acc += g * g
-                self.y = self.y - rate * g / (np.sqrt(acc) + 1e-8)
-            state = out.where("j is null").select("sample_id", "vals", "x", "acc")
-            self.note("epoch", total_loss=loss, epoch=epoch)
-            if abs(last - loss) <= tolerance * abs(loss):
+    @staticmethod
+    def _levels(obs: DataFrame, f: pd.DataFrame) -> np.ndarray:
+        """Counts of the three levels (0/1 noise: none, 0, 1) of each feature with discrete noise; zeros for others."""
+        out = np.zeros((len(f), 3))
+        some = f[f["distribution"].isin(["bernoulli_sq_hinge", "ordinal3", "ordinal_sq_hinge3"])]
+        if len(some):
+            kinds = obs.sparkSession.createDataFrame(pd.DataFrame({"feature_id": some["feature_id"], "place": some.index, "binary": some["distribution"] == "bernoulli_sq_hinge"}))
+            level = F.when(F.col("binary"), F.when(F.col("value") > 0.5, 2).otherwise(1)).otherwise(F.least(F.greatest(F.round("value"), F.lit(1)), F.lit(3)) - 1).cast("int")
+            for r in obs.where("value is not null").join(F.broadcast(kinds), "feature_id").groupBy("place", level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect():
+                out[r["place"], r["level"]] = r["n"]
+        return out
+
+    def _reweight(self, s: Sums) -> None:
+        """Weights of the losses: 1 / (root mean square slope over all samples * sigma), 1 where that is not finite."""
+        size = np.sqrt(s.squares / max(1.0, s.rows)) * np.exp(self.features["logsigma"].to_numpy(float))
+        self.features["weight"] = np.divide(1.0, size, out=np.ones_like(size), where=size > 1e-12)
+
+    def _joint(self, rows: DataFrame, epochs: int, tolerance: float) -> Sums:
+        """Column shifts and Y by turns."""
+        s, last = self._pass(rows), np.inf
+        for _ in range(epochs):
+            self.features["mu"] = self.features["mu"].to_numpy(float) - np.divide(s.slope, s.curvature, out=np.zeros_like(s.slope), where=s.curvature > 1e-9)
+            s = self._descend(rows, 1, tolerance, "joint")
+            total = self._total(s, self.y)
+            if last - total <= tolerance * abs(total):
                 break
-            last = loss
-        return state
+            last = total
+        return s
 
-    def _set_matrices(self, sets: DataFrame) -> dict[str, np.ndarray]:
-        out = {}
+    def _set_prior(self, sets: DataFrame) -> FeatureSets:
+        out = FeatureSets(alpha0=self.alpha0, v0=self.v0)
         for view, g in sets.toPandas().groupby("view"):
-            cols = {f: i for i, f in enumerate(self.features.loc[self.features["view"] == view, "feature_id"])}
+            cols = np.flatnonzero(self.features["view"] == view)
+            place = {f: i for i, f in enumerate(self.features["feature_id"].to_numpy()[cols])}
             names = sorted(g["set_id"].unique(), key=str)
+            at = {n: i for i, n in enumerate(names)}
             s = np.zeros((len(names), len(cols)))
             for sid, fid, w in zip(g["set_id"], g["feature_id"], g["weight"], strict=True):
-                if fid in cols:
-                    s[names.index(sid), cols[fid]] = w
-            out[view], self.set_names[view] = s, list(map(str, names))
+                if fid in place:
+                    s[at[sid], place[fid]] = w
+            out.sets[view], out.names[view] = (cols, s), list(map(str, names))
         return out
 
+    def _factors(self, rows: DataFrame, prior: SamplePrior | None) -> DataFrame:
+        """(sample_id, x) of the rows at the present Y; without a prior the least squares factor."""
+        c = self._columns()
+        k, n = c.y.shape
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (piece for whole in batches for piece in U.slices(whole, n)):
+                ridge = prior.weights(b.column("condition").to_pylist(), k) if prior else np.zeros((b.num_rows, k))
+                x = c.solve(U.dense(b, n), ridge)
+                yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(x.ravel()))], ["sample_id", "x"])
+
+        return rows.mapInArrow(run, "sample_id string, x array<double>")
+
     # -- normal forms --------------------------------------------------------------------
 
     def _scale_factors(self, m: np.ndarray) -> None:
@@ -293,12 +496,8 @@ class FactorModel:
         rows = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, map(float, row))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for row in m]
         self.factors = self.factors.select("sample_id", F.array(*rows).alias("x"))
 
-    def whiten(self) -> None:
-        """Factors of unit root mean square; per view the largest row of Y to one, its size into sigma."""
-        ms = self.factors.agg(*(F.sqrt(F.avg(F.col("x")[i] ** 2)).alias(f"r{i}") for i in range(self.k))).first()
-        rms = np.array([r or 1.0 for r in ms])
-        rms[rms == 0] = 1.0
-        self._scale_factors(np.diag(1 / rms))
+    def _whiten_columns(self, rms: np.ndarray) -> None:
+        """Y takes the size of X; per view its largest row is scaled to one and its size goes to sigma."""
         self.y = self.y * rms[:, None]
         for view in self.features["view"].unique():
             cols = np.flatnonzero(self.features["view"] == view)
@@ -309,6 +508,14 @@ class FactorModel:
             else:
                 self.features.loc[cols, "logsigma"] = -1e9
 
+    def whiten(self) -> None:
+        """Factors of unit root mean square; per view the largest row of Y to one, its size into sigma."""
+        ms = self.factors.agg(*(F.sqrt(F.avg(F.col("x")[i] ** 2)).alias(f"r{i}") for i in range(self.k))).first()
+        rms = np.array([r or 1.0 for r in ms])
+        rms[rms == 0] = 1.0
+        self._scale_factors(np.diag(1 / rms))
+        self._whiten_columns(rms)
+
     def rotate(self) -> None:
         """Y = U S V': Y <- S V', x <- U'x."""
         u, s, v = np.linalg.svd(self.y, full_matrices=False)
@@ -316,53 +523,41 @@ class FactorModel:
         self._scale_factors(u.T)
 
     def reorder(self) -> None:
-        """Factors by decreasing sum of squares of Y, in every parameter."""
+        """Factors by decreasing sum of squares of Y, in every parameter and prior."""
         order = np.argsort(-(self.y**2).sum(axis=1), kind="stable")
         self.y = self.y[order]
-        self.assign = {v: a[:, order] for v, a in self.assign.items()}
+        self.y_prior.reorder(order)
+        if self.x_prior is not None:
+            self.x_prior.reorder(order)
+        if isinstance(self.y_prior, FeatureSets):
+            self.assign = self.y_prior.assign
+        else:
+            self.assign = {v: a[:, order] for v, a in self.assign.items()}
         self._scale_factors(np.eye(self.k)[order])
 
     # -- use -------------------------------------------------------------------------------
 
-    def transform(self, obs: DataFrame, rounds: int = 200) -> DataFrame:
-        """(sample_id, x) of new samples with Y, mu and sigma held; features align by id.
+    def transform(self, obs: DataFrame, batch_map: DataFrame | None = None) -> DataFrame:
+        """(sample_id, x) of new samples with Y, mu and sigma held and no prior; features align by id.
 
-        Rows are independent, so this also works on a stream's micro-batches.
+        Batch effects of new data are left alone; with ``batch_map`` those of
+        batches that the model knows are taken out first.  Rows are independent,
+        so this also works on a stream's micro-batches.
         """
-        y, ridge = self.y, self.ridge
-        sigma, mu = np.exp(self.features["logsigma"].to_numpy(float)), self.features["mu"].to_numpy(float)
-        w, kinds = self.features["weight"].to_numpy(float), self.features["distribution"].to_numpy()
-        normal = bool((kinds == "normal").all())
-        groups = [(d, np.flatnonzero(kinds == d)) for d in pd.unique(kinds)]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                d = np.array([[np.nan if v is None else v for v in row] for row in pdf["vals"]], float).reshape(len(pdf), y.shape[1])
-                if normal:
-                    x = masked_least_squares((d - mu) / sigma, y, ridge, w)
-                else:
-
-                    def total(flat: np.ndarray, d: np.ndarray = d) -> tuple[float, np.ndarray]:
-                        x = flat.reshape(len(d), -1)
-                        z, g, value = (x @ y) * sigma + mu, np.zeros_like(d), 0.5 * ridge * (x * x).sum()
-                        for kind, cols in groups:
-                            loss, gc = loss_and_gradient(kind, z[:, cols], d[:, cols])
-                            value += (loss * w[cols]).sum()
-                            g[:, cols] = gc * w[cols] * sigma[cols]
-                        return float(value), (g @ y.T + ridge * x).ravel()
-
-                    x = lbfgs(total, np.zeros(len(d) * len(y)), rounds=rounds)[0].reshape(len(d), -1)
-                yield pd.DataFrame({"sample_id": pdf["sample_id"], "x": list(x)})
-
-        return self.rows(obs).mapInPandas(run, "sample_id string, x array<double>")
+        if batch_map is not None and self.batch is not None:
+            mu = obs.sparkSession.createDataFrame(self.features[["feature_id", "mu"]])
+            views = obs.sparkSession.createDataFrame(self.features[["feature_id", "view"]])
+            own = obs.select("sample_id", "feature_id", "value").join(F.broadcast(views), "feature_id")
+            obs = remove_batch(own, batch_map, self.batch.join(F.broadcast(mu), "feature_id"))
+        return self._factors(self.rows(obs), None)
 
     def latent(self, factors: DataFrame | None = None) -> DataFrame:
-        """(sample_id, feature_id, view, distribution, z): the forward model without batch terms, as a long table."""
-        f = self.features.assign(y=[list(map(float, c)) for c in self.y.T])[["feature_id", "view", "distribution", "mu", "logsigma", "y"]]
+        """(sample_id, feature_id, view, distribution, z, cut1, cut2): the forward model without batch terms, as a long table."""
+        f = self.features.assign(y=[list(map(float, c)) for c in self.y.T])[["feature_id", "view", "distribution", "mu", "logsigma", "cut1", "cut2", "y"]]
         src = factors if factors is not None else self.factors
         feats = src.sparkSession.createDataFrame(f)
         dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return src.crossJoin(F.broadcast(feats)).select("sample_id", "feature_id", "view", "distribution", (dot * F.exp("logsigma") + F.col("mu")).alias("z"))
+        return src.crossJoin(F.broadcast(feats)).select("sample_id", "feature_id", "view", "distribution", (dot * F.exp("logsigma") + F.col("mu")).alias("z"), "cut1", "cut2")
 
     def impute(self, factors: DataFrame | None = None, batch_map: DataFrame | None = None) -> DataFrame:
         """(sample_id, feature_id, value): expected values, with batch effects if ``batch_map`` is given."""
@@ -371,7 +566,7 @@ class FactorModel:
             mu = z.sparkSession.createDataFrame(self.features[["feature_id", "mu"]])
             j = z.join(batch_map, ["view", "sample_id"], "left").join(self.batch, ["view", "batch", "feature_id"], "left").join(F.broadcast(mu), "feature_id")
             z = j.withColumn("z", (F.col("z") - F.col("mu")) * F.exp(F.coalesce("logdelta", F.lit(0.0))) + F.col("mu") + F.coalesce("theta", F.lit(0.0)))
-        return z.select("sample_id", "feature_id", impute(F.col("distribution"), F.col("z"), THRESHOLDS).alias("value"))
+        return z.select("sample_id", "feature_id", impute(F.col("distribution"), F.col("z"), (F.col("cut1"), F.col("cut2"))).alias("value"))
 
     def interpret(self, spark: SparkSession) -> DataFrame:
         """Report of the sets assigned to each factor, see ``interpret_report``."""
@@ -394,12 +589,12 @@ class FactorModel:
         return out
 
     def save(self, spark: SparkSession, path: str) -> None:
-        save_tables(path, self.tables(spark), {"k": self.k, "prior": self.prior, "ridge": self.ridge, "alpha0": self.alpha0, "v0": self.v0, "history": self.history})
+        save_tables(path, self.tables(spark), {"k": self.k, "prior": self.prior, "ridge": self.ridge, "alpha0": self.alpha0, "v0": self.v0, "selective_l1": self.selective_l1, "network": self.network, "history": self.history})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FactorModel:
         t, meta = load_tables(spark, path)
-        m = cls(meta["k"], meta["prior"], meta["ridge"], meta["alpha0"], meta["v0"], history=meta["history"])
+        m = cls(meta["k"], meta["prior"], meta["ridge"], meta["alpha0"], meta["v0"], meta["selective_l1"], meta["network"], history=meta["history"])
         m.features = t["features"].orderBy("feature_idx").toPandas().drop(columns="feature_idx")
         ys = {r["feature_id"]: r["y"] for r in t["Y"].collect()}
         m.y, m.factors, m.batch = np.array([ys[f] for f in m.features["feature_id"]]).T, t["X"], t.get("batch")

@@ -5,6 +5,7 @@ edges(pathway_id, pos, src, dst, weight); undirected unless said otherwise.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.strings import DOGMA, compound, data_edge_target
+from strandloom.operators.ranged import positions
+from strandloom.sources.scratch import save
 
 
 def nodes(edges: DataFrame, *by: str) -> DataFrame:
@@ -164,28 +167,48 @@ def _rng(key: object, seed: int) -> np.random.Generator:
 
 
 def _rewire(key: tuple, pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """A random graph by degrees: the node with the most degree left meets a random non-neighbour with some left.
+
+    Without one, a non-neighbour drawn by its first degree; degrees then differ.
+    """
     rng, out = _rng(key[0], seed), []
     for w, part in pdf.groupby("weight", sort=True):
         pairs = sorted({tuple(sorted(p)) for p in zip(part["src"], part["dst"], strict=True)})
-        left: dict[str, int] = {}
+        degree: dict[str, int] = {}
         for p in pairs:
             for v in p:
-                left[v] = left.get(v, 0) + 1
-        made: set[tuple[str, str]] = set()
-        while sum(left.values()) > 1:
-            v = max(sorted(left), key=left.get)
-            free = [u for u in sorted(left) if u != v and left[u] > 0 and tuple(sorted((u, v))) not in made]
-            # no partner has degree left: any node that isn't a neighbour yet
-            free = free or [u for u in sorted(left) if u != v and tuple(sorted((u, v))) not in made]
-            if not free:
+                degree[v] = degree.get(v, 0) + 1
+        names, left = sorted(degree), dict(degree)
+        weight = np.array([degree[v] for v in names], float)
+        heap, near = [(-n, v) for v, n in left.items()], {v: {v} for v in names}
+        heapq.heapify(heap)
+        while heap:
+            n, v = heapq.heappop(heap)
+            if left[v] != -n or not n:  # an old entry
+                continue
+            u = None
+            for _ in range(8):  # most draws hit
+                x = names[int(rng.integers(len(names)))]
+                if left[x] > 0 and x not in near[v]:
+                    u = x
+                    break
+            if u is None:
+                free = [x for x in names if left[x] > 0 and x not in near[v]]
+                if free:
+                    u = free[int(rng.integers(len(free)))]
+                else:
+                    p = np.where([x in near[v] for x in names], 0.0, weight)
+                    u = names[int(rng.choice(len(names), p=p / p.sum()))] if p.sum() else None
+            if u is None:
                 left[v] = 0
                 continue
-            u = free[rng.integers(len(free))]
-            made.add(tuple(sorted((u, v))))
-            left[v] -= 1
-            left[u] = max(0, left[u] - 1)
-        out += [(key[0], a, b, w) for a, b in sorted(made)]
-    return pd.DataFrame(out, columns=["pathway_id", "src", "dst", "weight"])
+            near[u].add(v)
+            near[v].add(u)
+            out.append((key[0], *sorted((u, v)), w))
+            for x in (u, v):
+                left[x] = max(0, left[x] - 1)
+                heapq.heappush(heap, (-left[x], x))
+    return pd.DataFrame(sorted(out, key=lambda e: (e[3], e[1], e[2])), columns=["pathway_id", "src", "dst", "weight"])
 
 
 def rewire(edges: DataFrame, seed: int = 0) -> DataFrame:
@@ -227,36 +250,46 @@ def corrupt_list(graphs: DataFrame, pool: DataFrame, remove: float, add: float,
     return kept.unionByName(fresh.orderBy((F.ln(u(1)) / F.col("weight")).desc(), "pathway_id").limit(math.ceil(add * n)).select("pathway_id"))
 
 
-def rank_cover(sets: DataFrame, limit: int | None = None) -> list[tuple[int, str, int]]:
-    """Greedy cover: (rank, set, newly covered), by newly covered members, then size, then name.
+def rank_cover(sets: DataFrame) -> DataFrame:
+    """(rank, set_id, new): greedy cover of all sets, by newly covered members, then size, then name.
 
     ``sets``: set_id, member.  Each round is one aggregate and one anti-join in
-    Spark; only the chosen set's name comes to the driver.
+    Spark and only the chosen set comes to the driver.  Once all members are
+    covered the other sets follow by size and name in one sort.
+    """
+    own = sets.select(F.col("set_id").cast("string").alias("set_id"), "member").distinct()
+    own = save(own, "cover-sets")
+    total = own.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"))
+    left, taken = own, []
+    while (row := left.groupBy("set_id").agg(F.count(F.lit(1)).alias("new")).join(total, "set_id").orderBy(F.col("new").desc(), F.col("size").desc(), "set_id").first()) is not None:
+        taken.append((len(taken) + 1, row["set_id"], row["new"]))
+        left = save(left.join(own.where(F.col("set_id") == row["set_id"]).select("member"), "member", "left_anti"), "cover-left")
+    head = sets.sparkSession.createDataFrame(taken, "rank long, set_id string, new long")
+    rest = total.join(head.select("set_id"), "set_id", "left_anti")
+    tail = positions(rest, [], F.col("size").desc(), F.col("set_id"), name="rank")
+    return head.unionByName(tail.select((F.col("rank") + len(taken)).cast("long").alias("rank"), "set_id", F.lit(0).cast("long").alias("new")))
+
+
+def jaccard(sets: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b, jaccard) of the pairs of sets that share a member and reach ``least``, a < b.
+
+    With ``least`` above 0 only pairs that share one of their first
+    n - ceil(least n) + 1 members, rare members first, are compared: any pair
+    that reaches it does.
     """
-    left = sets.select(F.col("set_id").cast("string").alias("set_id"), "member").distinct()
-    total = left.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"))
-    out: list[tuple[int, str, int]] = []
-    taken: list[str] = []
-    while limit is None or len(out) < limit:
-        new = left.groupBy("set_id").agg(F.count(F.lit(1)).alias("new"))
-        best = total.where(~F.col("set_id").isin(taken) if taken else F.lit(True)).join(new, "set_id", "left").select("set_id", F.coalesce("new", F.lit(0)).alias("new"), "size")
-        row = best.orderBy(F.col("new").desc(), F.col("size").desc(), "set_id").first()
-        if row is None:
-            break
-        out.append((len(out) + 1, row["set_id"], row["new"]))
-        taken.append(row["set_id"])
-        covered = sets.where(F.col("set_id").cast("string").isin(taken)).select("member").distinct()
-        left = sets.select(F.col("set_id").cast("string").alias("set_id"), "member").distinct().join(covered, "member", "left_anti")
-    return out
-
-
-def jaccard(sets: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of the pairs of sets that share a member, a < b."""
     s = sets.select("set_id", "member").distinct()
     size = s.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    both = s.select(F.col("set_id").alias("a"), "member").join(s.select(F.col("set_id").alias("b"), "member"), "member").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    first = s
+    if least > 0:
+        common = s.groupBy("member").agg(F.count(F.lit(1)).alias("in_sets"))
+        nth = F.row_number().over(Window.partitionBy("set_id").orderBy("in_sets", "member"))
+        first = s.join(common, "member").join(size, "set_id").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    pairs = first.select(F.col("set_id").alias("a"), "member").join(first.select(F.col("set_id").alias("b"), "member"), "member").where("a < b").select("a", "b").distinct()
+    own = s.select(F.col("set_id").alias("a"), "member")
+    both = pairs.join(own, "a").join(s.select(F.col("set_id").alias("b"), "member"), ["b", "member"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
     na, nb = size.toDF("a", "na"), size.toDF("b", "nb")
-    return both.join(na, "a").join(nb, "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    out = both.join(na, "a").join(nb, "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    return out.where(F.col("jaccard") >= least)
 
 
 def membership_ids(features: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def keymatch(left: DataFrame, right: DataFrame, key: str = "key", pos: str = "po
 
 def align_left(features: DataFrame, obs: DataFrame, samples: DataFrame) -> DataFrame:
     """Every (sample, model feature); NULL where ``obs`` has no value, other features of ``obs`` dropped."""
-    grid = samples.select("sample_id").crossJoin(F.broadcast(features.select("feature_id")))
+    grid = samples.select("sample_id").crossJoin(features.select("feature_id"))
     return grid.join(obs.select("sample_id", "feature_id", "value"), ["sample_id", "feature_id"], "left")
 
 
@@ -36,7 +36,7 @@ def set_weights(sets: DataFrame) -> DataFrame:
 def outside_graphs(nodes: DataFrame, edges: DataFrame, graphs: DataFrame) -> DataFrame:
     """(pathway_id, node): the nodes that no edge of the graph touches."""
     ends = edges.select("pathway_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return graphs.select("pathway_id").crossJoin(F.broadcast(nodes.select("node"))).join(ends, ["pathway_id", "node"], "left_anti")
+    return graphs.select("pathway_id").crossJoin(nodes.select("node")).join(ends, ["pathway_id", "node"], "left_anti")
 
 
 def batch_apply(obs: DataFrame, batch_map: DataFrame, batch_values: DataFrame, how: str, value: str = "value") -> DataFrame:

@@ -86,11 +86,12 @@ def masked_least_squares(z: np.ndarray, y: np.ndarray, ridge: np.ndarray | float
 
     z: rows x features, y: K x features.  A row without values gets zeros.
     """
-    k = len(y)
+    k, n = y.shape
     mask = np.isfinite(z)
     w = mask * (1.0 if weight is None else weight)
-    a = np.einsum("rj,kj,lj->rkl", w, y, y) + np.eye(k) * (np.asarray(ridge) + 1e-10)
-    b = np.einsum("rj,kj->rk", w * np.where(mask, z, 0.0), y)
+    pairs = (y[:, None, :] * y[None, :, :]).reshape(k * k, n).T
+    a = (w @ pairs).reshape(-1, k, k) + np.eye(k) * (np.asarray(ridge) + 1e-10)
+    b = (w * np.where(mask, z, 0.0)) @ y.T
     return np.linalg.solve(a, b[..., None])[..., 0]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.ranged import BUCKET, buckets
+
 
 def ranges(df: DataFrame, id_col: str, pos: str, *by: str) -> DataFrame:
     """(id, start, stop, contiguous): the range of positions of each id and whether it has no gaps."""
@@ -129,11 +131,16 @@ def history_segments(history: DataFrame, order: str, name: str, start: str, memb
     """History rows with the number of the fit they belong to.
 
     A fit opens at an item whose name begins with ``start`` and lasts while names
-    begin with ``member``; other rows belong to none.
+    begin with ``member``; other rows belong to none.  Rows are ranged by
+    ``order``; a bucket takes the number of fits and the last change before it.
     """
-    w = Window.orderBy(order)
     opens = F.col(name).startswith(start)
-    outside = ~F.col(name).startswith(member)
-    marked = history.withColumn("__run", F.sum((opens | outside).cast("int")).over(w)).withColumn("__fit", F.sum(opens.cast("int")).over(w))
-    first = Window.partitionBy("__run").orderBy(order)
-    return marked.withColumn("fit", F.when(F.first(opens.cast("int")).over(first) == 1, F.col("__fit"))).where("fit is not null").drop("__run", "__fit")
+    change = F.when(opens | ~F.col(name).startswith(member), opens)
+    held = buckets(history.withColumn("__opens", opens.cast("int")).withColumn("__change", change), order)
+    upto = Window.partitionBy(BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    per = held.groupBy(BUCKET).agg(F.sum("__opens").alias("n"), F.max_by("__change", F.when(F.col("__change").isNotNull(), F.col(order))).alias("last"))
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    per = per.select(BUCKET, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"), F.last("last", ignorenulls=True).over(before).alias("__carried"))
+    marked = held.join(per, BUCKET).withColumn("fit", F.col("__before") + F.sum("__opens").over(upto))
+    inside = F.coalesce(F.last("__change", ignorenulls=True).over(upto), F.col("__carried"), F.lit(False))
+    return marked.withColumn("__inside", inside).where("__inside").select(*history.columns, "fit")

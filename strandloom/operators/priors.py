@@ -14,11 +14,11 @@ from strandloom.functions.scalars import guarded
 
 def l2(p: DataFrame, weights: DataFrame) -> DataFrame:
     """1/2 sum_k w_k sum v^2.  weights: k, w."""
-    return p.join(F.broadcast(weights), "k").agg((0.5 * F.sum(F.col("w") * F.col("v") ** 2)).alias("loss"))
+    return p.join(weights, "k").agg((0.5 * F.sum(F.col("w") * F.col("v") ** 2)).alias("loss"))
 
 
 def l1(p: DataFrame, weights: DataFrame) -> DataFrame:
-    return p.join(F.broadcast(weights), "k").agg(F.sum(F.col("w") * F.abs("v")).alias("loss"))
+    return p.join(weights, "k").agg(F.sum(F.col("w") * F.abs("v")).alias("loss"))
 
 
 def selective_l1(y: DataFrame, mask: DataFrame, weights: DataFrame) -> DataFrame:
@@ -28,12 +28,12 @@ def selective_l1(y: DataFrame, mask: DataFrame, weights: DataFrame) -> DataFrame
 
 def group_l2(p: DataFrame, group: str, weights: DataFrame) -> DataFrame:
     """1/2 sum over groups and factors of w_{g,k} sum v^2.  weights: group, k, w."""
-    return p.join(F.broadcast(weights), [group, "k"]).agg((0.5 * F.sum(F.col("w") * F.col("v") ** 2)).alias("loss"))
+    return p.join(weights, [group, "k"]).agg((0.5 * F.sum(F.col("w") * F.col("v") ** 2)).alias("loss"))
 
 
 def column_prior(params: DataFrame, by: str, priors: DataFrame) -> DataFrame:
     """1/2 sum w (v - centre)^2.  priors: by, centre, w."""
-    return params.join(F.broadcast(priors), by).agg((0.5 * F.sum(F.col("w") * (F.col("v") - F.col("centre")) ** 2)).alias("loss"))
+    return params.join(priors, by).agg((0.5 * F.sum(F.col("w") * (F.col("v") - F.col("centre")) ** 2)).alias("loss"))
 
 
 def ard(y: DataFrame, alpha: float = 1.001, beta: float = 0.001) -> DataFrame:
@@ -70,7 +70,7 @@ def gradients(y: DataFrame, kind: str, alpha: float = 1.001, beta: float = 0.001
 
 def batch_prior(values: DataFrame, priors: DataFrame) -> DataFrame:
     """1/2 sum w_b (v - c_b)^2 over batch values.  priors: view, batch, centre, w."""
-    return values.join(F.broadcast(priors), ["view", "batch"]).agg((0.5 * F.sum(F.col("w") * (F.col("batch_value") - F.col("centre")) ** 2)).alias("loss"))
+    return values.join(priors, ["view", "batch"]).agg((0.5 * F.sum(F.col("w") * (F.col("batch_value") - F.col("centre")) ** 2)).alias("loss"))
 
 
 def eb_batch_prior(values: DataFrame, p: float = 1.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.ranged import positions
+
 
 def keep(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is among ``keys``."""
@@ -45,7 +47,7 @@ def top_variance(obs: DataFrame, fraction: float, within: str = "view") -> DataF
     """(view, feature_id, variance): features with variance >= the (1 - fraction) quantile of their view."""
     var = variances(obs, within, "feature_id").where("variance is not null")
     cut = var.groupBy(within).agg(F.percentile("variance", F.lit(1 - fraction)).alias("cut"))
-    return var.join(F.broadcast(cut), within).where(F.col("variance") >= F.col("cut")).drop("cut")
+    return var.join(cut, within).where(F.col("variance") >= F.col("cut")).drop("cut")
 
 
 def composite_filter(obs: DataFrame, least: int, fraction: float) -> DataFrame:
@@ -90,6 +92,11 @@ def feature_index(features: DataFrame) -> DataFrame:
     return features.withColumn("feature_idx", F.row_number().over(Window.orderBy("distribution", "view", "feature_id")) - 1)
 
 
+def by_condition(samples: DataFrame, raw: str = "raw_idx") -> DataFrame:
+    """samples with ``sample_idx`` from 0 in the order condition, raw index."""
+    return positions(samples, [], F.col("condition"), F.col(raw), name="sample_idx").withColumn("sample_idx", F.col("sample_idx") - 1)
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
@@ -97,7 +104,7 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 def smallest_groups_first(samples: DataFrame, group: str, m: int) -> DataFrame:
     """``m`` samples, those of small groups first."""
     size = samples.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    return samples.join(F.broadcast(size), group).orderBy("size", group, "sample_id").limit(m)
+    return samples.join(size, group).orderBy("size", group, "sample_id").limit(m)
 
 
 def by_vocabulary(df: DataFrame, col: str, words: list[str]) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import discretise
-from strandloom.operators.joins import matrix_product
-from strandloom.operators.splits import uniform
+from strandloom.operators.joins import batch_apply, matrix_product
+from strandloom.operators.splits import batch_missingness, uniform
 
 
 def gaussian(*cols: str, seed: int = 0) -> Column:
@@ -66,3 +66,22 @@ def simulate_data(x: DataFrame, y: DataFrame, features: DataFrame, noise: float
     at = z.select(F.col("i").alias("sample_id"), F.col("j").alias("feature_id"), F.col("v").alias("z")).join(features, "feature_id")
     latent = F.col("z") * F.exp("logsigma") + F.col("mu") + noise * gaussian("sample_id", "feature_id", seed=seed)
     return at.select("sample_id", "feature_id", "view", discretise(F.col("distribution"), latent).alias("value"))
+
+
+def study(samples: DataFrame, features: DataFrame, k: int, batch_map: DataFrame | None = None, sets: DataFrame | None = None, noise: float = 0.1, missing: float = 0.0, seed: int = 0) -> dict[str, DataFrame]:
+    """A simulated study on a template's samples and features: parameters, data, and what is hidden of it.
+
+    Tables X, Y, features (with mu and logsigma), obs, and theta where there are
+    batches.  ``missing``: the share of each view's samples that whole batches
+    hide (see ``batch_missingness``).
+    """
+    y = set_factor_values(features.select("view", "feature_id"), sets, k, seed=seed + 2) if sets is not None else factor_values(features.select("feature_id"), "feature_id", k, seed + 2)
+    out = {"X": factor_values(samples.select("sample_id"), "sample_id", k, seed + 1), "Y": y, "features": column_values(features, k, seed + 3)}
+    obs = simulate_data(out["X"], y.select("k", "feature_id", "v"), out["features"], noise, seed + 4)
+    if batch_map is not None:
+        out["theta"] = batch_values(batch_map, features, seed=seed + 5)
+        obs = batch_apply(obs, batch_map, out["theta"], "add").select("sample_id", "feature_id", "view", F.col("result").alias("value"))
+        if missing:
+            hidden = batch_missingness(batch_map, missing, F.xxhash64("view", "batch", F.lit(seed + 6)))
+            obs = obs.join(hidden, ["view", "sample_id"], "left_anti").select("sample_id", "feature_id", "view", "value")
+    return out | {"obs": obs}

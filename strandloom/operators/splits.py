@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.ranged import positions
+
 
 def uniform(*cols: str, seed: int = 0) -> Column:
     """A value in (0, 1) that depends only on the columns and the seed."""
@@ -44,13 +46,14 @@ def stratified_group_split(samples: DataFrame, group: str, label: str, shares: l
     for r in samples.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).orderBy(group, label).collect():
         counts.setdefault(r[0], {})[r[1]] = r["n"]
     place = samples.sparkSession.createDataFrame(list(assign_groups(counts, shares, seed).items()), f"{group} {samples.schema[group].dataType.simpleString()}, split int")
-    return samples.join(F.broadcast(place), group)
+    return samples.join(place, group)
 
 
 def cv_folds(samples: DataFrame, n: int, label: str | None = None, seed: int = 0) -> DataFrame:
-    """samples with ``fold``: equal parts, of each class if ``label`` is given."""
-    w = Window.partitionBy(label) if label else Window.partitionBy()
-    return samples.withColumn("fold", F.pmod(F.row_number().over(w.orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id")) - 1, F.lit(n)))
+    """samples with ``fold``: equal parts, of each class if ``label`` is given; no task holds a class."""
+    hashed = samples.withColumn("__hash", F.xxhash64("sample_id", F.lit(seed)))
+    placed = positions(hashed, [label] if label else [], F.col("__hash"), F.col("sample_id"), name="__pos")
+    return placed.withColumn("fold", F.pmod(F.col("__pos") - 1, F.lit(n)).cast("int")).drop("__hash", "__pos")
 
 
 def batch_missingness(batch_map: DataFrame, fraction: float, order: Column) -> DataFrame:
@@ -64,7 +67,7 @@ def batch_missingness(batch_map: DataFrame, fraction: float, order: Column) -> D
     quota = size.withColumn("__order", order).withColumn("left", total - F.coalesce(F.sum("size").over(w), F.lit(0)))
     quota = quota.withColumn("quota", F.greatest(F.least(F.col("left"), F.col("size")), F.lit(0))).select("view", "batch", "quota")
     nth = F.row_number().over(Window.partitionBy("view", "batch").orderBy("sample_id"))
-    return batch_map.withColumn("__nth", nth).join(F.broadcast(quota), ["view", "batch"]).where("__nth <= quota").select("view", "sample_id")
+    return batch_map.withColumn("__nth", nth).join(quota, ["view", "batch"]).where("__nth <= quota").select("view", "sample_id")
 
 
 def sample_rows(df: DataFrame, n: int, *keys: str, seed: int = 0, weight: str | None = None) -> DataFrame:

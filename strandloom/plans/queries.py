@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from strandloom.functions import scalars as S
 from strandloom.functions import strings as T
 from strandloom.operators import aggregates as A
-from strandloom.operators import baselines as BL
 from strandloom.operators import batch as B
 from strandloom.operators import evaluate as E
 from strandloom.operators import graph as G
@@ -22,12 +21,10 @@ from strandloom.operators import ordered as O
 from strandloom.operators import priors as P
 from strandloom.operators import reshape as R
 from strandloom.operators import select as L
-from strandloom.operators import simulate as SM
 from strandloom.operators import splits as D
-from strandloom.operators.factor import FactorModel
-from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OBS, SAMPLES, SMALL_EDGES, X, Y, Tables, ctes, dense
+from strandloom.operators.ranged import quantile
+from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OBS, SAMPLES, SMALL_EDGES, X, Y, Tables, ctes
 from strandloom.sources import files as I
-from strandloom.sources.scratch import checkpointing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -639,8 +636,8 @@ def threshold3(t):
 @query("""WITH q AS (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.333) AS lo, quantile_cont(c_acctbal, 0.667) AS hi FROM customer GROUP BY 1)
     SELECT c_custkey, CASE WHEN c_acctbal <= lo THEN 1.0 WHEN c_acctbal > hi THEN 3.0 ELSE 2.0 END::DOUBLE AS level FROM customer JOIN q USING (c_mktsegment)""")
 def threshold3_quantile(t):
-    q = t.customer.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.333)).alias("lo"), F.percentile("c_acctbal", F.lit(0.667)).alias("hi"))
-    return t.customer.join(F.broadcast(q), "c_mktsegment").select("c_custkey", S.three_level(F.col("c_acctbal"), F.col("lo"), F.col("hi")).alias("level"))
+    q = quantile(t.customer, "c_acctbal", 0.333, "c_mktsegment", name="lo").join(quantile(t.customer, "c_acctbal", 0.667, "c_mktsegment", name="hi"), "c_mktsegment")
+    return t.customer.join(q, "c_mktsegment").select("c_custkey", S.three_level(F.col("c_acctbal"), F.col("lo"), F.col("hi")).alias("level"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 1.0 ELSE l_quantity END::DOUBLE AS v FROM lineitem")
@@ -707,7 +704,7 @@ def survival_event(t):
 @query(f"WITH {_SURV}, m AS (SELECT median(dtd) AS md, median(dtf) AS mf FROM s) SELECT o_orderkey, CASE WHEN dtd IS NOT NULL THEN CASE WHEN dtd > md THEN 1 ELSE 0 END ELSE CASE WHEN dtf > mf THEN 3 ELSE 2 END END AS stratum FROM s, m")
 def survival_strata(t):
     s = _survival(t)
-    m = s.agg(F.median("dtd").alias("md"), F.median("dtf").alias("mf"))
+    m = quantile(s, "dtd", 0.5, name="md").crossJoin(quantile(s, "dtf", 0.5, name="mf"))
     return s.crossJoin(F.broadcast(m)).select("o_orderkey", S.survival_stratum(F.col("dtd"), F.col("dtf"), F.col("md"), F.col("mf")).alias("stratum"))
 
 
@@ -838,29 +835,12 @@ def laplacian_quadratic(t):
     return G.quadratic_form(G.laplacian(t.edges, 0.1, "pathway_id"), x, "pathway_id").withColumn("q", r("q", 5))
 
 
-@query()
-def prune_leaves(t):
-    return G.prune_leaves(t.small_edges, ["Brand#1"])
-
-
 @query(ctes(MEMBERS) + """, s AS (SELECT set_id, count(*) AS n FROM members GROUP BY 1), b AS (SELECT l.set_id AS a, m.set_id AS b, count(*) AS k FROM members l JOIN members m ON l.gene = m.gene AND l.set_id < m.set_id GROUP BY ALL)
     SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM b JOIN s x ON x.set_id = a JOIN s y ON y.set_id = b""")
 def set_redundancy(t):
     return G.jaccard(t.members.select("set_id", F.col("gene").alias("member"))).withColumn("jaccard", r("jaccard"))
 
 
-@query()
-def rank_cover(t):
-    rows = G.rank_cover(t.members.select("set_id", F.col("gene").alias("member")), 10)
-    return t.spark.createDataFrame(rows, "rank int, set_id string, new long")
-
-
-@query()
-def network_penalty(t):
-    x = t.part.groupBy(F.col("p_brand").alias("node")).agg((F.count(F.lit(1)) / 50).alias("x"))
-    return G.network_penalty(t.edges, x.where("node <> 'Brand#3'"), 0.1)
-
-
 # ---------------------------------------------------------------- model, priors
 
 
@@ -1062,129 +1042,3 @@ def variable_feature_sets(t):
     top = L.top_variance(t.obs, 0.23).select("feature_id", "view")
     sets = J.feature_sets_by_view(t.members, top.withColumn("gene", F.split("feature_id", "_")[0]))
     return J.set_weights(sets).withColumn("weight", r("weight"))
-
-
-# ---------------------------------------------------------------- fits, simulation, baselines (no SQL form)
-
-
-def _study(t):
-    """obs, samples and features of the dense matrix."""
-    d = dense(t)
-    return d, d.select("sample_id", "condition").distinct(), d.select("feature_id", "view", F.lit("normal").alias("distribution")).distinct()
-
-
-def _fitted(t, prior="l2", sets=None, epochs=4, outer=2):
-    checkpointing(t.spark)
-    obs, samples, features = _study(t)
-    return FactorModel(4, prior=prior, ridge=0.1).fit(obs, samples, features, sets=sets, epochs=epochs, outer=outer)
-
-
-@query()
-def fit_history(t):
-    m = _fitted(t)
-    return t.spark.createDataFrame([(h["epoch"], h["total_loss"]) for h in m.history if h["name"] == "epoch"], "epoch int, total_loss double")
-
-
-@query()
-def fit_ard(t):
-    m = _fitted(t, "ard")
-    return t.spark.createDataFrame([(k, float(v)) for k, v in enumerate((m.y**2).sum(axis=1))], "k int, ssq double")
-
-
-@query()
-def fit_feature_sets(t):
-    _, _, features = _study(t)
-    sets = features.withColumn("set_id", F.concat(F.col("view"), (F.substring("feature_id", 2, 2).cast("int") % 6).cast("string")))
-    return _fitted(t, "fsard", J.set_weights(sets.select("view", "set_id", "feature_id"))).interpret(t.spark)
-
-
-@query()
-def transform_new_samples(t):
-    return _fitted(t).transform(dense(t))
-
-
-@query()
-def impute_model(t):
-    return _fitted(t, epochs=2).impute()
-
-
-@query()
-def batch_effects_fit(t):
-    checkpointing(t.spark)
-    o = t.obs.select("sample_id", "feature_id", "view", (F.col("value") / 10000).alias("value"))
-    return B.fit_batch_effects(o, t.batch_map, t.samples, rounds=6)[0]
-
-
-@query()
-def pca_components(t):
-    out = BL.pca_baseline(dense(t), 3)
-    rows = [(int(k), f, float(v)) for k, row in enumerate(out["y"]) for f, v in zip(out["ids"], row, strict=True) if v]
-    return t.spark.createDataFrame(rows, "k int, feature_id string, v double")
-
-
-@query()
-def linear_transform(t):
-    out = BL.pca_baseline(dense(t), 2)
-    return BL.linear_transform(BL.wide_rows(A.standardise(dense(t), out["params"]), out["ids"]), out["y"])
-
-
-@query()
-def span_similarity(t):
-    a, b = (E.long_to_array(t.y(k).where("v <> 0"), "feature_id", k) for k in (3, 4))
-    cos = E.squared_cosines(a, b)
-    return t.spark.createDataFrame([(E.span_similarity(a, b), E.best_match(cos))], "span double, match double")
-
-
-@query()
-def factor_assignment(t):
-    a, b = (E.long_to_array(t.y(k), "feature_id", k) for k in (3, 4))
-    return t.spark.createDataFrame(J.assignment(E.squared_cosines(a, b)), "i int, j int")
-
-
-@query()
-def stratified_group_split(t):
-    s = t.customer.select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_nationkey").alias("batch"), "c_mktsegment")
-    return D.stratified_group_split(s, "batch", "c_mktsegment", [0.75, 0.25], seed=1)
-
-
-@query()
-def rewired_graph(t):
-    return G.rewire(t.edges, seed=1)
-
-
-@query()
-def corrupted_graph(t):
-    return G.corrupt_nodes(t.edges, [f"Extra#{i}" for i in range(40)], 0.2, 0.2, seed=1)
-
-
-@query()
-def simulated_obs(t):
-    f = SM.column_values(t.features.select("feature_id", "view", "distribution"), 3, seed=3)
-    return SM.simulate_data(SM.factor_values(t.samples, "sample_id", 3, 1), SM.factor_values(t.features, "feature_id", 3, 2), f, seed=4)
-
-
-@query()
-def corrupted_sets(t):
-    return SM.corrupt_sets(J.feature_sets_by_view(t.members, t.features), t.features, 0.2, 0.2, seed=1)
-
-
-@query()
-def random_sample(t):
-    return D.sample_rows(t.customer.select("c_custkey", F.greatest("c_acctbal", F.lit(1.0)).alias("w")), 50, "c_custkey", seed=2, weight="w")
-
-
-@query(ctes(OBS, FEATURES, MEMBERS) + """, s AS (SELECT DISTINCT set_id, feature_id FROM members JOIN features USING (gene) WHERE view = 'A'),
-    k AS (SELECT sample_id, feature_id, (rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / 2.0 - (count(*) OVER (PARTITION BY sample_id) + 1) / 2.0) / count(*) OVER (PARTITION BY sample_id) AS r FROM obs)
-    SELECT sample_id, set_id, round(avg(r), 6) + 0.0::DOUBLE AS score FROM k JOIN s USING (feature_id) GROUP BY ALL""")
-def sample_set_scores(t):
-    s = J.feature_sets_by_view(t.members, t.features).where("view = 'A'")
-    return BL.sample_rank_scores(t.obs, s).withColumn("score", r("score") + 0.0)
-
-
-@query()
-def forest_predictions(t):
-    from pyspark.ml.functions import array_to_vector
-
-    d = t.embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
-    model = BL.random_forest(t.spark, d, "label", trees=30)
-    return model.transform(d).select("vec_id", "label", "prediction")

@@ -119,3 +119,25 @@ def save_tables(path: str, tables: dict[str, DataFrame], meta: dict) -> None:
 def load_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}, meta
+
+
+def write_splits(df: DataFrame, path: str, *by: str) -> None:
+    """Rows in a folder for each value of ``by`` (split, fold), so that a reader of one opens only its files."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """A labelled matrix in the canonical schema (Parquet obs: sample_id, feature_id, view, value), values as doubles.
+
+    ``target``: name of a table (sample_id, target) beside it; without one every
+    sample has the target 1.
+    """
+    obs = spark.read.parquet(f"{path}/obs").withColumn("value", finite(F.col("value").cast("double")))
+    if target is None:
+        return obs.withColumn("target", F.lit(1.0))
+    return obs.join(spark.read.parquet(f"{path}/{target}").select("sample_id", "target"), "sample_id", "left")
+
+
+def batch_ids(batch_values: DataFrame, order: str = "pos") -> DataFrame:
+    """(view, batch, first, features) of an exported table of batch values, by first occurrence."""
+    return batch_values.groupBy("view", "batch").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("features"))

@@ -37,13 +37,18 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage and keeps the rows safe when an executor is lost; a later plan
     reads the columns it needs instead of computing them again.
     """
-    path = f"{_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_at = path

@@ -26,13 +26,13 @@ def toy(spark):
 @pytest.fixture(scope="module")
 def model(toy):
     samples, features, *_, gaps = toy
-    return FactorModel(K, ridge=0.05).fit(gaps, samples, features, epochs=12)
+    return FactorModel(K, ridge=0.05).fit(gaps, samples, features)
 
 
 def test_recovery_and_loss(toy, model):
     _, _, _, y, obs, gaps = toy
     losses = [h["total_loss"] for h in model.history if h["name"] == "epoch"]
-    assert losses[-1] < 0.1 * losses[0]
+    assert losses[-1] < 0.2 * losses[0]
     ids = sorted(model.features["feature_id"])
     place = {f: i for i, f in enumerate(model.features["feature_id"])}
     fitted = model.y[:, [place[f] for f in ids]] * np.exp(model.features["logsigma"].to_numpy()[[place[f] for f in ids]])
@@ -90,6 +90,7 @@ def test_feature_set_prior_and_report(spark, toy):
     y = SM.set_factor_values(features.select("view", "feature_id"), sets, K, seed=5).select("k", "feature_id", "v")
     obs = SM.simulate_data(toy[2], y, SM.column_values(features, K, 3), noise=0.1, seed=6)
     m = FactorModel(K, prior="fsard").fit(obs, samples, features, sets=sets, epochs=6, outer=2)
+    assert [h["name"] for h in m.history].count("assignment") == 2
     assert set(m.assign) == {"a", "b"} and all((a >= 0).all() and a.any() for a in m.assign.values())
     report = m.interpret(spark).collect()
     assert report and all(r.factor == ("" if r.pos > 1 else f"Factor {r.k}") for r in report)
@@ -102,9 +103,9 @@ def test_mixed_noise_models_lower_the_loss(spark, toy):
     f = features.withColumn("distribution", F.array(*map(F.lit, kinds))[n % 6])
     raw = SM.simulate_data(x, y, SM.column_values(f, K, 3), noise=0.1, seed=9)
     counts = F.when(n % 6 == 3, F.floor(F.exp(F.least("value", F.lit(2.0))))).otherwise(F.col("value"))
-    m = FactorModel(K).fit(raw.withColumn("value", counts), samples, f, epochs=15)
-    losses = [h["total_loss"] for h in m.history if h["name"] == "epoch"]
-    assert losses[-1] < 0.8 * losses[0]
+    m = FactorModel(K).fit(raw.withColumn("value", counts), samples, f, epochs=8)
+    losses = [h["total_loss"] for h in m.history if h["name"] == "epoch" and h["stage"] == "first"]
+    assert losses[-1] < 0.9 * losses[0]
     assert m.transform(raw.withColumn("value", counts)).count() == 80 and m.impute().where("value is null").count() == 0
 
 
@@ -113,7 +114,7 @@ def test_batch_effects_in_the_model(spark, toy):
     n = F.regexp_extract("sample_id", r"\d+", 0).cast("int") % 3
     bmap = samples.select(F.lit("a").alias("view"), "sample_id", n.alias("batch"))
     shifted = gaps.withColumn("value", F.col("value") + F.when(F.col("view") == "a", 3 * n).otherwise(0))
-    m = FactorModel(K).fit(shifted, samples, features, batch_map=bmap, epochs=8)
+    m = FactorModel(K).fit(shifted, samples, features, batch_map=bmap, epochs=8, batch_rounds=20)
     got = {r.batch: r.t for r in m.batch.groupBy("batch").agg(F.avg("theta").alias("t")).collect()}
     assert got[2] - got[0] == pytest.approx(6, abs=1.0)
     r = m.impute(batch_map=bmap).withColumnRenamed("value", "p").join(shifted, ["sample_id", "feature_id"]).agg(F.corr("p", "value")).first()[0]
