@@ -276,21 +276,29 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
     return shingles[: n - math.ceil(similarity * n - 1e-6) + 1]
 
 
-def may_be_near(a: np.ndarray, b: np.ndarray, n: int, m: int, similarity: float) -> bool:
-    """False only if two sets of ``n`` and ``m`` shingles with bottom sketches ``a`` and ``b`` can't reach ``similarity``.
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles begin with each bit pattern, a byte each (255 stands for more); about as many patterns as shingles."""
+    if not len(shingles):
+        return b""
+    bits = min(16, max(1, (len(shingles) - 1).bit_length()))
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-    Sketches hold the upper halves of the smallest hashes.  Up to the smaller
-    end of two cut sketches all are known; what one set lacks there it lacks
-    for sure.
+
+def may_be_near(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """False only if two sets of ``n`` and ``m`` shingles with histograms ``a`` and ``b`` can't reach ``similarity``.
+
+    The histograms' distance is never above the number of shingles that only one
+    set has; patterns of the longer one are joined to those of the shorter.
     """
     need = least_overlap(n, m, similarity)
     if need > min(n, m):
         return False
-    ends = [x[-1] for x, size in ((a, n), (b, m)) if len(x) and len(x) < size]
-    if ends:
-        a, b = a[a <= min(ends)], b[b <= min(ends)]
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return len(a) - both <= n - need and len(b) - both <= m - need
+    if not a or not b:
+        return len(a) == len(b)
+    x, y = (np.frombuffer(h, np.uint8).astype(np.int32) for h in (a, b))
+    size = min(len(x), len(y))
+    return int(np.abs(x.reshape(size, -1).sum(axis=1) - y.reshape(size, -1).sum(axis=1)).sum()) <= n + m - 2 * need
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -316,7 +324,7 @@ def common_shingles(src: DataFrame, words: int, sampled: int = 10_000, most: int
     return keys[order], counts[order]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 3, radius: int = 4, size: int = 128, row: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 3, radius: int = 4, row: str | None = None) -> DataFrame:
     """One row per input row: row_id, doc_id, component_id, first (as in :func:`simhash_components`).
 
     ``row`` names a column that numbers the rows of a written table; without it
@@ -332,8 +340,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     their n shingles in any order that is the same for all sets.  Of the rows
     that do, neighbours by size are candidates at once, and all pairs that these
     links don't connect after that.  Every candidate
-    is decided on the whole sets; bottom-``size`` sketches before that only
-    drop pairs that can't reach ``similarity``.
+    is decided on the whole sets; histograms of the sets, compared before that,
+    only drop pairs that can't reach ``similarity``.
     Texts without words are near duplicates of each other.  A text of any length
     is read whole by one task.  Other columns are not read; an empty table gives
     no rows.
@@ -350,7 +358,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 sizes.append(len(shingles))
                 fps.append(word_fingerprints(each, views))
-                sketches.append(np.unique((shingles[:size] >> np.uint64(32)).astype(np.uint32)).tobytes())
+                sketches.append(histogram(shingles))
                 firsts.append(prefix(shingles, similarity, common, counts).view(np.int64))
             longs = pa.list_(pa.int64())
             columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, longs), pa.array(sketches, pa.binary()), pa.array(firsts, longs)]
@@ -389,7 +397,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
         candidates = pairs
         of = lambda x: drawn.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
-        pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), n, m, similarity)), "a long, b long"), "near-pairs")
+        pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(a, b, n, m, similarity)), "a long, b long"), "near-pairs")
         discard(candidates)
         known = save(asked(src.select("row_id", "text"), pairs).mapInArrow(whole, "row_id long, shingles binary"), "near-shingles")
         of = lambda x: known.select(F.col("row_id").alias(x), F.col("shingles").alias(f"s{x}"))

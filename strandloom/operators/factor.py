@@ -187,6 +187,42 @@ class Sums:
     rows: float
 
 
+class RowSums:
+    """Adds up :class:`Sums` over the rows of one task."""
+
+    def __init__(self, columns: Columns, prior: SamplePrior) -> None:
+        self.columns, self.prior = columns, prior
+        k, n = columns.y.shape
+        self.table, self.grams, self.penalty = np.zeros((n, k * k + k + 5)), {}, 0.0
+
+    def add(self, d: np.ndarray, conditions: list[str | None]) -> None:
+        """Solve the rows ``d`` and add what they give."""
+        c, t = self.columns, self.table
+        k = len(c.y)
+        ridge = self.prior.weights(conditions, k)
+        x = c.solve(d, ridge)
+        loss, g, h = c.terms(x, d)
+        pairs = (x[:, :, None] * x[:, None, :]).reshape(-1, k * k)
+        t[:, : k * k] += (h * c.weight * c.sigma**2).T @ pairs
+        t[:, k * k : k * k + k] += (g * c.weight * c.sigma).T @ x
+        for i, v in enumerate((loss * c.weight, g * c.weight, h * c.weight, g * g, np.isfinite(d))):
+            t[:, k * k + k + i] += v.sum(axis=0)
+        self.penalty += 0.5 * float((ridge * x * x).sum())
+        for name in set(conditions):
+            at = np.array([o == name for o in conditions])
+            self.grams[name or ""] = self.grams.get(name or "", 0) + np.append(pairs[at].sum(axis=0), at.sum())
+
+    def chunks(self) -> dict[str, np.ndarray]:
+        return U.split_rows("column", self.table) | {f"x:{name}": v for name, v in self.grams.items()} | {"penalty": np.array([self.penalty])}
+
+    @staticmethod
+    def gathered(got: dict[str, np.ndarray], k: int, n: int) -> Sums:
+        t = U.join_rows("column", got, (n, k * k + k + 5))
+        grams = {key[2:]: v for key, v in got.items() if key.startswith("x:")}
+        penalty = float(got["penalty"][0]) if "penalty" in got else 0.0
+        return Sums(t[:, : k * k].reshape(n, k, k), t[:, k * k : k * k + k], *t[:, k * k + k :].T, penalty, {c: v[:-1].reshape(k, k) for c, v in grams.items()}, sum(v[-1] for v in grams.values()))
+
+
 @dataclass
 class FactorModel:
     """Fit, transform, impute, interpret, save and load.
@@ -258,28 +294,12 @@ class FactorModel:
         k, n = c.y.shape
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, grams, penalty = np.zeros((n, k * k + k + 5)), {}, 0.0
+            sums = RowSums(c, prior)
             for b in (piece for whole in batches for piece in U.slices(whole, n)):
-                d, own = U.dense(b, n), b.column("condition").to_pylist()
-                ridge = prior.weights(own, k)
-                x = c.solve(d, ridge)
-                loss, g, h = c.terms(x, d)
-                pairs = (x[:, :, None] * x[:, None, :]).reshape(-1, k * k)
-                table[:, : k * k] += (h * c.weight * c.sigma**2).T @ pairs
-                table[:, k * k : k * k + k] += (g * c.weight * c.sigma).T @ x
-                for i, v in enumerate((loss * c.weight, g * c.weight, h * c.weight, g * g, np.isfinite(d))):
-                    table[:, k * k + k + i] += v.sum(axis=0)
-                penalty += 0.5 * float((ridge * x * x).sum())
-                for name in set(own):
-                    at = np.array([o == name for o in own])
-                    grams[name or ""] = grams.get(name or "", 0) + np.append(pairs[at].sum(axis=0), at.sum())
-            yield U.partial(U.split_rows("column", table) | {f"x:{name}": v for name, v in grams.items()} | {"penalty": np.array([penalty])})
-
-        got = U.add_up(rows.mapInArrow(run, U.SCHEMA))
-        t = U.join_rows("column", got, (n, k * k + k + 5))
-        grams = {key[2:]: v for key, v in got.items() if key.startswith("x:")}
-        rest = t[:, k * k + k :].T
-        return Sums(t[:, : k * k].reshape(n, k, k), t[:, k * k : k * k + k], *rest, float(got["penalty"][0]) if "penalty" in got else 0.0, {c: v[:-1].reshape(k, k) for c, v in grams.items()}, sum(v[-1] for v in grams.values()))
+                sums.add(U.dense(b, n), b.column("condition").to_pylist())
+            yield U.partial(sums.chunks())
+
+        return RowSums.gathered(U.add_up(rows.mapInArrow(run, U.SCHEMA)), k, n)
 
     def _total(self, s: Sums, y: np.ndarray) -> float:
         return float(s.loss.sum()) + s.penalty + self.y_prior.value(y)

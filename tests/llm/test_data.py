@@ -57,6 +57,37 @@ def test_mix(sample, edge, empty, block):
     assert M.taken_words(M.mix_sources(empty)).count() == 0
 
 
+def test_mix_takes_the_words_of_its_slots(sample):
+    """Blocks, slots and words once more, one after another."""
+    block = 16
+    mix = M.mix_sources(sample, block_words=block, shard_slots=100, seed=3)
+    rows = {r.s: [] for r in mix.sources.collect()}
+    for r in mix.sizes.collect():
+        rows[r.s].append(r)
+    sizes = [sum(r["size"] for r in rows[s]) for s in sorted(rows)]
+    want = M.targets(sizes, [(5, 2, 1)[s % 3] for s in sorted(rows)])
+    taken = defaultdict(int)
+    for s, (n, t) in enumerate(zip(sizes, want, strict=True)):
+        words = [None] * n
+        for r in rows[s]:
+            assert words[r["at"] : r["at"] + r["size"]] == [None] * r["size"]
+            words[r["at"] : r["at"] + r["size"]] = [r.row_id] * r["size"]
+        assert None not in words
+        blocks = -(-n // block)
+        full = 2 * blocks if t >= 2 * n - 1e-6 else int(t * blocks / n)
+        rest = round(t - full * n / blocks) if full < 2 * blocks else 0
+        j = np.arange(full + (rest > 0))
+        at = M.permute(j % blocks, np.full(len(j), blocks), s * 1000003 + j // blocks + 3 * 7919)
+        for k, b in zip(j.tolist(), at.tolist(), strict=True):
+            size = rest if rest and k == len(j) - 1 else block
+            for w in words[b * block : b * block + size][: block if size == block else size]:
+                taken[w] += 1
+    got = {r.row_id: r.taken for r in M.taken_words(mix).collect()}
+    assert got == {r.row_id: taken[r.row_id] for own in rows.values() for r in own}
+    slots = mix.pieces.select("shard", "slot").distinct().groupBy("shard").count().collect()
+    assert len(slots) > 5 and max(r["count"] for r in slots) <= 100
+
+
 def test_mix_near_target(sample):
     rows = M.taken_words(M.mix_sources(sample)).join(sample.select("doc_id", "source"), "doc_id").collect()
     got, want = defaultdict(int), {}
@@ -158,6 +189,24 @@ def test_topk_shards_blocks_and_odd_rows(spark):
     assert exact_topk(use.where("false"), use).count() == 0 and exact_topk(use, use.where("false")).count() == 0
 
 
+def test_topk_cells_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.integers(-40, 40, (12, 5))
+    x = centres[rng.integers(0, 12, 400)] + rng.integers(-2, 3, (400, 5))
+    ids = np.concatenate((np.arange(380), rng.integers(0, 380, 20)))  # some candidates twice
+    rows = [(int(i), [int(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    ask = df.where("vec_id % 7 = 0")
+    queries = {}
+    for i, v in rows:
+        if i % 7 == 0:
+            queries[i] = max(queries.get(i, v), v)
+    want = _brute([i for i, _ in rows], x, [(i, np.array(v)) for i, v in queries.items()], 6)
+    for cells, shard in ((16, 25), (1, 1000), (3, 60)):
+        got = exact_topk(df, ask, k=6, shard_rows=shard, block_rows=5, cells=cells)
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_topk_fewer_than_k(spark):
     df = spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id long, vector array<long>")
     assert [tuple(r) for r in exact_topk(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 11)]

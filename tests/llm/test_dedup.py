@@ -310,6 +310,20 @@ def test_near_duplicates_by_shingles(spark, edge, empty, tmp_path):
     assert S.near_duplicates(empty).count() == 0
 
 
+def test_histograms_never_drop_a_near_pair():
+    rng = np.random.default_rng(9)
+    dropped = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        sets = [np.unique(np.concatenate((both, rng.integers(0, 1 << 63, int(rng.integers(0, n // 2 + 2)), dtype=np.uint64)))) for _ in range(2)]
+        near = S.jaccard(*sets) >= 0.8
+        may = S.may_be_near(*map(S.histogram, sets), *map(len, sets), 0.8)
+        assert may or not near
+        dropped += not may
+    assert dropped > 100 and S.may_be_near(b"", b"", 0, 0, 0.8) and not S.may_be_near(b"", b"\1\0", 0, 1, 0.8)
+
+
 def _near_roots(spark, texts, path):
     """Near-copy groups as found, and by comparing all shingle sets with all."""
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(path))

@@ -86,6 +86,18 @@ def test_quality_rejects_and_keeps(spark, data):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.3
 
 
+def test_quality_on_rows_that_were_not_fitted(spark, data):
+    d = f"{data}/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.xxhash64("doc_id", F.lit(77)) % 2 == 0
+    model = Q.train(docs, Q.label_grades(labels.where(half)))
+    rest = labels.where(~half)
+    got = Q.grade_documents(docs.join(rest.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"), model).join(rest, "doc_id").collect()
+    good = [r.keep for r in got if r.quality == 1 and r.toxic == 0]
+    toxic, low = ([not r.keep for r in got if (r.toxic == 1) == t and (t or r.quality == 0)] for t in (True, False))
+    assert len(good) > 100 and np.mean(good) > 0.95 and np.mean(toxic) > 0.8 and np.mean(low) > 0.6
+
+
 def test_quality_edge(spark, edge, empty):
     ratings = spark.createDataFrame([(4, 2), (6, 0), (None, 1), (77, 2)], "doc_id long, grade int")
     rows = Q.grade_documents(edge, Q.train(edge, ratings)).collect()
@@ -132,6 +144,62 @@ def test_bootstrapping_finds_new_identifiers(spark, edge, empty):
     assert len(P.find_personal_data(edge).collect()) == len(EDGE) and P.find_personal_data(empty).count() == 0
 
 
+def _contexts(n_seeds=26, n_new=3):
+    """(text, kind, new identifier or None): seeds of each kind in a context of their own, and identifiers no base pattern matches."""
+    rng, rows = random.Random(8), []
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = digits(15)
+        return d + next(c for c in "0123456789" if P.luhn(d + c))
+
+    kinds = {
+        "email": ("please contact me at {} for the details", lambda i: f"user{i}{digits(3)}@mail{i}.example.org", lambda i: f"user{i}@localhost{i}"),
+        "ip": ("the server address is {} since monday", lambda i: f"10.{i}.{rng.randrange(256)}.{rng.randrange(256)}", lambda i: f"fe80:{i}:{digits(2)}:7"),
+        "card": ("Card: {} (charged)", lambda i: card(), lambda i: digits(4) + " " + digits(4) + " " + digits(4) + f" {i}{digits(2)}"),
+        "phone": ("Phone: {}", lambda i: f"+1 (4{i:02d}) 555-{digits(4)}", lambda i: f"555 {digits(3)} {i}{digits(3)}"),
+    }
+    for kind, (frame, seed, new) in kinds.items():
+        rows += [(f"{rng.choice('abcdef')}{i} said\n" + frame.format(seed(i)), kind, None) for i in range(n_seeds)]
+        for i in range(n_new):
+            x = new(i)
+            rows.append((f"and then\n{frame.format(x)}", kind, x))
+    rows += [(f"row {i} of table {digits(3)} has {digits(5)} items in lot {digits(4)} {digits(4)}", None, None) for i in range(40)]
+    return rows
+
+
+def test_masked_identifiers_are_found_in_each_kind(spark):
+    rows = _contexts()
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.find_personal_data(df).collect()}
+    found = {k: [] for k in P.KINDS}
+    for i, (text, kind, new) in enumerate(rows):
+        added = [(s.kind, text[s.i : s.j]) for s in got[i].spans if s not in got[i].base]
+        if new:
+            found[kind].append((kind, new) in added)
+        else:
+            assert added == [], (text, added)
+    assert all(np.mean(v) >= 0.9 for v in found.values()), found
+
+
+def test_pattern_scores_against_plain_rounds(spark):
+    rng = random.Random(4)
+    seen = [(f"p{rng.randrange(6)}", rng.randrange(30)) for _ in range(160)]
+    kind = {x: rng.choice(P.KINDS) if x < 20 else None for x in range(30)}
+    fits = {x: rng.randrange(16) for x in range(30)}
+    df = spark.createDataFrame([(p, x, kind[x], fits[x]) for p, x in seen], "pattern string, x long, kind string, fits int")
+    got = {r.pattern: [round(r[k], 9) for k in P.KINDS] for r in P.sure_patterns(df, sure=0.15).collect()}
+    edges, belief = set(seen), {x: [float(kind[x] == k) for k in P.KINDS] for x in range(20)}
+    degree = {p: len({x for q, x in edges if q == p}) for p, _ in edges}
+    for _ in range(P.ROUNDS):
+        score = {p: [sum(belief[x][n] for q, x in edges if q == p and x in belief) / (degree[p] + P.PRIOR) for n in range(4)] for p in degree}
+        score = {p: [c if c >= 0.15 else 0.0 for c in s] for p, s in score.items() if max(s) >= 0.15}
+        for x in range(20, 30):
+            own = [score[p] for p in {q for q, y in edges if y == x} if p in score]
+            belief[x] = [(1 - np.prod([max(1 - s[n], 1e-9) for s in own])) * (fits[x] >> n & 1) if own else 0.0 for n in range(4)]
+    assert set(got) == set(score) and all(got[p] == pytest.approx(score[p], abs=2e-3) for p in got)
+
+
 def test_spans_are_ordered_by_kind_then_start(spark):
     df = spark.createDataFrame([(1, "+49 30 1234567 then 9.9.9.9 and b@c.de, a@c.de")], "doc_id long, text string")
     row = P.find_personal_data(df).select(P.spans_text("spans").alias("s")).first()
