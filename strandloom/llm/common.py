@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.sources.scratch import discard, save, shared_dir
 
-__all__ = ["WORD", "discard", "documents", "fresh", "heavy_join", "identified", "row_id", "save", "shared_dir", "shuffle_partitions", "text_of"]
+__all__ = ["WORD", "discard", "documents", "fresh", "heavy_join", "identified", "row_id", "save", "shared_dir", "shuffle_partitions", "sliced", "text_of", "trimmed"]
 
 #: Words are runs of anything but these separators (space and U+0009..U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys that a broadcast resolves before a shuffle: a fixed bound.
 HEAVY_KEYS = 1024
+#: Rows of a batch that Python holds as lists at once.
+PART = 512
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -54,6 +59,28 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = PART) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of ``rows`` rows, which bounds the lists made of one."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving free memory back at its task's end; Python workers stay and would hold it through later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+                trim(0)
+
+    return whole
+
+
 def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, heavy: int = HEAVY_KEYS) -> DataFrame:
     """``rows`` joined with ``lookup`` (one row per key) on ``key``, without its column ``weight``.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import WORD, fresh, row_id, save, shuffle_partitions, text_of
+from strandloom.llm.common import WORD, fresh, row_id, save, shuffle_partitions, sliced, text_of, trimmed
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1 << 18
@@ -211,7 +211,7 @@ def mixed_documents(docs: DataFrame, mix: Mix, row: str) -> DataFrame:
     rows = docs.join(taken.select(F.col("row_id").alias(row), held), row).select(*kept, held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = []
             for text, stretches in zip(b.column("text"), b.column(held).to_pylist(), strict=True):
                 runs: list[tuple[int, int]] = []
@@ -224,4 +224,4 @@ def mixed_documents(docs: DataFrame, mix: Mix, row: str) -> DataFrame:
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), b.schema.field("n_chars").type if "n_chars" in kept else pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in kept], kept)
 
-    return rows.mapInArrow(cut, docs.select(*kept).schema)
+    return rows.mapInArrow(trimmed(cut), docs.select(*kept).schema)

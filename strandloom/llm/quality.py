@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from strandloom.llm.common import sliced, trimmed
+
 BUCKETS = 1 << 18
 TRAIN_ROWS = 6000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1 << 17
 BEGINNINGS = (3, 5)
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 _OUTER = re.compile(r"\A[\W_]+|[\W_]+\Z")
@@ -157,13 +159,13 @@ def train(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> Ordina
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
-        for b in batches:
+        for b in sliced(batches):
             both = [hashed.features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([i.tobytes() for i, _ in both], pa.binary()), pa.array([v.tobytes() for _, v in both], pa.binary())], ["doc_id", "grade", "i", "v"])
 
     pairs = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     one = pairs.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    got = one.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, i binary, v binary").collect()
+    got = one.select("doc_id", "grade", "text").mapInArrow(trimmed(run), "doc_id long, grade int, i binary, v binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["i"]))
     if not got:
         return Ordinal(np.zeros(BUCKETS, np.float32), np.zeros(0))
@@ -188,7 +190,7 @@ def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         hashed = Hashed(w)
-        for b in batches:
+        for b in sliced(batches):
             score = np.zeros(b.num_rows)
             for k, t in enumerate(b.column("text")):
                 i, v = hashed.features(t.as_py())
@@ -200,7 +202,7 @@ def grade_documents(docs: DataFrame, model: Ordinal, at_least: int | None = None
 
     src = docs.select(*kept)
     schema = StructType([*src.schema, *(StructField(n, t()) for n, t in zip(names, (DoubleType, DoubleType, BooleanType), strict=True))])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)
 
 
 def label_grades(labels: DataFrame) -> DataFrame:

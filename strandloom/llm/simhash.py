@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import discard, row_id, save, shuffle_partitions
+from strandloom.llm.common import discard, row_id, save, shuffle_partitions, sliced, trimmed
 from strandloom.llm.components import connected_components
 
 SEED = 42
@@ -200,7 +200,7 @@ def near_links(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, ba
     rows = rows.select("view", "shard", "mine", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("view", "shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp")
     dealt = rows.repartition(parts, "view", "shard", "i", "j").sortWithinPartitions("view", "shard", "i", "j", "fp")
-    return dealt.mapInArrow(_search(radius), "view int, a long, b long")
+    return dealt.mapInArrow(trimmed(_search(radius)), "view int, a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
@@ -214,7 +214,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of ``docs`` are not read; an empty table gives no rows.
     """
     src = docs.select(row_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = save(src.mapInArrow(_fingerprints(words), "row_id long, doc_id long, fp long"), "simhash-rows")
+    rows = save(src.mapInArrow(trimmed(_fingerprints(words)), "row_id long, doc_id long, fp long"), "simhash-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")
     nodes = save(rows.groupBy("fp").agg(F.min(rank).alias("low")), "simhash-nodes")
     links = save(near_links(nodes.select(F.lit(0).alias("view"), "fp"), radius).select("a", "b"), "simhash-links")
@@ -318,7 +318,7 @@ def common_shingles(src: DataFrame, words: int, sampled: int = 10_000, most: int
 
     step = max(1, src.count() // sampled)
     some = src.where(F.pmod(F.xxhash64("row_id", F.lit(11)), F.lit(step)) == 0)
-    rows = some.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toArrow()
+    rows = some.select("text").mapInArrow(trimmed(run), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toArrow()
     keys, counts = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     common, counts = common_shingles(src, words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             digests, sizes, fps, sketches, firsts = [], [], [], [], []
             for t in b.column("text"):
                 each, shingles = shingle_set(t.as_py(), words)
@@ -365,19 +365,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
             yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), *columns], ["row_id", "doc_id", "digest", "n", "fps", "sketch", "prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = pa.array([shingle_set(t.as_py(), words)[1].tobytes() for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("row_id"), sets], ["row_id", "shingles"])
 
     def keep(test):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 ok = [test(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return run
+        return trimmed(run)
 
-    rows = save(src.mapInArrow(scan, "row_id long, doc_id long, digest binary, n long, fps array<long>, sketch binary, prefix array<long>"), "near-rows")
+    rows = save(src.mapInArrow(trimmed(scan), "row_id long, doc_id long, digest binary, n long, fps array<long>, sketch binary, prefix array<long>"), "near-rows")
     # of rows with one set or fingerprint the first by doc_id stands for it, whatever the files' order
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id"))["row_id"]
     sets = save(rows.groupBy("digest").agg(first.alias("low")), "near-sets")
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
         pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(a, b, n, m, similarity)), "a long, b long"), "near-pairs")
         discard(candidates)
-        known = save(asked(src.select("row_id", "text"), pairs).mapInArrow(whole, "row_id long, shingles binary"), "near-shingles")
+        known = save(asked(src.select("row_id", "text"), pairs).mapInArrow(trimmed(whole), "row_id long, shingles binary"), "near-shingles")
         of = lambda x: known.select(F.col("row_id").alias(x), F.col("shingles").alias(f"s{x}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
         found = save(both.mapInArrow(keep(lambda a, b: jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity), "a long, b long"), "near-links")
