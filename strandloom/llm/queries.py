@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm import language_id, log_bilinear, quality
+from strandloom.llm.clustering import cluster_vectors
 from strandloom.llm.common import documents
-from strandloom.llm import language_id, quality
 from strandloom.llm.exact_dedup import exact_dedup
 from strandloom.llm.mixing import mix_sources, taken_words
 from strandloom.llm.packing import pack_pow2
@@ -15,6 +16,7 @@ from strandloom.llm.simhash import simhash_components
 from strandloom.llm.substring_dedup import substring_dedup
 from strandloom.llm.suffix_dedup import remove_repeats
 from strandloom.llm.topk import exact_topk, quantised, usable
+from strandloom.llm.whitening import integers, whiten
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scale, shift = 64, 1_000_000
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), integers("embedding", scale, shift).alias("vector"))
+    out = whiten(rows, components=32, fill=shift).select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.language_model(documents(spark, sf_dir))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding").alias("vector"))
+    return cluster_vectors(rows, k=8, rounds=10, dim=64, seed=3).drop("vector")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -84,9 +102,34 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_language_model": op12_language_model,
+    "op13_sort_means": op13_sort_means,
 }
 
+
+def _means_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """k-means with a table of assignments and one of centroids for each round."""
+    near = """a{n} AS MATERIALIZED (SELECT row, c AS cluster, d AS distance FROM (
+            SELECT v.row, k.c, CAST(v.norm - 2 * list_dot_product(v.f, k.f) + k.norm AS BIGINT) AS d, row_number() OVER (PARTITION BY v.row ORDER BY v.norm - 2 * list_dot_product(v.f, k.f) + k.norm, k.c) AS nth FROM v CROSS JOIN c{n} k) WHERE nth = 1)"""
+    move = """s{m} AS MATERIALIZED (SELECT cluster, i, sum(q[i]) AS s, count(*) AS n FROM a{n} JOIN v USING (row) CROSS JOIN (SELECT unnest(range(1, {dim} + 1)) AS i) GROUP BY ALL),
+        q{m} AS (SELECT cluster AS c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{m} GROUP BY 1),
+        c{m} AS MATERIALIZED (SELECT c, q, CAST(q AS DOUBLE[]) AS f, list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])) AS norm FROM (SELECT c, coalesce(q{m}.q, c{n}.q) AS q FROM c{n} LEFT JOIN q{m} USING (c)))"""
+    steps = [x.format(n=n, m=n + 1, dim=dim) for n in range(rounds) for x in (near, move)] + [near.format(n=rounds)]
+    return f"""
+        WITH v0 AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, q, CAST(q AS DOUBLE[]) AS f, list_dot_product(f, f) AS norm FROM v0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q, f, norm FROM v QUALIFY c < {k}),
+        {', '.join(steps)}
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.q, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN v USING (row) JOIN c{rounds} c ON c.c = cluster
+    """
+
+
 ORACLES = {
+    "op13_sort_means": _means_sql(),
     "op9_exact_topk": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
