@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -25,52 +25,64 @@ from pyspark.sql import functions as F
 from strandloom.functions.scalars import DISTRIBUTIONS, finite, impute
 from strandloom.operators import sums as U
 from strandloom.operators.batch import fit_batch_effects, remove_batch
-from strandloom.operators.regularise import FeatureSets, Prior, Relevance, SamplePrior, feature_prior, minimal_prior
+from strandloom.operators.noise import THRESHOLDS, column_estimates, noise_terms
+from strandloom.operators.regularise import LAYERS, FeatureSets, LayerPriors, Prior, Relevance, SamplePrior, feature_prior, minimal_prior
 from strandloom.sources.files import load_tables, save_tables
 from strandloom.sources.scratch import save
 
-THRESHOLDS = (-1.0, 1.0)
 _LEAST_STEP, _MOST_STEP = 0.02, 8.0
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * z) + 0.5
+@dataclass
+class BatchLayers:
+    """Batch values of the features of each view that has batches: B x N_view arrays; the last row is of samples without a batch, zeros."""
 
+    views: list[str]
+    columns: list[np.ndarray]
+    names: list[list[str]]
+    theta: list[np.ndarray]
+    logdelta: list[np.ndarray]
 
-def noise_terms(kind: str, z: np.ndarray, d: np.ndarray, cuts: tuple = THRESHOLDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Elementwise loss, its derivative in z and a curvature; zero where d is missing.
+    @classmethod
+    def of(cls, batch: DataFrame, features: pd.DataFrame) -> BatchLayers:
+        """From (view, batch, feature_id, theta, logdelta); a value for each batch and feature goes to the driver."""
+        place, out = {f: j for j, f in enumerate(features["feature_id"])}, cls([], [], [], [], [])
+        got = batch.select("view", F.col("batch").cast("string").alias("batch"), "feature_id", "theta", "logdelta").toPandas()
+        for view, own in got.groupby("view"):
+            cols = np.flatnonzero(features["view"] == view)
+            names = sorted(own["batch"].unique())
+            at = np.full(len(place), -1)
+            at[cols] = np.arange(len(cols))
+            j = own["feature_id"].map(place)
+            own, j = own[j.notna()], j.dropna().astype(int).to_numpy()
+            b = own["batch"].map({n: i for i, n in enumerate(names)}).to_numpy()
+            tables = []
+            for layer in ("theta", "logdelta"):
+                table = np.zeros((len(names) + 1, len(cols)))
+                table[b, at[j]] = own[layer].to_numpy()
+                tables.append(table)
+            out.views.append(view), out.columns.append(cols), out.names.append(names), out.theta.append(tables[0]), out.logdelta.append(tables[1])
+        return out
 
-    ``cuts``: the two thresholds of ordinal noise, numbers or one for each column.
-    """
-    seen = np.isfinite(d)
-    d = np.where(seen, d, 0.0)
-    if kind == "normal":
-        loss, g, h = 0.5 * (z - d) ** 2, z - d, np.ones_like(z)
-    elif kind == "bernoulli":
-        p = _sigmoid(z)
-        loss, g, h = np.logaddexp(0, z) - d * z, p - d, p * (1 - p)
-    elif kind == "poisson":
-        e = np.exp(np.minimum(z, 30))
-        loss, g, h = e - d * z, e - d, e
-    elif kind == "bernoulli_sq_hinge":
-        s = 2 * d - 1
-        m = np.maximum(1 - s * z, 0)
-        loss, g, h = 0.5 * m * m, -s * m, (m > 0) * s * s
-    elif kind == "ordinal3":
-        low, high = (np.broadcast_to(c, z.shape) for c in cuts)
-        level = np.clip(np.where(seen, d, 1), 1, 3)
-        a = np.where(level == 1, 0.0, _sigmoid(np.where(level == 2, low, high) - z))
-        b = np.where(level == 3, 1.0, _sigmoid(np.where(level == 1, low, high) - z))
-        loss, g, h = -np.log(np.maximum(b - a, 1e-12)), 1 - a - b, a * (1 - a) + b * (1 - b)
-    elif kind == "ordinal_sq_hinge3":
-        loss, g, h = np.zeros_like(z), np.zeros_like(z), np.zeros_like(z)
-        for i, t in enumerate(cuts):
-            s = np.where(d > i + 1, 1.0, -1.0)
-            m = np.maximum(1 - s * (z - t), 0)
-            loss, g, h = loss + 0.5 * m * m, g - s * m, h + (m > 0)
-    else:
-        raise ValueError(f"unknown distribution {kind!r}; known: {DISTRIBUTIONS}")
-    return loss * seen, g * seen, np.maximum(h, 1e-6) * seen
+    def frame(self, features: pd.DataFrame) -> pd.DataFrame:
+        """The values as rows: view, batch, feature_id, theta, logdelta."""
+        ids, rows = features["feature_id"].to_numpy(), []
+        for v, cols, names, theta, logdelta in zip(self.views, self.columns, self.names, self.theta, self.logdelta, strict=True):
+            rows += [pd.DataFrame({"view": v, "batch": n, "feature_id": ids[cols], "theta": theta[b], "logdelta": logdelta[b]}) for b, n in enumerate(names)]
+        return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"view": [], "batch": [], "feature_id": [], "theta": [], "logdelta": []})
+
+    def spread(self, places: list[np.ndarray], n: int, layer: str) -> np.ndarray:
+        """Rows x N: the layer's value of each sample's batch."""
+        out = np.zeros((len(places[0]) if places else 0, n))
+        for cols, table, at in zip(self.columns, getattr(self, layer), places, strict=True):
+            out[:, cols] = table[at]
+        return out
+
+
+def _placing(batches: BatchLayers | None) -> Callable[[pa.RecordBatch], list[np.ndarray]]:
+    """Reads the places of the rows' batches, an array for each view that has batches."""
+    views = len(batches.views) if batches else 0
+    return lambda b: list(b.column("batches").flatten().to_numpy(zero_copy_only=False).reshape(-1, views).T) if views else []
 
 
 def packed_rows(obs: DataFrame, ids: list[str], samples: DataFrame | None = None) -> DataFrame:
@@ -84,22 +96,6 @@ def packed_rows(obs: DataFrame, ids: list[str], samples: DataFrame | None = None
     return out.withColumn("condition", F.lit(None).cast("string"))
 
 
-def column_estimates(kind: str, levels: np.ndarray, cuts: tuple[np.ndarray, np.ndarray], rounds: int = 60) -> np.ndarray:
-    """The best shift of each column alone, by Newton steps on the counts of its levels (rows: columns)."""
-    mu = np.zeros(len(levels))
-    values = [0.0, 0.0, 1.0] if kind == "bernoulli_sq_hinge" else [1.0, 2.0, 3.0]
-    for _ in range(rounds):
-        g, h = np.zeros(len(levels)), np.full(len(levels), 1e-9)
-        for i, v in enumerate(values):
-            _, slope, bend = noise_terms(kind, mu, np.full(len(levels), v), cuts)
-            g, h = g + levels[:, i] * slope, h + levels[:, i] * bend
-        step = np.clip(g / h, -1, 1)
-        mu = np.clip(mu - step, -10, 10)
-        if np.abs(step).max(initial=0) < 1e-9:
-            break
-    return mu
-
-
 @dataclass
 class Columns:
     """What a kernel needs to know about the features."""
@@ -110,6 +106,17 @@ class Columns:
     weight: np.ndarray
     groups: list[tuple[str, np.ndarray]]
     cuts: tuple[np.ndarray, np.ndarray]
+    batches: BatchLayers | None = None
+    #: of the rows at hand: sigma delta and mu + theta, a row each or one for all
+    scale: np.ndarray | None = None
+    shift: np.ndarray | None = None
+
+    def at(self, places: list[np.ndarray]) -> Columns:
+        """The columns as rows with these places of batches (an array for each view that has any) see them."""
+        if self.batches is None:
+            return replace(self, scale=self.sigma[None], shift=self.mu[None])
+        n = len(self.sigma)
+        return replace(self, scale=self.sigma * np.exp(self.batches.spread(places, n, "logdelta")), shift=self.mu + self.batches.spread(places, n, "theta"))
 
     @property
     def normal(self) -> bool:
@@ -117,7 +124,7 @@ class Columns:
 
     def terms(self, x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Loss, slope and curvature of each cell in z, without weights."""
-        z = (x @ self.y) * self.sigma + self.mu
+        z = (x @ self.y) * self.scale + self.shift
         loss, g, h = np.zeros_like(d), np.zeros_like(d), np.zeros_like(d)
         for kind, cols in self.groups:
             loss[:, cols], g[:, cols], h[:, cols] = noise_terms(kind, z[:, cols], d[:, cols], tuple(c[cols] for c in self.cuts))
@@ -127,10 +134,10 @@ class Columns:
         """The factor of each row: minimiser of its weighted loss plus 1/2 ridge x^2 (rows x K)."""
         k, n = self.y.shape
         pairs = (self.y[:, None, :] * self.y[None, :, :]).reshape(k * k, n).T
-        scale = self.weight * self.sigma**2
+        scale = self.weight * self.scale**2
         diagonal = np.eye(k) * (ridge + 1e-8)[:, :, None]
         if self.normal:
-            z = (d - self.mu) / self.sigma
+            z = (d - self.shift) / self.scale
             w = np.isfinite(z) * scale
             b = (w * np.where(np.isfinite(z), z, 0.0)) @ self.y.T
             return np.linalg.solve((w @ pairs).reshape(-1, k, k) + diagonal, b[..., None])[..., 0]
@@ -139,7 +146,7 @@ class Columns:
         now = total(x)
         for _ in range(rounds):
             _, g, h = self.terms(x, d)
-            slope = (g * self.weight * self.sigma) @ self.y.T + ridge * x
+            slope = (g * self.weight * self.scale) @ self.y.T + ridge * x
             step = -np.linalg.solve(((h * scale) @ pairs).reshape(-1, k, k) + diagonal, slope[..., None])[..., 0]
             size = np.ones(len(d))
             for _ in range(12):  # halve the step of the rows that rise
@@ -173,7 +180,7 @@ class Selection:
 
 @dataclass
 class Sums:
-    """What a pass adds up: per feature the second moments a, slope b, loss, sums of slopes and curvatures in mu, squared slopes, values; and of X."""
+    """What a pass adds up: per feature the second moments a, slope b, loss, sums of slopes and curvatures in mu, squared slopes, values; of X; and slope and curvature in each layer."""
 
     a: np.ndarray
     b: np.ndarray
@@ -185,6 +192,7 @@ class Sums:
     penalty: float
     grams: dict[str, np.ndarray]
     rows: float
+    layers: dict[str, tuple[np.ndarray, np.ndarray]]
 
 
 class RowSums:
@@ -193,34 +201,47 @@ class RowSums:
     def __init__(self, columns: Columns, prior: SamplePrior) -> None:
         self.columns, self.prior = columns, prior
         k, n = columns.y.shape
-        self.table, self.grams, self.penalty = np.zeros((n, k * k + k + 5)), {}, 0.0
+        self.table, self.grams, self.penalty = np.zeros((n, k * k + k + 7)), {}, 0.0
+        b = columns.batches
+        self.batch = [np.zeros((*t.shape, 4)) for t in b.theta] if b else []
 
-    def add(self, d: np.ndarray, conditions: list[str | None]) -> None:
+    def add(self, d: np.ndarray, conditions: list[str | None], places: list[np.ndarray] | None = None) -> None:
         """Solve the rows ``d`` and add what they give."""
-        c, t = self.columns, self.table
+        c, t = self.columns.at(places or []), self.table
         k = len(c.y)
         ridge = self.prior.weights(conditions, k)
         x = c.solve(d, ridge)
         loss, g, h = c.terms(x, d)
         pairs = (x[:, :, None] * x[:, None, :]).reshape(-1, k * k)
-        t[:, : k * k] += (h * c.weight * c.sigma**2).T @ pairs
-        t[:, k * k : k * k + k] += (g * c.weight * c.sigma).T @ x
-        for i, v in enumerate((loss * c.weight, g * c.weight, h * c.weight, g * g, np.isfinite(d))):
+        t[:, : k * k] += (h * c.weight * c.scale**2).T @ pairs
+        t[:, k * k : k * k + k] += (g * c.weight * c.scale).T @ x
+        scaled = (x @ c.y) * c.scale  # how z grows with the logarithms of both scales
+        slope, curvature = g * c.weight, h * c.weight
+        own = (slope, curvature, slope * scaled, curvature * scaled * scaled)
+        for i, v in enumerate((loss * c.weight, *own[:2], g * g, np.isfinite(d), *own[2:])):
             t[:, k * k + k + i] += v.sum(axis=0)
+        for total, cols, at in zip(self.batch, c.batches.columns if c.batches else [], places or [], strict=True):
+            for i, v in enumerate(own):
+                np.add.at(total[:, :, i], at, v[:, cols])
         self.penalty += 0.5 * float((ridge * x * x).sum())
         for name in set(conditions):
             at = np.array([o == name for o in conditions])
             self.grams[name or ""] = self.grams.get(name or "", 0) + np.append(pairs[at].sum(axis=0), at.sum())
 
     def chunks(self) -> dict[str, np.ndarray]:
-        return U.split_rows("column", self.table) | {f"x:{name}": v for name, v in self.grams.items()} | {"penalty": np.array([self.penalty])}
+        batches = {k: v for i, b in enumerate(self.batch) for k, v in U.split_rows(f"batch{i}", b.reshape(-1, 4)).items()}
+        return U.split_rows("column", self.table) | batches | {f"x:{name}": v for name, v in self.grams.items()} | {"penalty": np.array([self.penalty])}
 
     @staticmethod
-    def gathered(got: dict[str, np.ndarray], k: int, n: int) -> Sums:
-        t = U.join_rows("column", got, (n, k * k + k + 5))
+    def gathered(got: dict[str, np.ndarray], k: int, n: int, batches: BatchLayers | None = None) -> Sums:
+        t = U.join_rows("column", got, (n, k * k + k + 7))
         grams = {key[2:]: v for key, v in got.items() if key.startswith("x:")}
         penalty = float(got["penalty"][0]) if "penalty" in got else 0.0
-        return Sums(t[:, : k * k].reshape(n, k, k), t[:, k * k : k * k + k], *t[:, k * k + k :].T, penalty, {c: v[:-1].reshape(k, k) for c, v in grams.items()}, sum(v[-1] for v in grams.values()))
+        own = [U.join_rows(f"batch{i}", got, (b.size, 4)).reshape(*b.shape, 4)[:-1] for i, b in enumerate(batches.theta)] if batches else []
+        flat = [np.concatenate([b[..., i].ravel() for b in own]) if own else np.zeros(0) for i in range(4)]
+        mu = k * k + k
+        layers = {"mu": (t[:, mu + 1], t[:, mu + 2]), "logsigma": (t[:, mu + 5], t[:, mu + 6]), "theta": (flat[0], flat[1]), "logdelta": (flat[2], flat[3])}
+        return Sums(t[:, : k * k].reshape(n, k, k), t[:, k * k : mu], *t[:, mu : mu + 5].T, penalty, {c: v[:-1].reshape(k, k) for c, v in grams.items()}, sum(v[-1] for v in grams.values()), layers)
 
 
 @dataclass
@@ -246,6 +267,7 @@ class FactorModel:
     y: np.ndarray | None = None
     factors: DataFrame | None = None
     batch: DataFrame | None = None
+    batches: BatchLayers | None = None
     assign: dict[str, np.ndarray] = field(default_factory=dict)
     set_names: dict[str, list[str]] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
@@ -277,29 +299,38 @@ class FactorModel:
         if batch_map is not None and batch_map.select("view").distinct().join(features.select("view").distinct(), "view", "left_anti").limit(1).count():
             raise ValueError("batch_map names a view that no feature has")
 
-    def rows(self, obs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-        """One row per sample: condition, and sorted lists of model places and values; features unknown to the model are dropped."""
-        return packed_rows(obs, list(self.features["feature_id"]), samples)
+    def rows(self, obs: DataFrame, samples: DataFrame | None = None, batch_map: DataFrame | None = None) -> DataFrame:
+        """One row per sample: condition, sorted lists of model places and values, and the place of its batch in each view that has batches; features unknown to the model are dropped."""
+        rows = packed_rows(obs, list(self.features["feature_id"]), samples)
+        if self.batches is None:
+            return rows
+        if batch_map is None:
+            return rows.withColumn("batches", F.array(*(F.lit(len(n)) for n in self.batches.names)))
+        own = batch_map.select(F.col("sample_id").cast("string").alias("sample_id"), "view", F.col("batch").cast("string").alias("batch"))
+        names = pd.DataFrame([(v, n, i) for v, names in zip(self.batches.views, self.batches.names, strict=True) for i, n in enumerate(names)], columns=["view", "batch", "place"])
+        places = own.join(obs.sparkSession.createDataFrame(names, "view string, batch string, place int"), ["view", "batch"]).groupBy("sample_id", "view").agg(F.min("place").alias("place"))
+        places = places.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("view", "place"))).alias("places"))
+        return rows.join(places, "sample_id", "left").withColumn("batches", F.array(*(F.coalesce(F.col("places")[v], F.lit(len(n))) for v, n in zip(self.batches.views, self.batches.names, strict=True)))).drop("places")
 
     def _columns(self, y: np.ndarray | None = None) -> Columns:
         f = self.features
         kinds = f["distribution"].to_numpy()
-        return Columns(self.y if y is None else y, np.exp(f["logsigma"].to_numpy(float)), f["mu"].to_numpy(float), f["weight"].to_numpy(float), [(d, np.flatnonzero(kinds == d)) for d in pd.unique(kinds)], (f["cut1"].to_numpy(float), f["cut2"].to_numpy(float)))
+        return Columns(self.y if y is None else y, np.exp(f["logsigma"].to_numpy(float)), f["mu"].to_numpy(float), f["weight"].to_numpy(float), [(d, np.flatnonzero(kinds == d)) for d in pd.unique(kinds)], (f["cut1"].to_numpy(float), f["cut2"].to_numpy(float)), self.batches)
 
     # -- one pass ----------------------------------------------------------------
 
     def _pass(self, rows: DataFrame, y: np.ndarray | None = None) -> Sums:
         """Solve all rows at ``y`` and add up what a step needs."""
-        c, prior = self._columns(y), self.x_prior
+        c, prior, places = self._columns(y), self.x_prior, _placing(self.batches)
         k, n = c.y.shape
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = RowSums(c, prior)
             for b in (piece for whole in batches for piece in U.slices(whole, n)):
-                sums.add(U.dense(b, n), b.column("condition").to_pylist())
+                sums.add(U.dense(b, n), b.column("condition").to_pylist(), places(b))
             yield U.partial(sums.chunks())
 
-        return RowSums.gathered(U.add_up(rows.mapInArrow(run, U.SCHEMA)), k, n)
+        return RowSums.gathered(U.add_up(rows.mapInArrow(run, U.SCHEMA)), k, n, self.batches)
 
     def _total(self, s: Sums, y: np.ndarray) -> float:
         return float(s.loss.sum()) + s.penalty + self.y_prior.value(y)
@@ -362,16 +393,20 @@ class FactorModel:
         assignment of ``sets`` (view, set_id, feature_id, weight) and Y by turns
         until the scales settle, at most ``outer`` times.  ``graphs``: an edge
         list for each factor.  ``keep`` is called with the model and its loss
-        after each stage.  ``joint``: the column shifts are refitted at the end.
+        after each stage.  ``joint``: all layers that are not frozen (logsigma, mu and,
+        with batches, logdelta and theta) are refitted with Y at the end.
         """
         if self.prior == "fsard" and sets is None:
             raise ValueError("the prior 'fsard' needs feature sets")
         self.validate(samples, features, batch_map)
         self.note("start")
+        clean = obs
         if batch_map is not None:
-            obs = self._without_batch_effects(obs, samples, features, batch_map, batch_rounds)
-        self._start(obs, features, seed, ordinal_start)
-        rows = save(self.rows(obs, samples), "factor-rows")
+            clean = self._without_batch_effects(obs, samples, features, batch_map, batch_rounds)
+        self._start(clean, features, seed, ordinal_start)
+        if self.batch is not None:
+            self.batches = BatchLayers.of(self.batch, self.features)
+        rows = save(self.rows(obs, samples, batch_map), "factor-rows")
         relevance = self.prior in ("ard", "fsard")
         conditions = sorted({r[0] for r in rows.select("condition").where("condition is not null").distinct().collect()})
         views, ids = self.features["view"].to_numpy(), list(self.features["feature_id"])
@@ -413,7 +448,7 @@ class FactorModel:
                 if keep is not None:
                     keep(self, self._total(s, self.y))
             self.assign, self.set_names = self.y_prior.assign, self.y_prior.names
-        if joint and "mu" not in self.frozen:
+        if joint:
             s = self._joint(rows, epochs, tolerance)
         self.factors = save(self._factors(rows, self.x_prior), "factors")
         self.whiten()
@@ -423,11 +458,11 @@ class FactorModel:
         return self
 
     def _without_batch_effects(self, obs: DataFrame, samples: DataFrame, features: DataFrame, batch_map: DataFrame, rounds: int) -> DataFrame:
-        """Batch effects of normal features by EM, taken out of their values; other features keep theirs."""
+        """Fits the batch effects of all features; gives the values to start from: those of normal features without their effects, others as they are."""
+        self.batch, used = fit_batch_effects(obs, batch_map, samples, features, rounds=rounds)
+        self.note("batch_effects", rounds=used)
         normal = features.where("distribution = 'normal'").select("feature_id")
         own = obs.join(normal, "feature_id", "left_semi")
-        self.batch, used = fit_batch_effects(own, batch_map, samples, rounds=rounds)
-        self.note("batch_effects", rounds=used)
         params = self.batch.join(own.groupBy("feature_id").agg(F.avg("value").alias("mu")), "feature_id")
         rest = obs.join(normal, "feature_id", "left_anti").select("sample_id", "feature_id", "view", "value")
         return remove_batch(own, batch_map, params).unionByName(rest)
@@ -470,16 +505,64 @@ class FactorModel:
         size = np.sqrt(s.squares / max(1.0, s.rows)) * np.exp(self.features["logsigma"].to_numpy(float))
         self.features["weight"] = np.divide(1.0, size, out=np.ones_like(size), where=size > 1e-12)
 
+    def layer_values(self) -> dict[str, np.ndarray]:
+        """Every layer as one vector; batch values view by view, batch by batch."""
+        out = {n: self.features[n].to_numpy(float, copy=True) for n in ("mu", "logsigma")}
+        for n in ("theta", "logdelta"):
+            out[n] = np.concatenate([t[:-1].ravel() for t in getattr(self.batches, n)]) if self.batches else np.zeros(0)
+        return out
+
+    def _set_layer(self, name: str, v: np.ndarray) -> None:
+        if name in ("mu", "logsigma"):
+            self.features[name] = v
+            return
+        at = 0
+        for table in getattr(self.batches, name):
+            size = (len(table) - 1) * table.shape[1]
+            table[:-1] = v[at : at + size].reshape(-1, table.shape[1])
+            at += size
+
+    def _layer_priors(self) -> LayerPriors:
+        """Priors of the layers, with centres and weights from their present values."""
+        b = self.batches
+        labels = np.concatenate([np.repeat([f"{v} {n}" for n in names], len(cols)) for v, names, cols in zip(b.views, b.names, b.columns, strict=True)]) if b else None
+        out = LayerPriors.of(self.features["view"].to_numpy(), labels)
+        out.reweight(self.layer_values())
+        return out
+
     def _joint(self, rows: DataFrame, epochs: int, tolerance: float) -> Sums:
-        """Column shifts and Y by turns."""
-        s, last = self._pass(rows), np.inf
-        for _ in range(epochs):
-            self.features["mu"] = self.features["mu"].to_numpy(float) - np.divide(s.slope, s.curvature, out=np.zeros_like(s.slope), where=s.curvature > 1e-9)
+        """Layers and Y, block by block, until a turn changes the loss by less than ``tolerance`` of itself.
+
+        A turn takes a Newton step in each layer that is not frozen, from the
+        slopes and curvatures that a pass adds up by feature and by batch, and
+        halves it while the loss rises; then one in Y.  Samples are solved anew
+        in every pass, so the loss is always at their best.
+        """
+        priors = self.layer_priors = self._layer_priors()
+        names = [n for n in LAYERS if n not in self.frozen and (self.batches or n in ("mu", "logsigma"))]
+        total = lambda s: self._total(s, self.y) + priors.value(self.layer_values())
+        s = self._pass(rows)
+        now = last = total(s)
+        for turn in range(epochs):
+            for name in names:
+                v = self.layer_values()[name]
+                slope, curvature = s.layers[name]
+                step = -(slope + priors.priors[name].gradient(v)) / (curvature + priors.priors[name].curvature(v) + 1e-9)
+                for size in (1.0, 0.5, 0.25, 0.125, 0.0):
+                    self._set_layer(name, v + size * step)
+                    new = self._pass(rows)
+                    if total(new) <= now or not size:
+                        break
+                s, now = new, total(new)
             s = self._descend(rows, 1, tolerance, "joint")
-            total = self._total(s, self.y)
-            if last - total <= tolerance * abs(total):
+            now = total(s)
+            gradient = max((float(np.abs(s.layers[n][0] + priors.priors[n].gradient(self.layer_values()[n])).max(initial=0)) for n in names), default=0.0)
+            self.note("joint", turn=turn, total_loss=now, gradient=gradient)
+            if last - now <= tolerance * abs(now):
                 break
-            last = total
+            last = now
+        if self.batches:
+            self.batch = rows.sparkSession.createDataFrame(self.batches.frame(self.features), "view string, batch string, feature_id string, theta double, logdelta double")
         return s
 
     def _set_prior(self, sets: DataFrame) -> FeatureSets:
@@ -498,13 +581,13 @@ class FactorModel:
 
     def _factors(self, rows: DataFrame, prior: SamplePrior | None) -> DataFrame:
         """(sample_id, x) of the rows at the present Y; without a prior the least squares factor."""
-        c = self._columns()
+        c, places = self._columns(), _placing(self.batches)
         k, n = c.y.shape
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in (piece for whole in batches for piece in U.slices(whole, n)):
                 ridge = prior.weights(b.column("condition").to_pylist(), k) if prior else np.zeros((b.num_rows, k))
-                x = c.solve(U.dense(b, n), ridge)
+                x = c.at(places(b)).solve(U.dense(b, n), ridge)
                 yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * k, pa.int32()), pa.array(x.ravel()))], ["sample_id", "x"])
 
         return rows.mapInArrow(run, "sample_id string, x array<double>")
@@ -561,15 +644,10 @@ class FactorModel:
         """(sample_id, x) of new samples with Y, mu and sigma held and no prior; features align by id.
 
         Batch effects of new data are left alone; with ``batch_map`` those of
-        batches that the model knows are taken out first.  Rows are independent,
+        batches that the model knows are part of the model of a row.  Rows are independent,
         so this also works on a stream's micro-batches.
         """
-        if batch_map is not None and self.batch is not None:
-            mu = obs.sparkSession.createDataFrame(self.features[["feature_id", "mu"]])
-            views = obs.sparkSession.createDataFrame(self.features[["feature_id", "view"]])
-            own = obs.select("sample_id", "feature_id", "value").join(F.broadcast(views), "feature_id")
-            obs = remove_batch(own, batch_map, self.batch.join(F.broadcast(mu), "feature_id"))
-        return self._factors(self.rows(obs), None)
+        return self._factors(self.rows(obs, batch_map=batch_map), None)
 
     def latent(self, factors: DataFrame | None = None) -> DataFrame:
         """(sample_id, feature_id, view, distribution, z, cut1, cut2): the forward model without batch terms, as a long table."""
@@ -584,7 +662,7 @@ class FactorModel:
         z = self.latent(factors)
         if batch_map is not None and self.batch is not None:
             mu = z.sparkSession.createDataFrame(self.features[["feature_id", "mu"]])
-            j = z.join(batch_map, ["view", "sample_id"], "left").join(self.batch, ["view", "batch", "feature_id"], "left").join(F.broadcast(mu), "feature_id")
+            j = z.join(batch_map.withColumn("batch", F.col("batch").cast("string")), ["view", "sample_id"], "left").join(self.batch.withColumn("batch", F.col("batch").cast("string")), ["view", "batch", "feature_id"], "left").join(F.broadcast(mu), "feature_id")
             z = j.withColumn("z", (F.col("z") - F.col("mu")) * F.exp(F.coalesce("logdelta", F.lit(0.0))) + F.col("mu") + F.coalesce("theta", F.lit(0.0)))
         return z.select("sample_id", "feature_id", impute(F.col("distribution"), F.col("z"), (F.col("cut1"), F.col("cut2"))).alias("value"))
 
@@ -618,6 +696,8 @@ class FactorModel:
         m.features = t["features"].orderBy("feature_idx").toPandas().drop(columns="feature_idx")
         ys = {r["feature_id"]: r["y"] for r in t["Y"].collect()}
         m.y, m.factors, m.batch = np.array([ys[f] for f in m.features["feature_id"]]).T, t["X"], t.get("batch")
+        if m.batch is not None:
+            m.batches = BatchLayers.of(m.batch, m.features)
         if "A" in t:
             for v, g in t["A"].toPandas().groupby("view"):
                 wide = g.pivot(index="set_name", columns="k", values="v")

@@ -28,9 +28,9 @@ from strandloom.operators import select as L
 from strandloom.operators import simulate as SM
 from strandloom.operators import splits as D
 from strandloom.operators import sums as U
-from strandloom.operators.factor import FactorModel, packed_rows
+from strandloom.operators.factor import BatchLayers, FactorModel, packed_rows
 from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OBS, SAMPLES, SMALL_EDGES, X, Y, ctes, dense
-from strandloom.plans.queries import _DISC, _LAP, _Z, _typed, query, r
+from strandloom.plans.queries import _DISC, _EM, _LAP, _Z, _typed, query, r
 from strandloom.sources import files as I
 from strandloom.sources.scratch import new_path
 
@@ -501,17 +501,84 @@ def impute_model(t):
     return _fitted(t).impute().where("value is not null").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(ctes(OBS, FEATURES, BATCHES) + "SELECT view, batch, count(DISTINCT feature_id) AS features, true AS settled FROM obs JOIN batch_map USING (view, sample_id) GROUP BY ALL")
+_EM_ALL = _EM[: _EM.index(",\n    pr AS")]
+
+
+@query(ctes(OBS, FEATURES, BATCHES).replace("WITH", "WITH RECURSIVE", 1) + _EM_ALL + """,
+    em AS (SELECT 0 AS turn, view, batch, feature_id, n, s, q, sigma2, tl, theta, delta2 FROM st UNION ALL
+        SELECT turn + 1, view, batch, feature_id, n, s, q, sigma2, tl, t, (dm * (1 + dm * dm / (dv + 1e-9)) + 0.5 * (q - 2 * t * s + n * t * t) / sigma2) / (2 + dm * dm / (dv + 1e-9) + 0.5 * n - 1)
+        FROM (SELECT *, (tm * delta2 * sigma2 + tl * n * tv) / (delta2 * sigma2 + n * tv) AS t FROM (
+            SELECT *, avg(theta) OVER g AS tm, coalesce(nullif(var_samp(theta) OVER g, 0), 1) AS tv, avg(delta2) OVER g AS dm, coalesce(var_samp(delta2) OVER g, 0) AS dv FROM em WHERE turn < 100 WINDOW g AS (PARTITION BY view, batch))))
+    SELECT view, batch, feature_id, round(theta, 4) + 0.0::DOUBLE AS theta, round(0.5 * ln(delta2), 4) + 0.0::DOUBLE AS logdelta FROM em WHERE turn = 100""")
 def batch_effects_fit(t):
-    """The fitted effects of a batch stay the same in one more round."""
+    """All 100 rounds under normal noise."""
+    o = t.obs.select("sample_id", "feature_id", "view", (F.col("value") / 10000).alias("value"))
+    fitted, _ = B.fit_batch_effects(o, t.batch_map, t.samples, rounds=100, tolerance=-1.0)
+    return fitted.select("view", "batch", "feature_id", (r("theta", 4) + 0.0).alias("theta"), (r("logdelta", 4) + 0.0).alias("logdelta"))
+
+
+def _newton_sql(turns: int) -> str:
+    """Shifts of counts by Newton steps without a prior, then one round with priors."""
+    mean = "CASE distribution WHEN 'bernoulli' THEN 1 / (1 + exp(-({z}))) WHEN 'poisson' THEN exp({z}) ELSE {z} END"
+    spread = "CASE distribution WHEN 'bernoulli' THEN m * (1 - m) WHEN 'poisson' THEN m ELSE 1 END"
+    step = """m{n} AS (SELECT j.*, theta, {mean} AS m FROM j JOIN t{n} USING (view, batch, feature_id)),
+        w{n} AS MATERIALIZED (SELECT view, batch, feature_id, any_value(distribution) AS distribution, any_value(theta) AS theta, sum(n * m - s) AS g, sum(n * {spread}) AS h, sum((q - 2 * m * s + n * m * m) / {spread}) AS qq, sum(n) AS n FROM m{n} GROUP BY ALL)"""
+    sums = lambda n: step.format(n=n, mean=mean.format(z="z0 + theta"), spread=f"({spread})")
+    out = ["t0 AS (SELECT view, batch, feature_id, 0.0::DOUBLE AS theta FROM j GROUP BY ALL)"]
+    for n in range(turns):
+        out += [sums(n), f"t{n + 1} AS MATERIALIZED (SELECT view, batch, feature_id, theta + CASE WHEN distribution = 'normal' THEN -g / greatest(h, 1e-9) ELSE greatest(-1, least(1, -g / greatest(h, 1e-9))) END AS theta FROM w{n})"]
+    last = turns
+    out += [sums(last), f"""e AS MATERIALIZED (SELECT *, avg(theta) OVER g AS tm, coalesce(nullif(var_samp(theta) OVER g, 0), 1) AS tv, avg(d2) OVER g AS dm, coalesce(var_samp(d2) OVER g, 0) AS dv
+            FROM (SELECT w.*, sigma2, coalesce(nullif(qq / n / sigma2, 0), 1) AS d2 FROM w{last} w JOIN s2 USING (feature_id)) WINDOW g AS (PARTITION BY view, batch))""",
+        f"""t{last + 1} AS MATERIALIZED (SELECT view, batch, feature_id, theta + CASE WHEN distribution = 'normal' THEN u - theta ELSE greatest(-1, least(1, u - theta)) END AS theta
+            FROM (SELECT *, (tm * d2 * sigma2 + (theta * h - g) * tv) / (d2 * sigma2 + h * tv) AS u FROM e))""", sums(last + 1)]
+    base = "CASE distribution WHEN 'bernoulli' THEN ln((sum(s) + 0.5) / (sum(n) - sum(s) + 0.5)) WHEN 'poisson' THEN ln((sum(s) + 0.5) / sum(n)) ELSE sum(s) / sum(n) END"
+    return f"""{ctes(OBS, FEATURES, SAMPLES) + _DISC}, bm AS (SELECT v AS view, sample_id, region AS batch FROM samples, (VALUES ('A'), ('N'), ('R')) AS t(v)),
+        c AS MATERIALIZED (SELECT view, batch, feature_id, condition, distribution, count(d)::DOUBLE AS n, sum(d) AS s, sum(d * d) AS q FROM o JOIN samples USING (sample_id) LEFT JOIN bm USING (view, sample_id) WHERE d IS NOT NULL GROUP BY ALL),
+        b AS (SELECT feature_id, condition, {base} AS z0 FROM c GROUP BY feature_id, condition, distribution), j AS MATERIALIZED (SELECT * FROM c JOIN b USING (feature_id, condition)),
+        s2 AS MATERIALIZED (SELECT feature_id, coalesce(nullif(sum((q - 2 * m * s + n * m * m) / {spread}) / sum(n), 0), 1) AS sigma2 FROM (SELECT *, {mean.format(z="z0")} AS m FROM j) GROUP BY 1),
+        {', '.join(out)}
+        SELECT view, batch, feature_id, round(w.theta, 4) + 0.0::DOUBLE AS theta, round(0.5 * ln((dm * (1 + dm * dm / (dv + 1e-9)) + 0.5 * w.qq / sigma2) / (2 + dm * dm / (dv + 1e-9) + 0.5 * w.n - 1)), 4) + 0.0::DOUBLE AS logdelta
+        FROM w{last + 1} w JOIN e USING (view, batch, feature_id)"""
+
+
+@query(_newton_sql(4))
+def batch_effects_counts(t):
+    """Shifts of 0/1, count and normal views: four Newton steps without a prior, one round with priors."""
+    o = _typed(t).select("sample_id", "feature_id", "view", F.col("d").alias("value"))
+    batches = t.samples.select(F.explode(F.array(*map(F.lit, "ANR"))).alias("view"), "sample_id", F.col("region").alias("batch"))
+    fitted, _ = B.fit_batch_effects(o, batches, t.samples, t.features, rounds=1, newton=4)
+    return fitted.select("view", "batch", "feature_id", (r("theta", 4) + 0.0).alias("theta"), (r("logdelta", 4) + 0.0).alias("logdelta"))
+
+
+@query(ctes(OBS, FEATURES, BATCHES, Y) + """, w AS (SELECT view, feature_id, v FROM y WHERE k = 0),
+    p AS (SELECT o.sample_id, o.view, batch, o.feature_id, value / 10000 AS d, v, exp((j % 5 - 2) / 10.0::DOUBLE + coalesce((batch - 2) / 20.0::DOUBLE, 0)) AS s, (j % 7 - 3) / 10.0::DOUBLE + coalesce((batch - 2) / 4.0::DOUBLE, 0) AS c
+        FROM obs o JOIN features USING (feature_id) JOIN w USING (feature_id) LEFT JOIN batch_map m ON m.view = o.view AND m.sample_id = o.sample_id),
+    x AS (SELECT sample_id, sum(v * s * (d - c)) / (sum(v * v * s * s) + 1 + 1e-8) AS x FROM p GROUP BY 1),
+    g AS (SELECT view, batch, feature_id, x * v * s + c - d AS g, x * v * s AS u FROM p JOIN x USING (sample_id))
+    SELECT 'mu' AS layer, view, NULL::VARCHAR AS batch, feature_id, round(sum(g), 4) + 0.0::DOUBLE AS slope, round(sum(1), 4)::DOUBLE AS curvature FROM g GROUP BY ALL
+    UNION ALL SELECT 'logsigma', view, NULL, feature_id, round(sum(g * u), 4) + 0.0::DOUBLE, round(sum(u * u), 4) FROM g GROUP BY ALL
+    UNION ALL SELECT 'theta', view, CAST(batch AS VARCHAR), feature_id, round(sum(g), 4) + 0.0::DOUBLE, round(sum(1), 4)::DOUBLE FROM g WHERE batch IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'logdelta', view, CAST(batch AS VARCHAR), feature_id, round(sum(g * u), 4) + 0.0::DOUBLE, round(sum(u * u), 4) FROM g WHERE batch IS NOT NULL GROUP BY ALL""")
+def layer_gradients(t):
+    """One pass over all samples, each solved at one factor: slope and curvature of the loss in every layer."""
+    m = _model(t, 1)
+    m.features["distribution"] = "normal"
+    b = F.col("batch") - 2
+    own = t.obs.join(t.batch_map, ["view", "sample_id"]).select("view", "batch", "feature_id").distinct()
+    m.batches = BatchLayers.of(own.select("view", "batch", "feature_id", (b / 4.0).alias("theta"), (b / 20.0).alias("logdelta")), m.features)
+    m.x_prior = P.SamplePrior(np.ones(1))
     o = t.obs.select("sample_id", "feature_id", "view", (F.col("value") / 10000).alias("value"))
-    start = B.least_squares_start(B.residual_statistics(o, t.batch_map, t.samples))
-    fitted = B.fit_batch_effects(o, t.batch_map, t.samples)[0].select("view", "batch", "feature_id", F.col("theta").alias("t"), F.exp(2 * F.col("logdelta")).alias("d"))
-    keys = ["view", "batch", "feature_id"]
-    state = start.join(fitted, keys).withColumn("theta", F.col("t")).withColumn("delta2", F.col("d")).drop("t", "d")
-    again = B.em_round(state).select(*keys, F.col("theta").alias("new")).join(fitted, keys)
-    change = F.sum((F.col("new") - F.col("t")) ** 2) <= 1e-4 * F.sum(F.col("t") ** 2) + 1e-12
-    return again.groupBy("view", "batch").agg(F.count(F.lit(1)).alias("features"), change.alias("settled"))
+    s = m._pass(m.rows(o, batch_map=t.batch_map))
+    f, parts = m.features, []
+    for layer in ("mu", "logsigma"):
+        parts.append(pd.DataFrame({"layer": layer, "view": f["view"], "batch": None, "feature_id": f["feature_id"], "slope": s.layers[layer][0], "curvature": s.layers[layer][1]}))
+    for layer in ("theta", "logdelta"):
+        parts.append(m.batches.frame(f)[["view", "batch", "feature_id"]].assign(layer=layer, slope=s.layers[layer][0], curvature=s.layers[layer][1]))
+    all_ = t.spark.createDataFrame(pd.concat(parts, ignore_index=True)[["layer", "view", "batch", "feature_id", "slope", "curvature"]], "layer string, view string, batch string, feature_id string, slope double, curvature double")
+    seen = own.select("view", F.col("batch").cast("string").alias("batch"), "feature_id")
+    shown = all_.where("batch is null").unionByName(all_.join(seen, ["view", "batch", "feature_id"], "left_semi"))
+    return shown.select("layer", "view", "batch", "feature_id", (r("slope", 4) + 0.0).alias("slope"), r("curvature", 4).alias("curvature"))
 
 
 # ---------------------------------------------------------------- splits, simulation, baselines
