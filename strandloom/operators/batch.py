@@ -52,7 +52,7 @@ def least_squares_start(stats: DataFrame) -> DataFrame:
 def em_round(state: DataFrame) -> DataFrame:
     """One round: priors by moments per (view, batch), then posterior means of theta and delta2."""
     prior = state.groupBy("view", "batch").agg(
-        F.avg("theta").alias("tm"), F.coalesce(F.nullif(F.var_samp("theta"), F.lit(0.0)), F.lit(1.0)).alias("tv"), F.avg("delta2").alias("dm"), F.coalesce(F.var_samp("delta2"), F.lit(0.0)).alias("dv")
+        F.avg("theta").alias("tm"), F.coalesce(F.var_samp("theta"), F.lit(1.0)).alias("tv"), F.avg("delta2").alias("dm"), F.coalesce(F.var_samp("delta2"), F.lit(0.0)).alias("dv")
     )
     alpha = 2 + F.col("dm") ** 2 / (F.col("dv") + 1e-9)
     p = prior.withColumn("alpha", alpha).withColumn("beta", F.col("dm") * (F.col("alpha") - 1))
@@ -139,12 +139,13 @@ class Cells:
         return out
 
 
-def fit_group(pdf: pd.DataFrame, rounds: int, tolerance: float, newton: int) -> pd.DataFrame:
+def fit_group(pdf: pd.DataFrame, rounds: int, tolerance: float, newton: int, again: bool = True) -> pd.DataFrame:
     """theta, logdelta and the rounds run for the features of one (view, batch).
 
     First shifts without a prior, by ``newton`` steps at most, and raw scales;
-    then rounds of priors by moments and posterior means.  Steps in shifts under
-    other than normal noise are at most 1.
+    then rounds of priors by moments (only the first round's, unless ``again``)
+    and posterior means.  Steps in shifts under other than normal noise are at
+    most 1.
     """
     pdf = pdf.sort_values(["feature_id", "condition"], ignore_index=True)
     place = pd.factorize(pdf["feature_id"])[0]
@@ -162,10 +163,11 @@ def fit_group(pdf: pd.DataFrame, rounds: int, tolerance: float, newton: int) ->
     raw = cells.by_feature(base + theta[place])[2] / n / sigma2
     delta2, used = np.where(raw > 0, raw, 1.0), 0
     for used in range(1, rounds + 1):
-        spread = lambda v: v.var(ddof=1) if len(v) > 1 else 0.0
-        tm, tv, dm, dv = theta.mean(), spread(theta) or 1.0, delta2.mean(), spread(delta2)
-        alpha = 2 + dm * dm / (dv + 1e-9)
-        beta = dm * (alpha - 1)
+        if again or used == 1:
+            tm, tv = theta.mean(), theta.var(ddof=1) if len(theta) > 1 else 1.0
+            dm, dv = delta2.mean(), delta2.var(ddof=1) if len(delta2) > 1 else 0.0
+            alpha = 2 + dm * dm / (dv + 1e-9)
+            beta = dm * (alpha - 1)
         g, h, _ = cells.by_feature(base + theta[place])
         noise = delta2 * sigma2
         new = (tm * noise + (theta * h - g) * tv) / (noise + h * tv)
@@ -179,14 +181,18 @@ def fit_group(pdf: pd.DataFrame, rounds: int, tolerance: float, newton: int) ->
 
 
 def fit_batch_effects(
-    obs: DataFrame, batch_map: DataFrame, samples: DataFrame, features: DataFrame | None = None, rounds: int = 100, tolerance: float = 1e-8, newton: int = 25
+    obs: DataFrame, batch_map: DataFrame, samples: DataFrame, features: DataFrame | None = None, rounds: int = 100, tolerance: float = 1e-8, newton: int = 25, method: str = "EM"
 ) -> tuple[DataFrame, int]:
     """(view, batch, feature_id, theta, logdelta) under each feature's noise model, and the most rounds that a group ran.
 
+    ``method``: 'EM' estimates the priors anew each round, 'EB' once, 'LS' uses none.
     A group stops when |change of theta|^2 <= tolerance |theta|^2.  Features
     whose observations are of one kind only have finite shifts through the
     prior.  An empty table gives no rows.
     """
+    if method not in ("EM", "EB", "LS"):
+        raise ValueError(f"unknown method {method!r}; known: EM, EB, LS")
+    rounds = 0 if method == "LS" else rounds
     cells = save(cell_statistics(obs, batch_map, samples, features), "batch-cells")
     keys = ["feature_id", "condition"]
     condition = cells.groupBy(*keys, "distribution", "cut1", "cut2").agg(*(F.sum(c).alias(c) for c in _SUMS))
@@ -197,7 +203,7 @@ def fit_batch_effects(
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     ready = cells.where("batch is not null").join(sigma2, "feature_id")
     schema = f"view {kinds['view']}, batch {kinds['batch']}, feature_id string, theta double, logdelta double, rounds int"
-    fitted = save(ready.groupBy("view", "batch").applyInPandas(lambda pdf: fit_group(pdf, rounds, tolerance, newton), schema), "batch-effects")
+    fitted = save(ready.groupBy("view", "batch").applyInPandas(lambda pdf: fit_group(pdf, rounds, tolerance, newton, method == "EM"), schema), "batch-effects")
     return fitted.drop("rounds"), fitted.agg(F.max("rounds")).first()[0] or 0
 
 

@@ -501,42 +501,51 @@ def impute_model(t):
     return _fitted(t).impute().where("value is not null").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EM_ALL = _EM[: _EM.index(",\n    pr AS")]
+_EM_ALL = _EM[: _EM.index(",\n    pr AS")].replace("value / 10000 AS value FROM obs", "value / 10000 + 5 * coalesce(batch_value, 0) AS value FROM obs LEFT JOIN batch_map USING (view, sample_id) LEFT JOIN batch_values USING (view, batch, feature_id)")
 
 
-@query(ctes(OBS, FEATURES, BATCHES).replace("WITH", "WITH RECURSIVE", 1) + _EM_ALL + """,
+#: Conditions that every batch has some of; nations lie within regions, which leaves nothing to a region's shift.
+_CROSSED = ("s_nationkey AS condition", "s_suppkey % 3 AS condition")
+
+
+@query(ctes(OBS, FEATURES, BATCHES).replace("WITH", "WITH RECURSIVE", 1).replace(*_CROSSED) + _EM_ALL + """,
     em AS (SELECT 0 AS turn, view, batch, feature_id, n, s, q, sigma2, tl, theta, delta2 FROM st UNION ALL
         SELECT turn + 1, view, batch, feature_id, n, s, q, sigma2, tl, t, (dm * (1 + dm * dm / (dv + 1e-9)) + 0.5 * (q - 2 * t * s + n * t * t) / sigma2) / (2 + dm * dm / (dv + 1e-9) + 0.5 * n - 1)
         FROM (SELECT *, (tm * delta2 * sigma2 + tl * n * tv) / (delta2 * sigma2 + n * tv) AS t FROM (
-            SELECT *, avg(theta) OVER g AS tm, coalesce(nullif(var_samp(theta) OVER g, 0), 1) AS tv, avg(delta2) OVER g AS dm, coalesce(var_samp(delta2) OVER g, 0) AS dv FROM em WHERE turn < 100 WINDOW g AS (PARTITION BY view, batch))))
+            SELECT *, avg(theta) OVER g AS tm, coalesce(var_samp(theta) OVER g, 1) AS tv, avg(delta2) OVER g AS dm, coalesce(var_samp(delta2) OVER g, 0) AS dv FROM em WHERE turn < 100 WINDOW g AS (PARTITION BY view, batch))))
     SELECT view, batch, feature_id, round(theta, 4) + 0.0::DOUBLE AS theta, round(0.5 * ln(delta2), 4) + 0.0::DOUBLE AS logdelta FROM em WHERE turn = 100""")
 def batch_effects_fit(t):
-    """All 100 rounds under normal noise."""
-    o = t.obs.select("sample_id", "feature_id", "view", (F.col("value") / 10000).alias("value"))
-    fitted, _ = B.fit_batch_effects(o, t.batch_map, t.samples, rounds=100, tolerance=-1.0)
+    """All 100 rounds under normal noise, with shifts planted in the values."""
+    own = t.obs.join(t.batch_map, ["view", "sample_id"], "left").join(t.batch_values, ["view", "batch", "feature_id"], "left")
+    o = own.select("sample_id", "feature_id", "view", (F.col("value") / 10000 + 5 * F.coalesce("batch_value", F.lit(0.0))).alias("value"))
+    fitted, _ = B.fit_batch_effects(o, t.batch_map, _crossed(t), rounds=100, tolerance=-1.0)
     return fitted.select("view", "batch", "feature_id", (r("theta", 4) + 0.0).alias("theta"), (r("logdelta", 4) + 0.0).alias("logdelta"))
 
 
+def _crossed(t):
+    return t.samples.withColumn("condition", F.col("sample_id") % 3)
+
+
 def _newton_sql(turns: int) -> str:
     """Shifts of counts by Newton steps without a prior, then one round with priors."""
     mean = "CASE distribution WHEN 'bernoulli' THEN 1 / (1 + exp(-({z}))) WHEN 'poisson' THEN exp({z}) ELSE {z} END"
     spread = "CASE distribution WHEN 'bernoulli' THEN m * (1 - m) WHEN 'poisson' THEN m ELSE 1 END"
     step = """m{n} AS (SELECT j.*, theta, {mean} AS m FROM j JOIN t{n} USING (view, batch, feature_id)),
-        w{n} AS MATERIALIZED (SELECT view, batch, feature_id, any_value(distribution) AS distribution, any_value(theta) AS theta, sum(n * m - s) AS g, sum(n * {spread}) AS h, sum((q - 2 * m * s + n * m * m) / {spread}) AS qq, sum(n) AS n FROM m{n} GROUP BY ALL)"""
+        w{n} AS (SELECT view, batch, feature_id, any_value(distribution) AS distribution, any_value(theta) AS theta, sum(n * m - s) AS g, sum(n * {spread}) AS h, sum((q - 2 * m * s + n * m * m) / {spread}) AS qq, sum(n) AS n FROM m{n} GROUP BY ALL)"""
     sums = lambda n: step.format(n=n, mean=mean.format(z="z0 + theta"), spread=f"({spread})")
     out = ["t0 AS (SELECT view, batch, feature_id, 0.0::DOUBLE AS theta FROM j GROUP BY ALL)"]
     for n in range(turns):
-        out += [sums(n), f"t{n + 1} AS MATERIALIZED (SELECT view, batch, feature_id, theta + CASE WHEN distribution = 'normal' THEN -g / greatest(h, 1e-9) ELSE greatest(-1, least(1, -g / greatest(h, 1e-9))) END AS theta FROM w{n})"]
+        out += [sums(n), f"t{n + 1} AS (SELECT view, batch, feature_id, theta + CASE WHEN distribution = 'normal' THEN -g / greatest(h, 1e-9) ELSE greatest(-1, least(1, -g / greatest(h, 1e-9))) END AS theta FROM w{n})"]
     last = turns
-    out += [sums(last), f"""e AS MATERIALIZED (SELECT *, avg(theta) OVER g AS tm, coalesce(nullif(var_samp(theta) OVER g, 0), 1) AS tv, avg(d2) OVER g AS dm, coalesce(var_samp(d2) OVER g, 0) AS dv
+    out += [sums(last), f"""e AS (SELECT *, avg(theta) OVER g AS tm, coalesce(var_samp(theta) OVER g, 1) AS tv, avg(d2) OVER g AS dm, coalesce(var_samp(d2) OVER g, 0) AS dv
             FROM (SELECT w.*, sigma2, coalesce(nullif(qq / n / sigma2, 0), 1) AS d2 FROM w{last} w JOIN s2 USING (feature_id)) WINDOW g AS (PARTITION BY view, batch))""",
-        f"""t{last + 1} AS MATERIALIZED (SELECT view, batch, feature_id, theta + CASE WHEN distribution = 'normal' THEN u - theta ELSE greatest(-1, least(1, u - theta)) END AS theta
+        f"""t{last + 1} AS (SELECT view, batch, feature_id, theta + CASE WHEN distribution = 'normal' THEN u - theta ELSE greatest(-1, least(1, u - theta)) END AS theta
             FROM (SELECT *, (tm * d2 * sigma2 + (theta * h - g) * tv) / (d2 * sigma2 + h * tv) AS u FROM e))""", sums(last + 1)]
     base = "CASE distribution WHEN 'bernoulli' THEN ln((sum(s) + 0.5) / (sum(n) - sum(s) + 0.5)) WHEN 'poisson' THEN ln((sum(s) + 0.5) / sum(n)) ELSE sum(s) / sum(n) END"
-    return f"""{ctes(OBS, FEATURES, SAMPLES) + _DISC}, bm AS (SELECT v AS view, sample_id, region AS batch FROM samples, (VALUES ('A'), ('N'), ('R')) AS t(v)),
-        c AS MATERIALIZED (SELECT view, batch, feature_id, condition, distribution, count(d)::DOUBLE AS n, sum(d) AS s, sum(d * d) AS q FROM o JOIN samples USING (sample_id) LEFT JOIN bm USING (view, sample_id) WHERE d IS NOT NULL GROUP BY ALL),
-        b AS (SELECT feature_id, condition, {base} AS z0 FROM c GROUP BY feature_id, condition, distribution), j AS MATERIALIZED (SELECT * FROM c JOIN b USING (feature_id, condition)),
-        s2 AS MATERIALIZED (SELECT feature_id, coalesce(nullif(sum((q - 2 * m * s + n * m * m) / {spread}) / sum(n), 0), 1) AS sigma2 FROM (SELECT *, {mean.format(z="z0")} AS m FROM j) GROUP BY 1),
+    return f"""{ctes(OBS, FEATURES, SAMPLES).replace(*_CROSSED) + _DISC}, bm AS (SELECT v AS view, sample_id, region AS batch FROM samples, (VALUES ('A'), ('N'), ('R')) AS t(v)),
+        c AS (SELECT view, batch, feature_id, condition, distribution, count(d)::DOUBLE AS n, sum(d) AS s, sum(d * d) AS q FROM o JOIN samples USING (sample_id) LEFT JOIN bm USING (view, sample_id) WHERE d IS NOT NULL GROUP BY ALL),
+        b AS (SELECT feature_id, condition, {base} AS z0 FROM c GROUP BY feature_id, condition, distribution), j AS (SELECT * FROM c JOIN b USING (feature_id, condition)),
+        s2 AS (SELECT feature_id, coalesce(nullif(sum((q - 2 * m * s + n * m * m) / {spread}) / sum(n), 0), 1) AS sigma2 FROM (SELECT *, {mean.format(z="z0")} AS m FROM j) GROUP BY 1),
         {', '.join(out)}
         SELECT view, batch, feature_id, round(w.theta, 4) + 0.0::DOUBLE AS theta, round(0.5 * ln((dm * (1 + dm * dm / (dv + 1e-9)) + 0.5 * w.qq / sigma2) / (2 + dm * dm / (dv + 1e-9) + 0.5 * w.n - 1)), 4) + 0.0::DOUBLE AS logdelta
         FROM w{last + 1} w JOIN e USING (view, batch, feature_id)"""
@@ -547,7 +556,7 @@ def batch_effects_counts(t):
     """Shifts of 0/1, count and normal views: four Newton steps without a prior, one round with priors."""
     o = _typed(t).select("sample_id", "feature_id", "view", F.col("d").alias("value"))
     batches = t.samples.select(F.explode(F.array(*map(F.lit, "ANR"))).alias("view"), "sample_id", F.col("region").alias("batch"))
-    fitted, _ = B.fit_batch_effects(o, batches, t.samples, t.features, rounds=1, newton=4)
+    fitted, _ = B.fit_batch_effects(o, batches, _crossed(t), t.features, rounds=1, newton=4)
     return fitted.select("view", "batch", "feature_id", (r("theta", 4) + 0.0).alias("theta"), (r("logdelta", 4) + 0.0).alias("logdelta"))
 
 

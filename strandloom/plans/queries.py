@@ -953,7 +953,7 @@ _EM = """, o AS (SELECT sample_id, feature_id, view, value / 10000 AS value FROM
     s2 AS (SELECT feature_id, coalesce(nullif(var_pop(r), 0), 1) AS sigma2 FROM r GROUP BY 1),
     s0 AS (SELECT view, batch, feature_id, count(r) AS n, sum(r) AS s, sum(r * r) AS q FROM r JOIN batch_map USING (view, sample_id) GROUP BY ALL),
     st AS (SELECT *, s / n AS tl, s / n AS theta, coalesce(nullif(greatest(q / n - (s / n) * (s / n), 0), 0) / sigma2, 1) AS delta2 FROM s0 JOIN s2 USING (feature_id)),
-    pr AS (SELECT view, batch, avg(theta) AS tm, coalesce(nullif(var_samp(theta), 0), 1) AS tv, avg(delta2) AS dm, coalesce(var_samp(delta2), 0) AS dv FROM st GROUP BY ALL),
+    pr AS (SELECT view, batch, avg(theta) AS tm, coalesce(var_samp(theta), 1) AS tv, avg(delta2) AS dm, coalesce(var_samp(delta2), 0) AS dv FROM st GROUP BY ALL),
     e1 AS (SELECT st.* EXCLUDE (theta, delta2), delta2 AS d0, dm, dv, (tm * delta2 * sigma2 + tl * n * tv) / (delta2 * sigma2 + n * tv) AS theta FROM st JOIN pr USING (view, batch)),
     e2 AS (SELECT *, (dm * (1 + dm * dm / (dv + 1e-9)) + 0.5 * (q - 2 * theta * s + n * theta * theta) / sigma2) / (2 + dm * dm / (dv + 1e-9) + 0.5 * n - 1) AS delta2 FROM e1) """
 

@@ -56,6 +56,15 @@ def test_normal_rounds_are_the_closed_form(spark):
         assert (r.theta, np.exp(2 * r.logdelta)) == pytest.approx(want[r.batch, r.feature_id], rel=1e-7)
 
 
+def test_methods_of_batch_effects(spark):
+    obs, who, bmap, feats, _ = _planted(spark, "bernoulli", samples=90)
+    fits = {m: {(r.batch, r.feature_id): r.theta for r in B.fit_batch_effects(obs, bmap, who, feats, method=m)[0].collect()} for m in ("EM", "EB", "LS")}
+    spread = {m: np.var(list(f.values())) for m, f in fits.items()}
+    assert spread["EM"] < spread["EB"] < spread["LS"]  # once-estimated priors shrink less
+    with pytest.raises(ValueError, match="unknown method"):
+        B.fit_batch_effects(obs, bmap, who, feats, method="x")
+
+
 def test_newton_start_has_no_slope(spark):
     """Without rounds the shifts are those of least loss, from the rows themselves."""
     obs, who, bmap, feats, _ = _planted(spark, "poisson", samples=90, features=3)
