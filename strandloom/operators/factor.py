@@ -382,6 +382,7 @@ class FactorModel:
         rotate: bool = True,
         ordinal_start: bool = False,
         batch_rounds: int = 100,
+        lbfgs_rounds: int = 0,
         seed: int = 0,
         keep: Callable[[FactorModel, float], None] | None = None,
     ) -> FactorModel:
@@ -395,6 +396,8 @@ class FactorModel:
         list for each factor.  ``keep`` is called with the model and its loss
         after each stage.  ``joint``: all layers that are not frozen (logsigma, mu and,
         with batches, logdelta and theta) are refitted with Y at the end.
+        ``lbfgs_rounds``: so many rounds of L-BFGS over X, from zeros plus noise of
+        the samples' ids, and Y under the minimal prior give the first Y.
         """
         if self.prior == "fsard" and sets is None:
             raise ValueError("the prior 'fsard' needs feature sets")
@@ -421,6 +424,8 @@ class FactorModel:
             self.x_prior = SamplePrior(np.full(self.k, 1e-6 if relevance else 1.0))
             sigma = self.features["logsigma"].to_numpy(float)
             self.y_prior = minimal_prior(self.features["distribution"].to_numpy(), self.k, sigma, self._variance, zero.count, int(zero.rows))
+            if lbfgs_rounds:
+                self._start_lbfgs(rows, lbfgs_rounds)
             s = self._descend(rows, epochs, tolerance, "first")
             if rotate:
                 u, d, v = np.linalg.svd(self.y, full_matrices=False)
@@ -488,6 +493,15 @@ class FactorModel:
         self.features, self._variance = f, v.to_numpy(float)
         self.y = np.random.default_rng(seed).standard_normal((self.k, len(f))) * 0.3
 
+    def _start_lbfgs(self, rows: DataFrame, rounds: int) -> None:
+        from strandloom.operators.descent import fit_lbfgs, with_state
+        from strandloom.operators.simulate import gaussian
+
+        noise = F.array(*(0.1 * gaussian(F.col("sample_id"), F.lit(k), seed=7) for k in range(self.k)))
+        state = with_state(rows, rows.select("sample_id", noise.alias("x")), g=self.k, past=0)
+        _, self.y, losses = fit_lbfgs(state, self._columns(), self.x_prior, self.y_prior, rounds=rounds, rel_tol=1e-5)
+        self.note("lbfgs", rounds=len(losses) - 1, first_loss=losses[0], total_loss=losses[-1])
+
     @staticmethod
     def _levels(obs: DataFrame, f: pd.DataFrame) -> np.ndarray:
         """Counts of the three levels (0/1 noise: none, 0, 1) of each feature with discrete noise; zeros for others."""

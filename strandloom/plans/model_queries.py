@@ -17,6 +17,7 @@ from strandloom.functions import scalars as S
 from strandloom.functions import strings as T
 from strandloom.operators import baselines as BL
 from strandloom.operators import batch as B
+from strandloom.operators import descent as DE
 from strandloom.operators import evaluate as E
 from strandloom.operators import graph as G
 from strandloom.operators import joins as J
@@ -590,6 +591,43 @@ def layer_gradients(t):
     return shown.select("layer", "view", "batch", "feature_id", (r("slope", 4) + 0.0).alias("slope"), r("curvature", 4).alias("curvature"))
 
 
+_ONE = """, w AS (SELECT feature_id, v FROM y WHERE k = 0), x0 AS (SELECT sample_id, v AS x FROM x WHERE k = 0),
+    p AS (SELECT sample_id, feature_id, value / 10000 AS d, v, exp((j % 5 - 2) / 10.0::DOUBLE) AS s, (j % 7 - 3) / 10.0::DOUBLE AS c FROM obs JOIN features USING (feature_id) JOIN w USING (feature_id))"""
+
+
+def _one_factor(t, **columns: int):
+    """A model of one factor and normal noise, and its rows with a deterministic x and some zeros."""
+    m = _model(t, 1)
+    m.features["distribution"] = "normal"
+    o = t.obs.select("sample_id", "feature_id", "view", (F.col("value") / 10000).alias("value"))
+    return m, DE.with_state(m.rows(o), m.factors, **columns)
+
+
+def _adagrad_sql(steps: int) -> str:
+    """Each step: slopes of all rows at x, the sum of squares a, the step."""
+    out = ["x0_ AS (SELECT sample_id, x, 0.0::DOUBLE AS a FROM x0)"]
+    for n in range(steps):
+        out.append(f"g{n} AS (SELECT sample_id, any_value(x) AS x, any_value(a) AS a, sum((x * v * s + c - d) * v * s) + any_value(x) AS g FROM p JOIN x{n}_ USING (sample_id) GROUP BY 1)")
+        out.append(f"x{n + 1}_ AS (SELECT sample_id, x - 0.5 * g / (sqrt(a + g * g) + 1e-8) AS x, a + g * g AS a FROM g{n})")
+    return f"{ctes(OBS, FEATURES, SAMPLES, X, Y) + _ONE}, {', '.join(out)} SELECT sample_id, round(x, 5) + 0.0::DOUBLE AS x, round(a, 3) AS squares FROM x{steps}_"
+
+
+@query(_adagrad_sql(3))
+def adagrad_rows(t):
+    """Three steps on the factors of all samples; their sums of squares stay beside them."""
+    m, state = _one_factor(t, acc=1)
+    out, _, _ = DE.fit_adagrad(state, m._columns(), P.SamplePrior(np.ones(1)), epochs=3, rate=0.5, tolerance=-1.0)
+    return out.select(F.col("sample_id").cast("long").alias("sample_id"), (r(F.col("x")[0], 5) + 0.0).alias("x"), r(F.col("acc")[0], 3).alias("squares"))
+
+
+@query(ctes(OBS, FEATURES, SAMPLES, X, Y) + _ONE + " SELECT sample_id, round(sum((d - c) * v * s) / (sum(v * v * s * s) + 1), 4) + 0.0::DOUBLE AS x FROM p GROUP BY 1")
+def lbfgs_rows(t):
+    """Factors of all samples at the minimum, which has a closed form."""
+    m, state = _one_factor(t, g=1, past=0)
+    out, _, _ = DE.fit_lbfgs(state, m._columns(), P.SamplePrior(np.ones(1)), rel_tol=1e-15, abs_tol=0.0)
+    return out.select(F.col("sample_id").cast("long").alias("sample_id"), (r(F.col("x")[0], 4) + 0.0).alias("x"))
+
+
 # ---------------------------------------------------------------- splits, simulation, baselines
 
 
