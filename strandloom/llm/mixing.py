@@ -27,6 +27,7 @@ SHARD_SLOTS = 1 << 18
 MOST_SHARDS = 1 << 16
 RUN_SLOTS = 4096
 CHUNK_ROWS = 4096
+LEAST_CHUNKS = 64
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -120,11 +121,13 @@ def mix_sources(
     Null texts have size 0, sources that are null form a source of their own,
     last in order.  Sources without words and documents without words take no
     part.  Rows that repeat a doc_id are documents of their own.  A very long
-    text is cut into blocks like any other.  An empty table gives empty results.
+    text is cut into blocks like any other.  The order of words in a source is
+    that of ids and texts, so runs agree however the table's files are split;
+    rows alike in both may change places.  An empty table gives empty results.
     """
     spark = docs.sparkSession
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    sized = save(docs.select(row_id(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sized = save(docs.select(row_id(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text_of()).alias("content")), "mix-sizes")
     per = sorted(((r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in per]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], share, most)
@@ -138,13 +141,13 @@ def mix_sources(
         last.append(rest or block_words)
     sources = spark.createDataFrame([(i, s, n, float(t)) for i, ((s, n), t) in enumerate(zip(per, want, strict=True))], "s int, source string, source_size long, target double")
 
-    # place of each document in its source: sums of hashed chunks, then inside a chunk
-    chunks = max(4 * shuffle_partitions(spark), -(-sized.count() // CHUNK_ROWS))
+    # place of each document in its source: sums of hashed chunks, then inside a chunk; ids and texts alone decide
+    chunks = max(LEAST_CHUNKS, -(-sized.count() // CHUNK_ROWS))
     named = sized.join(sources.select("s", F.col("source").alias("named")), F.col("source").eqNullSafe(F.col("named"))).drop("named")
-    named = named.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)))
+    named = named.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "content"), F.lit(chunks)))
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = named.groupBy("s", "chunk").agg(F.sum("size").alias("n")).select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("s", "chunk").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "chunk").orderBy("doc_id", "content", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["s", "chunk"]).withColumn("at", F.col("at") + F.col("base"))
     placed = save(placed.select("row_id", "doc_id", "source", "s", "size", "at"), "mix-placed")
     first, final = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)

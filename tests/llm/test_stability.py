@@ -10,6 +10,7 @@ import corpus_pipeline as C
 from strandloom.llm import language_id as L
 from strandloom.llm import quality as Q
 from strandloom.llm.common import fresh, heavy_join, identified
+from strandloom.llm.mixing import mix_sources, taken_words
 from strandloom.llm.simhash import near_duplicates
 from strandloom.llm.substring_dedup import substring_dedup
 from strandloom.llm.suffix_dedup import remove_repeats
@@ -59,6 +60,22 @@ def test_rows_keep_their_identity(spark, sample, tmp_path, resplit, data):
         assert not Counter(r.text.split()) - words[r.doc_id]
 
 
+def test_mix_hangs_on_ids_and_texts_alone(spark, sample, tmp_path):
+    """Other files, another order, another setting: the same words are taken."""
+    some = sample.select("doc_id", "source", "text").limit(90)
+    some = some.unionByName(some.limit(5)).unionByName(some.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    got = []
+    for n, partitions in ((2, 4), (7, 9)):
+        some.repartition(n, F.xxhash64("text", F.lit(n))).write.parquet(f"{tmp_path}/{n}")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got.append(_rows(taken_words(mix_sources(spark.read.parquet(f"{tmp_path}/{n}"))).drop("row_id")))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and sum(got[0].values()) == 98
+
+
 def test_names_that_are_taken(spark):
     df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, ROW_ID int")
     out, name = identified(df)
