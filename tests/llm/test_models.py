@@ -206,3 +206,20 @@ def test_spans_are_ordered_by_kind_then_start(spark):
     kinds = [x.split(":") for x in row.s.split(",")]
     assert [k[0] for k in kinds] == ["email", "email", "ip", "phone"] and int(kinds[0][1]) < int(kinds[1][1])
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_spans_of_digits_and_dots_are_leftmost():
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices("12.. a", k=rng.randint(1, 24)))
+        assert [m.span() for m in P._IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in ("7" * 1_000_000, "1." * 500_000, "12345 " * 200_000, "+1" * 500_000, "a@" * 500_000, "1-" * 500_000):
+        began = time.process_time()
+        P.base_spans(text)
+        assert time.process_time() - began < 5, text[:8]
