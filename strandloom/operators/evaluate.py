@@ -32,6 +32,26 @@ def binary_scores(df: DataFrame, score: str, truth: str) -> DataFrame:
     return roc_auc(df, score, truth).crossJoin(average_precision(df, score, truth)).crossJoin(rate)
 
 
+def multiclass_auc(df: DataFrame, truth: str, scores: str) -> DataFrame:
+    """One row: auc_ovr and auc_ovo over the classes that occur in ``truth`` (places in the array ``scores``).
+
+    One against the rest: the mean over classes of the area of the class's score
+    against all others.  One against one: for each pair of classes, among their
+    rows, the mean of both scores' areas; then the mean over pairs.  NULL with
+    fewer than two classes.  A row counts once for each class, or twice for each
+    other class, whatever the number of rows.
+    """
+    d = df.where(F.col(truth).isNotNull()).select(F.col(truth).cast("int").alias("t"), F.col(scores).alias("s"))
+    classes = sorted(r[0] for r in d.select("t").distinct().collect())
+    all_ = F.array(*map(F.lit, classes)).cast("array<int>")
+    rest = d.select("t", "s", F.explode(all_).alias("a")).select("a", (F.col("t") == F.col("a")).cast("int").alias("y"), F.col("s")[F.col("a")].alias("score"))
+    # a row of class t meets each other class o: with the score of t as one of t, with that of o as not one of o
+    others = d.select("t", "s", F.explode(all_).alias("o")).where("t <> o")
+    both = others.select("t", "o", F.explode(F.array(F.struct(F.col("t").alias("a"), F.col("o").alias("b"), F.lit(1).alias("y"), F.col("s")[F.col("t")].alias("score")), F.struct(F.col("o").alias("a"), F.col("t").alias("b"), F.lit(0).alias("y"), F.col("s")[F.col("o")].alias("score")))).alias("c"))
+    mean = lambda x, name: x.agg(F.when(F.lit(len(classes) > 1), F.avg("auc")).alias(name))
+    return mean(roc_auc(rest, "score", "y", "a"), "auc_ovr").crossJoin(mean(roc_auc(both.select("c.*"), "score", "y", "a", "b"), "auc_ovo"))
+
+
 def regression_scores(df: DataFrame, y: str, pred: str) -> DataFrame:
     """mse, r2 and the mse of the mean."""
     e = F.avg((F.col(y) - F.col(pred)) ** 2)

@@ -699,6 +699,45 @@ def sample_set_scores(t):
     return BL.sample_rank_scores(t.obs, J.feature_sets_by_view(t.members, t.features)).withColumn("score", r("score") + 0.0)
 
 
+_PHI = "CASE WHEN {x} < 0 THEN {q} / 2 ELSE 1 - {q} / 2 END"
+_TAIL = "({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-pow({x} / sqrt(2), 2)))"
+
+
+def _gsva_sql() -> str:
+    x = "((e.bin - c.bin - 0.5) / 4.0::DOUBLE)"
+    phi = _PHI.format(x=x, q=_TAIL.format(x=x, t=f"(1 / (1 + 0.3275911::DOUBLE * abs({x}) / sqrt(2)))"))
+    return ctes(OBS, FEATURES, MEMBERS) + f""", f AS (SELECT feature_id, min(value) AS low, stddev_samp(value) / 16 AS width FROM obs GROUP BY 1 HAVING width > 0),
+        v AS (SELECT sample_id, feature_id, (value - low) / width AS whereabouts, CAST(floor((value - low) / width) AS BIGINT) AS bin FROM obs JOIN f USING (feature_id)),
+        c AS (SELECT feature_id, bin, count(*)::DOUBLE AS n FROM v GROUP BY ALL), e AS (SELECT feature_id, bin FROM c UNION SELECT feature_id, bin + 1 FROM c),
+        s AS (SELECT e.feature_id, e.bin, sum(c.n * CASE WHEN c.bin < e.bin - 24 THEN 1 WHEN c.bin > e.bin + 24 THEN 0 ELSE {phi} END) / sum(c.n) AS f FROM e JOIN c USING (feature_id) GROUP BY ALL),
+        z AS (SELECT sample_id, v.feature_id, a.f + (whereabouts - v.bin) * (b.f - a.f) AS z FROM v JOIN s a ON a.feature_id = v.feature_id AND a.bin = v.bin JOIN s b ON b.feature_id = v.feature_id AND b.bin = v.bin + 1),
+        k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY z DESC, feature_id) AS place, count(*) OVER (PARTITION BY sample_id) AS p FROM z),
+        g AS (SELECT DISTINCT set_id, feature_id FROM members JOIN features USING (gene)), ss AS (SELECT DISTINCT set_id FROM g),
+        w AS (SELECT k.sample_id, ss.set_id, k.place, g.feature_id IS NOT NULL AS inside, abs(k.p / 2 - k.place + 1) AS w FROM k CROSS JOIN ss LEFT JOIN g ON g.set_id = ss.set_id AND g.feature_id = k.feature_id),
+        t AS (SELECT *, sum(CASE WHEN inside THEN w ELSE 0 END) OVER p / nullif(sum(CASE WHEN inside THEN w ELSE 0 END) OVER a, 0) AS i, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER p / nullif(sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER a, 0) AS o, sum(inside::INT) OVER a AS m
+            FROM w WINDOW a AS (PARTITION BY sample_id, set_id), p AS (PARTITION BY sample_id, set_id ORDER BY place))
+        SELECT sample_id, set_id, round(greatest(max(coalesce(i, 0) - coalesce(o, 0)), 0) + least(min(coalesce(i, 0) - coalesce(o, 0)), 0), 4) + 0.0::DOUBLE AS score FROM t WHERE m > 0 GROUP BY ALL"""
+
+
+@query(_gsva_sql())
+def set_variation_scores(t):
+    """The SQL walks over all features of a sample for each set, not only the set's."""
+    return BL.gsva(t.obs, J.feature_sets_by_view(t.members, t.features)).withColumn("score", r("score", 4) + 0.0)
+
+
+_MANY = "(SELECT CAST(l_linenumber % 4 AS INTEGER) AS y, [((l_orderkey * 7 + l_partkey * (3 + i) + l_linenumber * i) % 50 + CASE WHEN l_linenumber % 4 = i THEN 9 ELSE 0 END)::DOUBLE FOR i IN range(4)] AS s FROM lineitem)"
+_AREA = "(sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))"
+
+
+@query(f"""WITH d AS {_MANY}, k AS (SELECT DISTINCT y AS a FROM d),
+    r AS (SELECT a, (y = a)::INT AS y, s[a + 1] AS p FROM d CROSS JOIN k), rr AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY p) + (count(*) OVER (PARTITION BY a, p) - 1) / 2.0 AS r FROM r),
+    o AS (SELECT a.a, b.a AS b, (y = a.a)::INT AS y, s[a.a + 1] AS p FROM d JOIN k a ON true JOIN k b ON a.a <> b.a AND (d.y = a.a OR d.y = b.a)), oo AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY p) + (count(*) OVER (PARTITION BY a, b, p) - 1) / 2.0 AS r FROM o)
+    SELECT (SELECT round(avg(auc), 6) FROM (SELECT {_AREA} AS auc FROM rr GROUP BY a)) AS auc_ovr, (SELECT round(avg(auc), 6) FROM (SELECT {_AREA} AS auc FROM oo GROUP BY a, b)) AS auc_ovo""")
+def multiclass_auc(t):
+    s = F.array(*((F.pmod(F.col("l_orderkey") * 7 + F.col("l_partkey") * (3 + i) + F.col("l_linenumber") * i, F.lit(50)) + F.when(F.col("l_linenumber") % 4 == i, 9).otherwise(0)).cast("double") for i in range(4)))
+    return E.multiclass_auc(t.lineitem.select((F.col("l_linenumber") % 4).cast("int").alias("y"), s.alias("s")), "y", "s").select(r("auc_ovr").alias("auc_ovr"), r("auc_ovo").alias("auc_ovo"))
+
+
 def _labelled(t):
     from pyspark.ml.functions import array_to_vector
 
