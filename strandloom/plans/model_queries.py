@@ -29,6 +29,7 @@ from strandloom.operators import select as L
 from strandloom.operators import simulate as SM
 from strandloom.operators import splits as D
 from strandloom.operators import sums as U
+from strandloom.operators import survival as SV
 from strandloom.operators.factor import BatchLayers, FactorModel, packed_rows
 from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OBS, SAMPLES, SMALL_EDGES, X, Y, ctes, dense
 from strandloom.plans.queries import _DISC, _EM, _LAP, _Z, _typed, query, r
@@ -738,6 +739,27 @@ def multiclass_auc(t):
     return E.multiclass_auc(t.lineitem.select((F.col("l_linenumber") % 4).cast("int").alias("y"), s.alias("s")), "y", "s").select(r("auc_ovr").alias("auc_ovr"), r("auc_ovo").alias("auc_ovo"))
 
 
+_EDGES = [-0.2, -0.1, 0.0, 0.1, 0.2]
+
+
+@query(f"""WITH d AS (SELECT vec_id, embedding[1:8] AS x, vec_id * 7919 % 20 + 1 AS t0, vec_id % 3 <> 0 AS dead FROM embeddings), b AS (SELECT vec_id, x, dead, CASE WHEN x[4] > 0.05 THEN t0 // 2 + 1 ELSE t0 END AS time FROM d),
+    f AS (SELECT vec_id, time, dead, j, CAST(x[j + 1] AS DOUBLE) AS v FROM b, range(8) AS r(j)), e AS (SELECT unnest(range(5)) AS c, unnest({_EDGES}::DOUBLE[]) AS edge), ts AS (SELECT unnest(range(1, 21)) AS t),
+    n AS (SELECT j, c, t, count(*) FILTER (time >= t)::DOUBLE AS y, count(*) FILTER (time >= t AND v <= edge)::DOUBLE AS yl, count(*) FILTER (time = t AND dead)::DOUBLE AS d, count(*) FILTER (time = t AND dead AND v <= edge)::DOUBLE AS dl, count(*) FILTER (v <= edge) AS nl, count(*) AS nn FROM f, e, ts GROUP BY ALL),
+    s AS (SELECT j, c, pow(sum(dl - CASE WHEN y > 0 THEN yl / y * d ELSE 0 END), 2) / nullif(sum(CASE WHEN y > 1 THEN yl / y * (1 - yl / y) * (y - d) / (y - 1) * d ELSE 0 END), 0) AS value FROM n WHERE nl >= 15 AND nn - nl >= 15 GROUP BY ALL),
+    best AS (SELECT * FROM s WHERE value > 0 ORDER BY value DESC, j, c LIMIT 1),
+    side AS (SELECT vec_id, time, dead, j, c, value, v <= edge AS l FROM f JOIN best USING (j) JOIN e USING (c)),
+    h AS (SELECT l, sum(d / y * (21 - t)) AS risk FROM (SELECT l, t, count(*) FILTER (time >= t)::DOUBLE AS y, count(*) FILTER (time = t AND dead)::DOUBLE AS d FROM side, ts GROUP BY ALL) WHERE y > 0 GROUP BY 1)
+    SELECT CAST(vec_id AS VARCHAR) AS sample_id, CAST(j AS INTEGER) AS feature, CAST(c AS INTEGER) AS cut, round(value, 4) AS statistic, round(risk, 4) AS risk FROM side JOIN h USING (l)""")
+def survival_tree(t):
+    """One tree of one cut on all samples: its log-rank statistic, and every sample's expected deaths."""
+    x = F.slice("embedding", 1, 8)
+    start = F.col("vec_id") * 7919 % 20 + 1
+    rows = t.embeddings.select(F.col("vec_id").alias("sample_id"), F.when(x[3] > 0.05, F.floor(start / 2) + 1).otherwise(start).alias("time"), (F.col("vec_id") % 3 != 0).cast("int").alias("event"), x.alias("x"))
+    forest = SV.fit_survival_forest(rows, [np.array(_EDGES)] * 8, np.arange(1.0, 21.0), trees=1, depth=1, tries=8, bootstrap=False)
+    (j, cut), value = forest.splits[0][1], forest.statistics[0][1]
+    return forest.predict(rows).select("sample_id", F.lit(j).alias("feature"), F.lit(cut).alias("cut"), F.lit(round(value, 4)).alias("statistic"), r("risk", 4).alias("risk"))
+
+
 def _labelled(t):
     from pyspark.ml.functions import array_to_vector
 
