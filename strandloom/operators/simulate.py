@@ -17,6 +17,35 @@ def gaussian(*cols: str, seed: int = 0) -> Column:
     return F.sqrt(-2 * F.ln(uniform(*cols, seed=seed))) * F.cos(2 * math.pi * uniform(*cols, seed=seed + 7919))
 
 
+def gamma_from(shape: float, normals: list[Column], uniforms: list[Column]) -> Column:
+    """A gamma variate with scale 1: the first pair of draws that is accepted, by squeezed cubes of normals.
+
+    Of shapes from 1 on a pair is accepted with probability 0.95 or more; the
+    mode of the cube stands in where none is.  A shape below 1 takes the next
+    larger one's variate and the last uniform, which no pair then uses.
+    """
+    if shape < 1:
+        return gamma_from(shape + 1, normals[:-1], uniforms[:-1]) * F.pow(uniforms[-1], F.lit(1 / shape))
+    d = shape - 1 / 3
+    pairs = []
+    for x, u in zip(normals, uniforms, strict=True):
+        v = F.pow(1 + x / math.sqrt(9 * d), 3)
+        pairs.append(F.when((v > 0) & (F.ln(u) < 0.5 * x * x + d - d * v + d * F.ln(v)), d * v))
+    return F.coalesce(*pairs, F.lit(d))
+
+
+def gamma(shape: float, *cols: str, seed: int = 0, tries: int = 16) -> Column:
+    """Gamma variate with scale 1 from hashed draws, a fixed number of columns; the same under any split of the rows."""
+    draw = lambda f, i: f(*cols, seed=seed + 104729 * (i + 1))
+    return gamma_from(shape, [draw(gaussian, 2 * i) for i in range(tries)], [draw(uniform, 2 * i + 1) for i in range(tries)])
+
+
+def relevance_values(items: DataFrame, item: str, k: int, alpha: float = 1.01, beta: float = 0.01, seed: int = 0) -> DataFrame:
+    """(k, item, v): normal factors, each of a precision of its own drawn from a gamma distribution (shape alpha, rate beta)."""
+    grid = items.select(item, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
+    return grid.withColumn("v", gaussian(item, "k", seed=seed) / F.sqrt(gamma(alpha, item, "k", seed=seed + 1) / beta))
+
+
 def factor_values(items: DataFrame, item: str, k: int, seed: int = 0) -> DataFrame:
     """(k, item, v): standard normal factors."""
     grid = items.select(item, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))

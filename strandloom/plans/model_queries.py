@@ -739,6 +739,23 @@ def multiclass_auc(t):
     return E.multiclass_auc(t.lineitem.select((F.col("l_linenumber") % 4).cast("int").alias("y"), s.alias("s")), "y", "s").select(r("auc_ovr").alias("auc_ovr"), r("auc_ovo").alias("auc_ovo"))
 
 
+def _gamma_sql(shape: float, tries: int) -> str:
+    d = shape - 1 / 3
+    u = "(((o_orderkey * 7919 + {i} * 10473 + {a}) % 9973 + 0.5) / 9973.0::DOUBLE)"
+    x = [f"sqrt(-2 * ln({u.format(i=i, a=1)})) * cos(2 * pi() * {u.format(i=i, a=5003)})" for i in range(tries)]
+    v = [f"pow(1 + ({w}) / sqrt({9 * d!r}::DOUBLE), 3)" for w in x]
+    pairs = [f"CASE WHEN {c} > 0 AND ln({u.format(i=i, a=2741)}) < 0.5 * pow({w}, 2) + {d!r}::DOUBLE - {d!r}::DOUBLE * {c} + {d!r}::DOUBLE * ln(greatest({c}, 1e-300)) THEN {d!r}::DOUBLE * {c} END" for i, (w, c) in enumerate(zip(x, v, strict=True))]
+    return f"SELECT o_orderkey, round(coalesce({', '.join(pairs)}, {d!r}::DOUBLE), 5) AS g FROM orders"
+
+
+@query(_gamma_sql(1.01, 6))
+def gamma_variates(t):
+    """Gamma variates from given normal and uniform draws, rejected ones skipped."""
+    u = lambda i, a: (F.pmod(F.col("o_orderkey") * 7919 + i * 10473 + a, F.lit(9973)) + 0.5) / 9973.0
+    x = lambda i: F.sqrt(-2 * F.ln(u(i, 1))) * F.cos(2 * np.pi * u(i, 5003))
+    return t.orders.select("o_orderkey", r(SM.gamma_from(1.01, [x(i) for i in range(6)], [u(i, 2741) for i in range(6)]), 5).alias("g"))
+
+
 _EDGES = [-0.2, -0.1, 0.0, 0.1, 0.2]
 
 
