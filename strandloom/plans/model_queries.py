@@ -35,6 +35,7 @@ from strandloom.plans.matrix import BATCHES, CELLS, EDGES, FEATURES, MEMBERS, OB
 from strandloom.plans.queries import _DISC, _EM, _LAP, _Z, _typed, query, r
 from strandloom.sources import files as I
 from strandloom.sources.scratch import new_path
+from strandloom.streaming.transform import latest_factors, transform_split_stream
 
 # ---------------------------------------------------------------- sources
 
@@ -739,6 +740,21 @@ def multiclass_auc(t):
     return E.multiclass_auc(t.lineitem.select((F.col("l_linenumber") % 4).cast("int").alias("y"), s.alias("s")), "y", "s").select(r("auc_ovr").alias("auc_ovr"), r("auc_ovo").alias("auc_ovo"))
 
 
+@query(ctes(OBS, FEATURES, SAMPLES, X, Y) + _ONE + " SELECT sample_id, count(*) AS n, round(sum((d - c) * v * s) / (sum(v * v * s * s) + 1e-8), 4) + 0.0::DOUBLE AS x FROM p GROUP BY 1")
+def streamed_samples(t):
+    """Factors of samples whose values come in several micro-batches."""
+    m, _ = _one_factor(t)
+    source, sink, checkpoint = (new_path(t.spark, name) for name in ("stream-in", "stream-out", "stream-state"))
+    o = t.obs.select(F.col("sample_id").cast("string").alias("sample_id"), "feature_id", (F.col("value") / 10000).alias("value"))
+    o.repartition(3, "feature_id").write.parquet(source)
+    q = transform_split_stream(m, t.spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(source), sink, checkpoint)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return latest_factors(t.spark, sink).select(F.col("sample_id").cast("long").alias("sample_id"), "n", (r(F.col("x")[0], 4) + 0.0).alias("x"))
+
+
 def _gamma_sql(shape: float, tries: int) -> str:
     d = shape - 1 / 3
     u = "(((o_orderkey * 7919 + {i} * 10473 + {a}) % 9973 + 0.5) / 9973.0::DOUBLE)"

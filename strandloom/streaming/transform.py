@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandloom.operators.factor import FactorModel
 
@@ -20,3 +26,61 @@ def transform_stream(model: FactorModel, stream: DataFrame, path: str, checkpoin
         model.transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+
+
+def transform_split_stream(model: FactorModel, stream: DataFrame, path: str, checkpoint: str, time: str | None = None, late: str = "1 day") -> StreamingQuery:
+    """The same for samples whose values arrive over several micro-batches: after each, the factors of the samples it touched.
+
+    The state of a sample is what its least squares problem needs, K x K and K
+    sums and a count, so values are not kept.  That takes normal noise: a model
+    with other noise is an error.  A sample is to send a feature once; missing
+    values and unknown features are skipped.  With ``time``, a column of event
+    times, a sample's state is dropped once the watermark, ``late`` behind the
+    latest time seen, passes the sample's own latest time; without, states stay.
+    :func:`latest_factors` reads what was written.
+    """
+    f = model.features
+    if (f["distribution"] != "normal").any():
+        raise ValueError("samples that come in parts need normal noise")
+    k, place = model.k, pd.Index(f["feature_id"])
+    scale, mu, y = np.exp(f["logsigma"].to_numpy(float)), f["mu"].to_numpy(float), model.y
+    weight = f["weight"].to_numpy(float) * scale**2
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sums, n = (np.array(state.get[0]), state.get[1]) if state.exists else (np.zeros(k * k + k), 0)
+        latest = 0
+        for pdf in parts:
+            j, v = place.get_indexer(pdf["feature_id"]), pdf["value"].to_numpy(float)
+            there = (j >= 0) & np.isfinite(v)
+            j, v = j[there], v[there]
+            own, z = y[:, j], (v - mu[j]) / scale[j]
+            sums[: k * k] += ((own * weight[j]) @ own.T).ravel()
+            sums[k * k :] += own @ (weight[j] * z)
+            n += len(j)
+            if time is not None:
+                latest = max(latest, int(pdf["time"].max().timestamp() * 1000))
+        state.update((sums.tolist(), n))
+        if time is not None:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
+        x = np.linalg.solve(sums[: k * k].reshape(k, k) + 1e-8 * np.eye(k), sums[k * k :])
+        yield pd.DataFrame({"sample_id": [key[0]], "x": [x.tolist()], "n": [n]})
+
+    own = stream.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("feature_id").cast("string").alias("feature_id"), F.col("value").cast("double").alias("value"), *([F.col(time).cast("timestamp").alias("time")] if time else []))
+    if time:
+        own = own.withWatermark("time", late)
+    kept = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    factors = own.groupBy("sample_id").applyInPandasWithState(update, "sample_id string, x array<double>, n long", "sums array<double>, n long", "update", kept)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return factors.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).start()
+
+
+def latest_factors(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, x, n) of each sample after the last micro-batch that touched it."""
+    rows = spark.read.schema("sample_id string, x array<double>, n long, batch long").parquet(path)
+    return rows.groupBy("sample_id").agg(F.max_by(F.struct("x", "n"), "batch").alias("last")).select("sample_id", "last.*")
