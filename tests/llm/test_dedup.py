@@ -283,9 +283,10 @@ def test_bk_tree_and_blocks(spark):
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 90)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "x long, y long")).collect()}
     want = _components(400, edges)
-    assert got == {i: want[i] for e in edges for i in e if e[0] != e[1]}
+    for small in (0, 60, 100_000):  # shuffled, shuffled until few are left, in one task
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "x long, y long"), small=small).collect()}
+        assert got == {i: want[i] for e in edges for i in e if e[0] != e[1]}
     assert connected_components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
