@@ -30,6 +30,8 @@ SEED = 42
 SHARD_ROWS = 4096
 _CHUNK = 1 << 15
 _BROADCAST_IDS = 1_000_000
+#: Keys before a key of a set that are looked at, so that two sets are paired once and not at each key they share.
+_PRIOR = 4
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
@@ -427,16 +429,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     # then all pairs that aren't connected: one of the two is outside the largest component of its group
     state = save(rooted(shared), "near-state")
     main = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
-    state = state.join(main, "key")
-    x, y = state.where("root != main").alias("x"), state.alias("y")
+    # two sets that share one of the keys before this one have met there, where more was still to come
+    before = Window.partitionBy("row_id").orderBy("at")
+    prior = [f"prior{i}" for i in range(_PRIOR)]
+    met = state.join(main, "key").select("row_id", "n", "at", "key", "root", (F.col("root") != F.col("main")).alias("open"))
+    met = save(met.withColumns({p: F.lag("key", i + 1).over(before) for i, p in enumerate(prior)}), "near-met")
+    discard(nodes, shared, state)
+    x, y = met.where("open").alias("x"), met.alias("y")
+    sooner = F.coalesce(F.arrays_overlap(*(F.array(*(F.col(f"{side}.{p}") for p in prior)) for side in "xy")), F.lit(False))
     need = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6)
     # at the first shingle that two sets share, all that they share is still to come
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & (rest >= need))
+    once = ~F.col("y.open") | (F.col("x.row_id") < F.col("y.row_id"))
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & once & (rest >= need) & ~sooner)
     links = links.unionByName(verified(pairs.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))))
 
     links = save(links.unionByName(equal), "near-links")
     named = save(rooted(rows.select("row_id", "doc_id")), "near-roots")
-    discard(rows, sets, nodes, shared, *([] if row else [src]))
+    discard(rows, sets, met, *([] if row else [src]))
     low = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("low"))
     return named.join(low, "root").select("row_id", "doc_id", F.col("low.doc_id").alias("component_id"), (F.col("row_id") == F.col("low.row_id")).alias("first"))
