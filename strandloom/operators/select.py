@@ -44,10 +44,14 @@ def variances(obs: DataFrame, *by: str, population: bool = False) -> DataFrame:
 
 
 def top_variance(obs: DataFrame, fraction: float, within: str = "view") -> DataFrame:
-    """(view, feature_id, variance): features with variance >= the (1 - fraction) quantile of their view."""
+    """(view, feature_id, variance): features with variance >= the (1 - fraction) quantile of their view.
+
+    The cut is taken from the same variances that it is held against: computed
+    twice, they may differ in the last digits, and the feature at the cut is lost.
+    """
     var = variances(obs, within, "feature_id").where("variance is not null")
-    cut = var.groupBy(within).agg(F.percentile("variance", F.lit(1 - fraction)).alias("cut"))
-    return var.join(cut, within).where(F.col("variance") >= F.col("cut")).drop("cut")
+    cut = F.percentile("variance", F.lit(1 - fraction)).over(Window.partitionBy(within))
+    return var.withColumn("cut", cut).where(F.col("variance") >= F.col("cut")).drop("cut")
 
 
 def composite_filter(obs: DataFrame, least: int, fraction: float) -> DataFrame:

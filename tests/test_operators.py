@@ -270,3 +270,25 @@ def test_selection(spark):
     obs = spark.createDataFrame([(s, f"f{f}", "v", float(s * f)) for s in range(10) for f in range(10)], "sample_id int, feature_id string, view string, value double")
     assert {r.feature_id for r in L.top_variance(obs, 0.25).collect()} == {"f7", "f8", "f9"}
     assert L.count_filter(obs.where("value > 20"), 4).select("feature_id").distinct().count() == 5
+
+
+def test_top_variance_keeps_the_feature_at_the_cut(spark):
+    """Sums added in another order differ in the last digits each time they are computed; the cut follows them.
+
+    Spark may reuse an exchange of two equal branches, but need not; here it does not.
+    """
+    rows = [(f"v{v:02d}", f"f{v:02d}", float(s)) for v in range(40) for s in range(3)]
+    schema = "view string, feature_id string, value double"
+
+    def shaken(batches):
+        rng = np.random.default_rng()
+        for b in batches:
+            yield b.assign(value=b["value"] * (1 + 1e-9 * rng.standard_normal(len(b))))
+
+    obs = spark.createDataFrame(rows, schema).mapInPandas(shaken, schema)
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert L.top_variance(obs, 1.0).count() == 40
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
