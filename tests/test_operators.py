@@ -292,3 +292,15 @@ def test_top_variance_keeps_the_feature_at_the_cut(spark):
         assert L.top_variance(obs, 1.0).count() == 40
     finally:
         spark.conf.set("spark.sql.exchange.reuse", reuse)
+
+
+def test_two_columns_take_rows_with_equal_keys_and_skip_gaps(spark, tmp_path):
+    from strandloom.plans.model_queries import pca_two_columns  # noqa: F401  registers the query
+    from strandloom.plans.queries import QUERIES
+
+    rng = np.random.default_rng(5)
+    q, p = rng.integers(1, 51, 60).astype(float), rng.uniform(1, 1000, 60)
+    rows = [(0, i % 7, 0, 0, float(q[i]), float(p[i])) for i in range(60)] + [(1, 0, 0, 0, None, 1e6), (1, 1, 0, 0, 50.0, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    share = QUERIES["pca_two_columns"](spark, str(tmp_path)).first()[0]
+    assert share == round((1 + abs(np.corrcoef(q, p)[0, 1])) / 2, 4)
