@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import ratio
-from strandloom.operators.ranged import quantile
+from strandloom.operators.ranged import BUCKET, buckets, carried, joined, quantile
 
 AGGREGATES = {"mean": F.avg, "var": F.var_samp, "median": F.median, "count": F.count, "std": F.stddev_samp}
 
@@ -152,20 +152,29 @@ def weighted_mean(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg((F.sum(F.col("score") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0))).alias("score"))
 
 
-def average_rank(col: str, *by: str) -> Column:
-    """Rank from 1, ties get their mean rank."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(col)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, col)) - 1) / 2
+def with_average_rank(df: DataFrame, col: str, name: str, *by: str) -> DataFrame:
+    """``df`` with the rank of ``col`` in its group from 1, ties get their mean rank; nulls come last.
+
+    Distinct values with their counts are ranged and joined back, so no task
+    holds a group or sorts its rows.
+    """
+    keys = [F.col(c).alias(f"__{c}") for c in (*by, col)]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    names, value = [f"__{c}" for c in by], F.col(f"__{col}").asc_nulls_last()
+    held = buckets(counts, *names, value)
+    placed = joined(held, carried(held, names, __before=F.col("__n")), names)
+    own = F.sum("__n").over(Window.partitionBy(*names, BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.col("__before") + own - (F.col("__n") - 1) / 2
+    ranks = placed.select(*names, f"__{col}", rank.alias(name))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, col)]
+    return df.join(ranks, on).drop(*names, f"__{col}")
 
 
 def recovery(df: DataFrame, *by: str) -> DataFrame:
     """R2, Pearson and Spearman correlation of fitted (f) against true (t) values."""
-    mean = df.groupBy(*by).agg(F.avg("t").alias("mt"))
-    ranked = df.withColumn("rt", average_rank("t", *by)).withColumn("rf", average_rank("f", *by))
-    ranked = ranked.join(mean, list(by)) if by else ranked.crossJoin(mean)
-    return ranked.groupBy(*by).agg(
-        (1 - F.sum((F.col("t") - F.col("f")) ** 2) / F.nullif(F.sum((F.col("t") - F.col("mt")) ** 2), F.lit(0.0))).alias("r2"), F.corr("t", "f").alias("pearson"), F.corr("rt", "rf").alias("spearman")
-    )
+    ranked = with_average_rank(with_average_rank(df, "t", "rt", *by), "f", "rf", *by)
+    spread = F.var_pop("t") * F.count("t")  # the sum of squares about the mean
+    return ranked.groupBy(*by).agg((1 - F.sum((F.col("t") - F.col("f")) ** 2) / F.nullif(spread, F.lit(0.0))).alias("r2"), F.corr("t", "f").alias("pearson"), F.corr("rt", "rf").alias("spearman"))
 
 
 def relative_gain(scores: DataFrame, *by: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden values and identities of single operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -304,3 +305,28 @@ def test_two_columns_take_rows_with_equal_keys_and_skip_gaps(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     share = QUERIES["pca_two_columns"](spark, str(tmp_path)).first()[0]
     assert share == round((1 + abs(np.corrcoef(q, p)[0, 1])) / 2, 4)
+
+
+def test_no_task_makes_most_pairs_of_a_product(spark):
+    x, y = np.arange(1200).reshape(400, 3) % 17 / 4, np.arange(90).reshape(3, 30) % 13 / 8
+    a = spark.createDataFrame([(i, k, float(x[i, k])) for i in range(400) for k in range(3)], "i int, k int, v double")
+    b = spark.createDataFrame([(k, j, float(y[k, j])) for k in range(3) for j in range(30)], "k int, j int, v double")
+    got = {(r.i, r.j): r.v for r in J.matrix_product(a, b).collect()}
+    want = x @ y
+    assert got == {(i, j): want[i, j] for i in range(400) for j in range(30)}
+    made = [r["count"] for r in J.product_pairs(a, b.coalesce(1)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 36000 and max(made) < 3600
+
+
+def test_average_ranks_of_values_and_gaps(spark):
+    rows = [("a", 2.0), ("a", 1.0), ("a", 2.0), ("a", None), (None, 5.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, t double")
+    got = sorted((str(r.g), str(r.t), r.r) for r in A.with_average_rank(df, "t", "r", "g").collect())
+    assert got == [("None", "5.0", 1.5), ("None", "5.0", 1.5), ("a", "1.0", 1.0), ("a", "2.0", 2.5), ("a", "2.0", 2.5), ("a", "None", 4.0)]
+    both = spark.range(5000).select(F.lit(1).alias("one"), (F.col("id") * 37 % 501).cast("double").alias("t"), (F.col("id") * 11 % 97).cast("double").alias("f"))
+    windows = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", A.recovery(both, "one")._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and all("__bucket" in w for w in windows)  # over counts of values in a bucket, never over a group's rows
+    t, f = (np.array([(i * a % m) for i in range(5000)], float) for a, m in ((37, 501), (11, 97)))
+    mean_rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    want = np.corrcoef(mean_rank(t), mean_rank(f))[0, 1]
+    assert A.recovery(both, "one").first().spearman == pytest.approx(want, abs=1e-9)
