@@ -103,3 +103,15 @@ def test_areas_of_many_classes(spark):
     assert got.auc_ovo == pytest.approx(np.mean(pairs))
     one = E.multiclass_auc(df.where("y = 1"), "y", "s").first()
     assert one.auc_ovr is None and one.auc_ovo is None
+
+
+def test_members_of_sets_are_not_sorted_by_spark(spark):
+    """Each sample with each member of each set is the largest table of the job; it is laid out in the tasks only."""
+    rows = [(s, f"f{f}", float((s * 7 + f * 3) % 11)) for s in range(5) for f in range(6)]
+    places = spark.createDataFrame([*rows, (0, "f1", 2.5)], "sample_id int, feature_id string, z double")  # one feature twice
+    sets = spark.createDataFrame([("a", "f1"), ("a", "f2"), ("b", "f9"), ("all", "f0"), *(("all", f"f{f}") for f in range(6))], "set_id string, feature_id string")
+    out = BL.set_variation(places, sets)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [w for w in plan.split("windowspecdefinition(")[1:] if "set_id" in w.split("specifiedwindowframe")[0]]
+    got = {(r.sample_id, r.set_id): r.score for r in out.collect()}
+    assert set(got) == {(s, n) for s in range(5) for n in ("a", "all")} and got[0, "all"] == 1.0
