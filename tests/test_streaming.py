@@ -60,3 +60,16 @@ def test_other_noise_is_an_error(spark, model):
     other = FactorModel(K, features=model.features.assign(distribution="poisson"), y=model.y)
     with pytest.raises(ValueError, match="normal noise"):
         transform_split_stream(other, spark.createDataFrame([], SCHEMA), "x", "y")
+
+
+def test_states_without_times_are_sums_of_spark(spark, model, tmp_path):
+    """No Python call for each sample; a sample without any known value has factors of 0."""
+    src = tmp_path / "in"
+    spark.createDataFrame([("s0", "f1", 2.0, None), ("s1", "unknown", 2.0, None), ("s2", "f1", float("inf"), None)], SCHEMA).write.parquet(str(src))
+    q = transform_split_stream(model, spark.readStream.schema(SCHEMA).parquet(str(src)), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    plan = q._jsq.explainInternal(False)
+    q.stop()
+    got = {r.sample_id: (r.n, r.x) for r in latest_factors(spark, str(tmp_path / "out")).collect()}
+    assert "StateStoreSave" in plan and "FlatMapGroupsInPandasWithState" not in plan
+    assert got["s0"][0] == 1 and got["s1"] == got["s2"] == (0, [0.0] * K)
