@@ -32,6 +32,12 @@ _CHUNK = 1 << 15
 _BROADCAST_IDS = 1_000_000
 #: Keys before a key of a set that are looked at, so that two sets are paired once and not at each key they share.
 _PRIOR = 4
+#: Sets that share a shingle are paired by a join up to this number, in blocks inside tasks beyond it.
+GROUP_ROWS = 64
+#: Sets and hashes of a block, on average: a task holds two blocks at once.
+BLOCK_ROWS = 256
+_BLOCK_HASHES = 1 << 20
+_COLUMNS = 4096
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
@@ -310,6 +316,90 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets ``xs`` shares with each of the sets ``ys``."""
+    out = np.zeros((len(xs), len(ys)))
+    rows = [np.repeat(np.arange(len(s)), list(map(len, s))) for s in (xs, ys)]
+    flat = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (xs, ys)]
+    both = np.intersect1d(*flat)
+    # what one side alone has adds nothing; the rest is numbered
+    ends = []
+    for r, h in zip(rows, flat, strict=True):
+        at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+        there = both[at] == h if len(both) else np.zeros(len(h), bool)
+        order = np.argsort(at[there], kind="stable")
+        ends.append((r[there][order], at[there][order]))
+    for start in range(0, len(both), _COLUMNS):
+        side = []
+        for s, (r, at) in zip((xs, ys), ends, strict=True):
+            i, j = np.searchsorted(at, (start, start + _COLUMNS))
+            m = np.zeros((len(s), _COLUMNS), np.float32)
+            m[r[i:j], at[i:j] - start] = 1
+            side.append(m)
+        out += side[0] @ side[1].T
+    return out
+
+
+def _block_links(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (key, i, j); the two blocks of one cell are held at a time.  A forest of links between roots comes out."""
+        key, sides = None, ([], [])
+
+        def flush() -> pa.RecordBatch:
+            parent: dict[int, int] = {}
+            kept: list[tuple[int, int]] = []
+
+            def find(x: int) -> int:
+                while (p := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[p]
+                return x
+
+            xs, ys = sides
+            if xs and ys:
+                sets = [[s for *_, s in side] for side in sides]
+                n, m = (np.array(list(map(len, s)), float) for s in sets)
+                both = overlaps(*sets)
+                # what has words shares nothing with what has none, and the latter are one set
+                near = both / np.maximum(n[:, None] + m[None, :] - both, 1) >= similarity
+                near &= np.array([r for _, r, _ in xs])[:, None] != np.array([r for _, r, _ in ys])
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    p, q = find(xs[i][1]), find(ys[j][1])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        kept.append((xs[i][0], ys[j][0]))
+            ends = np.array(kept, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+        for b in sliced(batches):
+            names = ("key", "i", "j", "side", "row_id", "root", "shingles")
+            for *now, side, row, root, s in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if now != key:
+                    yield flush()
+                    key, sides = now, ([], [])
+                sides[side].append((row, root, np.frombuffer(s, np.uint64)))
+        yield flush()
+
+    return run
+
+
+def block_links(met: DataFrame, known: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links that connect exactly the roots of near sets in each group, at most one less than the roots of a cell.
+
+    ``met`` has (row_id, key, root, open), ``known`` the sets by row_id and
+    ``groups`` (key, rows, opens): blocks of all members and of the open ones.
+    Every block of open sets meets every block of its group in one cell.
+    """
+    at = lambda n, salt: F.pmod(F.xxhash64("row_id", F.lit(salt)), F.col(n))
+    cell = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    mine = F.when(F.col("open"), F.transform(to("rows"), lambda j: cell(0, at("opens", 7), j)))
+    cells = F.concat(F.coalesce(mine, F.array().cast("array<struct<side:int,i:bigint,j:bigint>>")), F.transform(to("opens"), lambda i: cell(1, i, at("rows", 13))))
+    rows = met.join(groups, "key").join(known, "row_id").select("key", "row_id", "root", "shingles", F.inline(cells))
+    parts = shuffle_partitions(met.sparkSession)
+    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(trimmed(_block_links(similarity)), "a long, b long")
+
+
 def common_shingles(src: DataFrame, words: int, sampled: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in three or more of about ``sampled`` rows, sorted, and their counts; only the order of prefixes hangs on them."""
 
@@ -326,7 +416,7 @@ def common_shingles(src: DataFrame, words: int, sampled: int = 10_000, most: int
     return keys[order], counts[order]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 3, radius: int = 4, row: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 3, radius: int = 4, row: str | None = None, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: row_id, doc_id, component_id, first (as in :func:`simhash_components`).
 
     ``row`` names a column that numbers the rows of a written table; without it
@@ -343,7 +433,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     that do, neighbours by size are candidates at once, and all pairs that these
     links don't connect after that.  Every candidate
     is decided on the whole sets; histograms of the sets, compared before that,
-    only drop pairs that can't reach ``similarity``.
+    only drop pairs that can't reach ``similarity``.  Where more than
+    ``group_rows`` rows share one shingle, such pairs are not written out: blocks
+    of about ``block_rows`` whole sets meet in tasks, and only links come out.
     Texts without words are near duplicates of each other.  A text of any length
     is read whole by one task.  Other columns are not read; an empty table gives
     no rows.
@@ -435,7 +527,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     met = state.join(main, "key").select("row_id", "n", "at", "key", "root", (F.col("root") != F.col("main")).alias("open"))
     met = save(met.withColumns({p: F.lag("key", i + 1).over(before) for i, p in enumerate(prior)}), "near-met")
     discard(nodes, shared, state)
-    x, y = met.where("open").alias("x"), met.alias("y")
+    # large groups meet in blocks: their pairs grow with the square, their blocks' rows don't become rows of a join
+    blocks = lambda some: F.ceil(F.greatest(F.count(some) / block_rows, F.sum(F.when(some, F.col("n"))) / _BLOCK_HASHES))
+    large = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), blocks(F.lit(True)).alias("rows"), blocks(F.when(F.col("open"), True)).alias("opens"))
+    large = save(large.where(F.col("size") > group_rows).drop("size"), "near-large")
+    inside = met.join(large, "key", "left_semi").select("row_id", "key", "root", "open")
+    ids = inside.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"))
+    known = save(asked(src.select("row_id", "text"), ids).mapInArrow(trimmed(whole), "row_id long, shingles binary"), "near-shingles")
+    links = links.unionByName(save(block_links(inside, known, large, similarity), "near-links"))
+    discard(known)
+    small = met.join(large, "key", "left_anti")
+    x, y = small.where("open").alias("x"), small.alias("y")
     sooner = F.coalesce(F.arrays_overlap(*(F.array(*(F.col(f"{side}.{p}") for p in prior)) for side in "xy")), F.lit(False))
     need = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6)
     # at the first shingle that two sets share, all that they share is still to come
@@ -446,6 +548,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
 
     links = save(links.unionByName(equal), "near-links")
     named = save(rooted(rows.select("row_id", "doc_id")), "near-roots")
-    discard(rows, sets, met, *([] if row else [src]))
+    discard(rows, sets, met, large, *([] if row else [src]))
     low = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("low"))
     return named.join(low, "root").select("row_id", "doc_id", F.col("low.doc_id").alias("component_id"), (F.col("row_id") == F.col("low.row_id")).alias("first"))

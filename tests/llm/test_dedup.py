@@ -376,3 +376,45 @@ def test_near_copies_at_exactly_the_similarity(spark, tmp_path):
         texts += [" ".join(words), " ".join(words[:cut]), " ".join(f"far{w}" for w in words), " ".join(f"far{w}" for w in words[: cut - 1])]
     got, want = _near_roots(spark, texts, tmp_path / "t")
     assert got == want == [i - (i % 4 == 1) for i in range(len(texts))]
+
+
+def _far_edits():
+    """Two texts with many edited copies each, most of them further than 0.8 from each other, some within it."""
+    rng = random.Random(31)
+    texts = []
+    for g in range(2):
+        base = [f"e{g}w{i}" for i in range(120)]
+        for c in range(150):
+            copy = base[:]
+            for k in range(rng.randint(1, 5)):
+                copy[rng.randrange(40, 120)] = f"e{g}c{c}n{k}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_large_groups_of_far_copies_write_no_pairs(spark, tmp_path, monkeypatch):
+    texts, tables = _far_edits(), []
+    save = S.save
+    monkeypatch.setattr(S, "save", lambda df, tag: tables.append((tag, save(df, tag))) or tables[-1][1])
+    monkeypatch.setattr(S, "discard", lambda *tables: None)
+    got, want = _near_roots(spark, texts, tmp_path / "t")
+    assert got == want and 10 < len(set(want)) < 200
+    # 150 rows a group: the pairs of open rows with all are thousands, what is written stays by the rows
+    assert [t.count() for tag, t in tables if tag == "near-candidates"][1] < len(texts)
+
+
+def test_blocks_of_a_large_group_lose_no_link(spark, tmp_path):
+    texts = _far_edits()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    runs = [{"group_rows": 4, "block_rows": 16}, {"group_rows": 10**9}]
+    blocks, joined = ({r.doc_id: r.component_id for r in S.near_duplicates(docs, **k).collect()} for k in runs)
+    assert blocks == joined
+
+
+def test_overlaps_count_what_sets_share():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, int(n)).astype(np.uint64)) for n in rng.integers(0, 7000, 12)] + [np.zeros(0, np.uint64)]
+    got = S.overlaps(sets, sets[3:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets]
+    assert S.overlaps([], sets).shape == (0, 13) and not S.overlaps(sets[-1:], sets).any()
