@@ -19,6 +19,8 @@ PARTS = 64
 CHUNK = 1 << 13
 #: Matrix cells that a kernel holds at once.
 CELLS = 1 << 21
+#: Rows that a kernel holds at once: where features are few, a whole Arrow batch would fit in CELLS and fill a worker with its temporaries.
+ROWS = 1 << 11
 
 
 def partial(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -67,7 +69,7 @@ def dense(b: pa.RecordBatch, n: int) -> np.ndarray:
 
 
 def slices(b: pa.RecordBatch, n: int):
-    """The batch in pieces of a bounded number of matrix cells."""
-    step = max(1, CELLS // max(1, n))
+    """The batch in pieces of a bounded number of rows and of matrix cells."""
+    step = max(1, min(ROWS, CELLS // max(1, n)))
     for at in range(0, b.num_rows, step):
         yield b.slice(at, step)

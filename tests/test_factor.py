@@ -167,3 +167,26 @@ def test_scores(spark):
     rows = df.collect()
     pairs = [(p_.s > n_.s) + 0.5 * (p_.s == n_.s) for p_ in rows if p_.t for n_ in rows if not n_.t]
     assert E.binary_scores(df, "s", "t").first().auc == pytest.approx(np.mean(pairs))
+
+
+def test_pieces_of_a_batch_hold_a_bounded_number_of_rows():
+    import pyarrow as pa
+
+    from strandloom.operators import sums as U
+    from strandloom.operators.factor import Columns, RowSums
+    from strandloom.operators.regularise import SamplePrior
+
+    rng = np.random.default_rng(4)
+    n, rows = 8, 5000
+    d = rng.normal(size=(rows, n))
+    b = pa.table({"idx": [list(range(n))] * rows, "vals": d.tolist()}).combine_chunks().to_batches()[0]
+    pieces = list(U.slices(b, n))
+    assert max(p.num_rows for p in pieces) <= 2048 and sum(p.num_rows for p in pieces) == rows
+    assert max(p.num_rows for p in U.slices(b, 1 << 14)) == 128  # many features: as many cells as before
+    assert np.array_equal(np.concatenate([U.dense(p, n) for p in pieces]), d)
+    c = Columns(rng.normal(size=(2, n)), np.ones(n), np.zeros(n), np.ones(n), [("normal", np.arange(n))], (np.zeros(n), np.zeros(n)))
+    whole, parts = (RowSums(c, SamplePrior(np.ones(2))) for _ in range(2))
+    whole.add(d, [None] * rows)
+    for p in pieces:
+        parts.add(U.dense(p, n), [None] * p.num_rows)
+    assert np.allclose(whole.table, parts.table, rtol=1e-12, atol=1e-8)
