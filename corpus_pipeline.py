@@ -10,18 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import quality
-from strandloom.llm.common import fresh, identified, save
+from strandloom.llm.common import discard, fresh, identified, rows_among, save
 from strandloom.llm.exact_dedup import exact_dedup
 from strandloom.llm.mixing import mix_sources, mixed_documents
 from strandloom.llm.packing import pack_pow2
 from strandloom.llm.simhash import near_duplicates
 
 
-def _only(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number (column ``row``, dropped) is a row_id of ``rows``."""
-    return docs.join(rows.select(F.col("row_id").alias(row)), row, "left_semi").drop(row)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade is at least one half stay.
 
@@ -35,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (null is empty) the row with the largest doc_id stays, of rows that repeat both the last."""
     docs, row = identified(docs)
-    return _only(docs, row, exact_dedup(docs, row=row).where("kept"))
+    return rows_among(docs, row, exact_dedup(docs, row=row).where("kept")).drop(row)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are one group.
     """
     docs, row = identified(docs)
-    return _only(docs, row, near_duplicates(docs, words=5, similarity=0.8, row=row).where("first"))
+    return rows_among(docs, row, near_duplicates(docs, words=5, similarity=0.8, row=row).where("first")).drop(row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

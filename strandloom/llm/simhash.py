@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import discard, row_id, save, shuffle_partitions, sliced, trimmed
+from strandloom.llm.common import discard, row_id, rows_among, save, save_parts, shuffle_partitions, sliced, trimmed
 from strandloom.llm.components import connected_components
 
 SEED = 42
 SHARD_ROWS = 4096
 _CHUNK = 1 << 15
-_BROADCAST_IDS = 1_000_000
 #: Keys before a key of a set that are looked at, so that two sets are paired once and not at each key they share.
 _PRIOR = 4
 #: Sets that share a shingle are paired by a join up to this number, in blocks inside tasks beyond it.
@@ -38,6 +37,9 @@ GROUP_ROWS = 64
 BLOCK_ROWS = 256
 _BLOCK_HASHES = 1 << 20
 _COLUMNS = 4096
+#: Rows and bytes that one pass shuffles; of rows at most MOST_PASSES, of bytes no pass below a PASS_SHARE-th of all sets.
+PASS_ROWS, PASS_BYTES = 1 << 22, 1 << 28
+MOST_PASSES, PASS_SHARE = 8, 8
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
@@ -193,22 +195,39 @@ def _shard_keys(bands: int, radius: int) -> list[tuple[int, int]]:
     return [(k, sum(band[i] for i in pick)) for k, pick in enumerate(combinations(range(bands), bands - radius))]
 
 
-def near_links(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, bands: int | None = None) -> DataFrame:
-    """(view, a, b) links that connect exactly the fingerprints within ``radius`` bits.
+def near_links(fps: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS, bands: int | None = None, pass_rows: int = PASS_ROWS) -> DataFrame:
+    """(view, a, b) links that connect exactly the fingerprints within ``radius`` bits, written in passes over the shards.
 
     ``fps`` has distinct rows (view int, fp long); only fingerprints of one view are compared.
     """
     spark, parts = fps.sparkSession, shuffle_partitions(fps.sparkSession)
-    bands = bands or band_count(fps.count(), radius)
+    sizes = [n for _, n in fps.groupBy("view").count().collect()]
+    # shards are those of one view, so its size decides how many there are
+    masks = _shard_keys(bands or band_count(max(sizes, default=0), radius), radius)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*(F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed(m))), F.lit(k), F.col("view")) for k, m in _shard_keys(bands, radius)))
-    rows = fps.select("view", "fp", F.explode(keys).alias("shard"))
-    blocks = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("shard", F.ceil(F.col("n") / shard_rows).alias("blocks"))
-    rows = rows.join(blocks, "shard").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
-    rows = rows.select("view", "shard", "mine", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("view", "shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp")
-    dealt = rows.repartition(parts, "view", "shard", "i", "j").sortWithinPartitions("view", "shard", "i", "j", "fp")
-    return dealt.mapInArrow(trimmed(_search(radius)), "view int, a long, b long")
+    keys = F.array(*(F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed(m))), F.lit(k), F.col("view")) for k, m in masks))
+    passes = row_passes(sum(sizes) * len(masks), pass_rows)
+    some = [fps.select("view", "fp", F.explode(keys).alias("shard")).where(F.pmod("shard", F.lit(passes)) == p) for p in range(passes)]
+    # few shards have more than one block: these are broadcast
+    large = (rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).select("shard", F.ceil(F.col("n") / shard_rows).alias("blocks")) for rows in some)
+    large = save_parts(large, "near-shards")
+
+    def found(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(large), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
+        rows = rows.select("view", "shard", "mine", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select("view", "shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp")
+        dealt = rows.repartition(parts, "view", "shard", "i", "j").sortWithinPartitions("view", "shard", "i", "j", "fp")
+        return dealt.mapInArrow(trimmed(_search(radius)), "view int, a long, b long")
+
+    out = save_parts(map(found, some), "near-found")
+    discard(large)
+    return out
+
+
+def row_passes(rows: int, most: int = PASS_ROWS) -> int:
+    """Passes over ``rows`` rows: each takes ``most``, or a ``MOST_PASSES``-th if that is more."""
+    return min(MOST_PASSES, max(1, -(-rows // most)))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
@@ -225,7 +244,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = save(src.mapInArrow(trimmed(_fingerprints(words)), "row_id long, doc_id long, fp long"), "simhash-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")
     nodes = save(rows.groupBy("fp").agg(F.min(rank).alias("low")), "simhash-nodes")
-    links = save(near_links(nodes.select(F.lit(0).alias("view"), "fp"), radius).select("a", "b"), "simhash-links")
+    links = near_links(nodes.select(F.lit(0).alias("view"), "fp"), radius).select("a", "b")
     roots = connected_components(links)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = save(rooted, "simhash-roots")
@@ -382,41 +401,64 @@ def _block_links(similarity: float):
     return run
 
 
-def block_links(met: DataFrame, known: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+def block_links(met: DataFrame, known: DataFrame, groups: DataFrame, similarity: float, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(a, b) links that connect exactly the roots of near sets in each group, at most one less than the roots of a cell.
 
-    ``met`` has (row_id, key, root, open), ``known`` the sets by row_id and
+    ``met`` has (row_id, n, key, root, open), ``known`` the sets by row_id and
     ``groups`` (key, rows, opens): blocks of all members and of the open ones.
-    Every block of open sets meets every block of its group in one cell.
+    Every block of open sets meets every block of its group in one cell.  The
+    cells are gone through in passes of about ``pass_bytes`` bytes, and written.
     """
     at = lambda n, salt: F.pmod(F.xxhash64("row_id", F.lit(salt)), F.col(n))
     cell = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
     to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     mine = F.when(F.col("open"), F.transform(to("rows"), lambda j: cell(0, at("opens", 7), j)))
     cells = F.concat(F.coalesce(mine, F.array().cast("array<struct<side:int,i:bigint,j:bigint>>")), F.transform(to("opens"), lambda i: cell(1, i, at("rows", 13))))
-    rows = met.join(groups, "key").join(known, "row_id").select("key", "row_id", "root", "shingles", F.inline(cells))
+    rows = save(met.join(F.broadcast(groups), "key").select("key", "row_id", "n", "root", F.inline(cells)), "near-cells")
+    passes = byte_passes(rows.agg(F.sum("n")).first()[0], pass_bytes)
     parts = shuffle_partitions(met.sparkSession)
-    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(trimmed(_block_links(similarity)), "a long, b long")
+
+    def found(p: int) -> DataFrame:
+        some = rows.where(F.pmod(F.xxhash64("key", "i", "j", F.lit(17)), F.lit(passes)) == p).drop("n")
+        # only the sets that a pass needs are shuffled
+        asked = known if passes == 1 else rows_among(known, "row_id", some)
+        dealt = some.join(asked, "row_id").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.mapInArrow(trimmed(_block_links(similarity)), "a long, b long")
+
+    out = save_parts(map(found, range(passes)), "near-links")
+    discard(rows)
+    return out
+
+
+def _dealt(df: DataFrame, column: str, passes: int) -> Iterator[DataFrame]:
+    """``df`` in parts by the hash of ``column``."""
+    return (df.where(F.pmod(F.xxhash64(column, F.lit(19)), F.lit(passes)) == p) for p in range(passes))
+
+
+def byte_passes(hashes: int | None, most: int) -> int:
+    """Passes over sets of ``hashes`` hashes in all, each of about ``most`` bytes."""
+    return max(1, -(-8 * (hashes or 0) // most))
 
 
 def common_shingles(src: DataFrame, words: int, sampled: int = 10_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in three or more of about ``sampled`` rows, sorted, and their counts; only the order of prefixes hangs on them."""
+    """Shingles in three or more of about ``sampled`` rows, or of each 24th if that is more, sorted, and their counts; only the order of prefixes hangs on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column("text"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words)[1].view(np.int64))], ["key"])
 
-    step = max(1, src.count() // sampled)
+    step = min(max(1, src.count() // sampled), 24)
     some = src.where(F.pmod(F.xxhash64("row_id", F.lit(11)), F.lit(step)) == 0)
-    rows = some.select("text").mapInArrow(trimmed(run), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toArrow()
+    found = save(some.select("text").mapInArrow(trimmed(run), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "near-common")
+    rows = found.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    discard(found)
     keys, counts = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 3, radius: int = 4, row: str | None = None, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, views: int = 3, radius: int = 4, row: str | None = None, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS, pass_rows: int = PASS_ROWS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row per input row: row_id, doc_id, component_id, first (as in :func:`simhash_components`).
 
     ``row`` names a column that numbers the rows of a written table; without it
@@ -436,6 +478,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
     only drop pairs that can't reach ``similarity``.  Where more than
     ``group_rows`` rows share one shingle, such pairs are not written out: blocks
     of about ``block_rows`` whole sets meet in tasks, and only links come out.
+    What has to meet in a shuffle meets in passes: each takes about ``pass_rows``
+    rows or ``pass_bytes`` bytes, or a fixed share of the input if that is more,
+    and leaves no shuffle files.
     Texts without words are near duplicates of each other.  A text of any length
     is read whole by one task.  Other columns are not read; an empty table gives
     no rows.
@@ -463,91 +508,119 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, vi
             sets = pa.array([shingle_set(t.as_py(), words)[1].tobytes() for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("row_id"), sets], ["row_id", "shingles"])
 
-    def keep(test):
+    def keep(test, names):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches):
                 ok = [test(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                yield b.select(names).filter(pa.array(ok, pa.bool_()))
 
         return trimmed(run)
 
-    rows = save(src.mapInArrow(trimmed(scan), "row_id long, doc_id long, digest binary, n long, fps array<long>, sketch binary, prefix array<long>"), "near-rows")
+    scanned = save(src.mapInArrow(trimmed(scan), "row_id long, doc_id long, digest binary, n long, fps array<long>, sketch binary, prefix array<long>"), "near-rows")
     # of rows with one set or fingerprint the first by doc_id stands for it, whatever the files' order
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id"))["row_id"]
-    sets = save(rows.groupBy("digest").agg(first.alias("low")), "near-sets")
-    equal = rows.join(sets, "digest").where(F.col("row_id") != F.col("low")).select(F.col("low").alias("a"), F.col("row_id").alias("b"))
-    only = rows.join(sets.select(F.col("low").alias("row_id")), "row_id", "left_semi")
-
-    def asked(df: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The rows of ``df`` in any of the pairs; few enough ids are broadcast, so that texts and sketches aren't shuffled for them."""
-        ids = save(pairs.select(F.col("a").alias("row_id")).unionByName(pairs.select(F.col("b").alias("row_id"))).distinct(), "near-asked")
-        return df.join(F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids, "row_id", "left_semi")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose similarity suffices."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-        pairs = save(pairs, "near-candidates")
-        drawn = asked(rows.select("row_id", "n", "sketch"), pairs)
-        candidates = pairs
-        of = lambda x: drawn.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
-        pairs = save(both.mapInArrow(keep(lambda a, b, n, m: may_be_near(a, b, n, m, similarity)), "a long, b long"), "near-pairs")
-        discard(candidates)
-        known = save(asked(src.select("row_id", "text"), pairs).mapInArrow(trimmed(whole), "row_id long, shingles binary"), "near-shingles")
-        of = lambda x: known.select(F.col("row_id").alias(x), F.col("shingles").alias(f"s{x}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
-        found = save(both.mapInArrow(keep(lambda a, b: jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity), "a long, b long"), "near-links")
-        discard(pairs, known)
-        return found
+    sets = save(scanned.groupBy("digest").agg(first.alias("low")), "near-sets")
+    only = rows_among(scanned, "row_id", sets.select(F.col("low").alias("row_id")))
 
     seen = only.select("row_id", "doc_id", F.posexplode("fps").alias("view", "fp"))
     nodes = save(seen.groupBy("view", "fp").agg(first.alias("low")), "near-nodes")
-    links = near_links(nodes.select("view", "fp"), radius)
+    found = near_links(nodes.select("view", "fp"), radius, pass_rows=pass_rows)
     end = lambda x: nodes.select("view", F.col("fp").alias(x), F.col("low").alias(f"row_{x}"))
-    pairs = links.join(end("a"), ["view", "a"]).join(end("b"), ["view", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    pairs = found.join(end("a"), ["view", "a"]).join(end("b"), ["view", "b"]).select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     same = seen.join(nodes, ["view", "fp"]).where(F.col("row_id") != F.col("low")).select(F.col("low").alias("a"), F.col("row_id").alias("b"))
 
-    shared = only.select("row_id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    shared = save(shared.where("rows > 1").drop("rows"), "near-prefixes")
+    # all rows of a shingle are in one pass
+    sums = only.agg(F.sum("n"), F.sum(F.size("prefix")), F.count(F.lit(1))).first()
+    keyed = only.select("row_id", "n", F.posexplode("prefix").alias("at", "key"))
+    counted = (x.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("key"))) for x in _dealt(keyed, "key", row_passes(sums[1] or 0, pass_rows)))
+    shared = save_parts((x.where("rows > 1").drop("rows") for x in counted), "near-prefixes")
+    passes = row_passes(shared.count(), pass_rows)
+    pass_bytes = max(pass_bytes, 8 * (sums[0] or 0) // PASS_SHARE)
     # neighbours in a group by size, and its first: that connects most of a large group of copies
     order = Window.partitionBy("key").orderBy("n", "row_id")
     ends = [F.struct(f("row_id").over(order).alias("a"), f("n").over(order).alias("n_a")) for f in (F.lag, F.first)]
-    beside = shared.withColumn("o", F.array(*ends)).select("row_id", "n", F.explode("o").alias("o")).where(F.col("o.n_a") >= similarity * F.col("n") - 1e-6).select(F.col("o.a").alias("a"), F.col("row_id").alias("b"))
-    links = verified(pairs.unionByName(same).unionByName(beside))
+    beside = (x.withColumn("o", F.array(*ends)).select("row_id", "n", F.explode("o").alias("o")).where(F.col("o.n_a") >= similarity * F.col("n") - 1e-6) for x in _dealt(shared, "key", passes))
+    beside = (x.select(F.col("o.a").alias("a"), F.col("row_id").alias("b")) for x in beside)
+    near = save_parts((x.distinct() for x in chain((pairs, same), beside)), "near-beside")
+    rows = save(scanned.select("row_id", "doc_id", "digest", "n", "sketch"), "near-rows")
+    discard(scanned, nodes, found)
+    equal = rows.join(sets, "digest").where(F.col("row_id") != F.col("low")).select(F.col("low").alias("a"), F.col("row_id").alias("b"))
+
+    def asked(df: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of ``df`` in any of the pairs."""
+        return rows_among(df, "row_id", pairs.select(F.explode(F.array("a", "b")).alias("row_id")))
 
-    def rooted(df: DataFrame) -> DataFrame:
-        return df.join(connected_components(links).withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+    def joined(pairs: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with the columns of both rows."""
+        of = lambda x: known.select(F.col("row_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *(f"{c}_{x}" for c in columns for x in "ab"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose similarity suffices; sketches and sets are joined to them in passes."""
+        candidates = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "near-candidates")
+        # a sketch has up to two bytes a hash
+        of = byte_passes(2 * candidates.count() * (sums[0] or 0) // max(1, sums[2]), 4 * pass_bytes)
+        drawn = rows.select("row_id", "sketch", "n")
+        both = (joined(x, asked(drawn, x), "sketch", "n") for x in _dealt(candidates, "a", of))
+        may = keep(lambda a, b, n, m: may_be_near(a, b, n, m, similarity), ["a", "b", "n_a", "n_b"])
+        left = save_parts((x.mapInArrow(may, "a long, b long, n_a long, n_b long") for x in both), "near-pairs")
+        # whole sets are made anew in each pass
+        of = byte_passes(left.agg(F.sum(F.col("n_a") + F.col("n_b"))).first()[0], pass_bytes)
+        near = keep(lambda a, b: jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity, ["a", "b"])
+
+        def found() -> Iterator[DataFrame]:
+            for some in _dealt(left.select("a", "b"), "a", of):
+                known = save(asked(src.select("row_id", "text"), some).mapInArrow(trimmed(whole), "row_id long, shingles binary"), "near-shingles")
+                yield joined(some, known, "shingles").mapInArrow(near, "a long, b long")
+                discard(known)
+
+        out = save_parts(found(), "near-links")
+        discard(candidates, left)
+        return out
+
+    links = verified(near)
+    discard(near)
+
+    def rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+        return df.join(roots, "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
 
     # then all pairs that aren't connected: one of the two is outside the largest component of its group
-    state = save(rooted(shared), "near-state")
-    main = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
+    roots = connected_components(links).withColumnRenamed("node", "row_id")
+    state = save_parts((rooted(x, roots) for x in _dealt(shared, "row_id", passes)), "near-state")
+    discard(shared)
+    main = (x.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")) for x in _dealt(state, "key", passes))
+    main = (x.groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1") for x in main)
+    main = save_parts((x.select("key", "main") for x in main), "near-main")
+    met = save_parts((x.join(main, "key").select("row_id", "n", "at", "key", "root", (F.col("root") != F.col("main")).alias("open")) for x in _dealt(state, "key", passes)), "near-met")
+    discard(state, main)
     # two sets that share one of the keys before this one have met there, where more was still to come
     before = Window.partitionBy("row_id").orderBy("at")
     prior = [f"prior{i}" for i in range(_PRIOR)]
-    met = state.join(main, "key").select("row_id", "n", "at", "key", "root", (F.col("root") != F.col("main")).alias("open"))
-    met = save(met.withColumns({p: F.lag("key", i + 1).over(before) for i, p in enumerate(prior)}), "near-met")
-    discard(nodes, shared, state)
+    plain, passes = met, row_passes(met.count(), pass_rows)
+    met = save_parts((x.withColumns({p: F.lag("key", i + 1).over(before) for i, p in enumerate(prior)}) for x in _dealt(plain, "row_id", passes)), "near-met")
+    discard(plain)
     # large groups meet in blocks: their pairs grow with the square, their blocks' rows don't become rows of a join
     blocks = lambda some: F.ceil(F.greatest(F.count(some) / block_rows, F.sum(F.when(some, F.col("n"))) / _BLOCK_HASHES))
     large = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), blocks(F.lit(True)).alias("rows"), blocks(F.when(F.col("open"), True)).alias("opens"))
     large = save(large.where(F.col("size") > group_rows).drop("size"), "near-large")
-    inside = met.join(large, "key", "left_semi").select("row_id", "key", "root", "open")
-    ids = inside.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"))
-    known = save(asked(src.select("row_id", "text"), ids).mapInArrow(trimmed(whole), "row_id long, shingles binary"), "near-shingles")
-    links = links.unionByName(save(block_links(inside, known, large, similarity), "near-links"))
+    inside = met.join(F.broadcast(large.select("key")), "key", "left_semi").select("row_id", "n", "key", "root", "open")
+    known = save(rows_among(src.select("row_id", "text"), "row_id", inside).mapInArrow(trimmed(whole), "row_id long, shingles binary"), "near-shingles")
+    links = links.unionByName(block_links(inside, known, large, similarity, pass_bytes))
     discard(known)
-    small = met.join(large, "key", "left_anti")
-    x, y = small.where("open").alias("x"), small.alias("y")
+    small = met.join(F.broadcast(large.select("key")), "key", "left_anti")
     sooner = F.coalesce(F.arrays_overlap(*(F.array(*(F.col(f"{side}.{p}") for p in prior)) for side in "xy")), F.lit(False))
     need = F.ceil((F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6)
     # at the first shingle that two sets share, all that they share is still to come
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     once = ~F.col("y.open") | (F.col("x.row_id") < F.col("y.row_id"))
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.root") != F.col("y.root")) & once & (rest >= need) & ~sooner)
-    links = links.unionByName(verified(pairs.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))))
+    pairs = (z.where("open").alias("x").join(z.alias("y"), F.col("x.key") == F.col("y.key")) for z in _dealt(small, "key", passes))
+    pairs = (z.where((F.col("x.root") != F.col("y.root")) & once & (rest >= need) & ~sooner) for z in pairs)
+    pairs = save_parts((z.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct() for z in pairs), "near-open")
+    links = links.unionByName(verified(pairs))
+    discard(pairs)
 
     links = save(links.unionByName(equal), "near-links")
-    named = save(rooted(rows.select("row_id", "doc_id")), "near-roots")
+    named = save(rooted(rows.select("row_id", "doc_id"), connected_components(links).withColumnRenamed("node", "row_id")), "near-roots")
     discard(rows, sets, met, large, *([] if row else [src]))
     low = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("low"))
     return named.join(low, "root").select("row_id", "doc_id", F.col("low.doc_id").alias("component_id"), (F.col("row_id") == F.col("low.row_id")).alias("first"))

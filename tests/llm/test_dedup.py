@@ -412,6 +412,33 @@ def test_blocks_of_a_large_group_lose_no_link(spark, tmp_path):
     assert blocks == joined
 
 
+def test_passes_find_what_one_pass_finds(spark, tmp_path, monkeypatch):
+    texts, made = _far_edits() + _block_edits(), {}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs, parts = spark.read.parquet(str(tmp_path / "t")), S.save_parts
+
+    def counted(dfs, tag):
+        dfs = list(dfs) if tag not in ("near-links", "near-pairs") else dfs
+        made[tag] = max(made.get(tag, 0), len(dfs)) if isinstance(dfs, list) else 0
+        return parts(dfs, tag)
+
+    monkeypatch.setattr(S, "save_parts", counted)
+    got = []
+    for k in ({}, {"pass_rows": 3000, "pass_bytes": 1 << 19, "group_rows": 40, "block_rows": 32}):
+        monkeypatch.setattr(S, "PASS_SHARE", 1 << 20)
+        made.clear()
+        got.append({r.doc_id: r.component_id for r in S.near_duplicates(docs, **k).collect()})
+    assert got[0] == got[1] and made["near-found"] > 1 and made["near-prefixes"] > 1 and made["near-state"] > 1
+
+
+def test_shards_hang_on_the_size_of_one_view(spark, monkeypatch):
+    asked, bands = [], S.band_count
+    monkeypatch.setattr(S, "band_count", lambda n, radius: asked.append(n) or bands(n, radius))
+    fps = spark.range(300).select((F.col("id") % 3).cast("int").alias("view"), F.xxhash64("id").alias("fp"))
+    S.near_links(fps, pass_rows=200)
+    assert asked == [100]  # three views of 100 fingerprints: 15 rows each, not 45 as at three times that size
+
+
 def test_overlaps_count_what_sets_share():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 9000, int(n)).astype(np.uint64)) for n in rng.integers(0, 7000, 12)] + [np.zeros(0, np.uint64)]

@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -67,3 +68,14 @@ def test_edge_and_empty(spark, data, edge, empty):
             docs = stage(spark, docs, f"{data}/sf0.001")
             assert docs.columns == columns or name == "pack_pow2"
         assert (docs.count() > 0) == some
+
+
+def test_stages_leave_no_copy_of_the_table(spark, data, tmp_path):
+    size = lambda path: sum(f.stat().st_size for f in Path(path.removeprefix("file://")).rglob("*.parquet"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet").repartition(1)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, before = spark.read.parquet(str(tmp_path / "docs")), size(shared)
+    for name in ("exact_dedup", "simhash_near_dedup"):
+        dict(C.STAGES)[name](spark, docs, f"{data}/sf0.01").write.parquet(str(tmp_path / name))
+    assert size(shared) - before < size(str(tmp_path / "docs")) / 2

@@ -1,5 +1,7 @@
 """Results hang on the rows alone, not on how a scan is split; samples are bounded by rows."""
 
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from strandloom.llm import language_id as L
 from strandloom.llm import quality as Q
-from strandloom.llm.common import fresh, heavy_join, identified
+from strandloom.llm.common import fresh, heavy_join, identified, rows_among, save
 from strandloom.llm.mixing import mix_sources, taken_words
 from strandloom.llm.simhash import near_duplicates
 from strandloom.llm.substring_dedup import substring_dedup
@@ -121,3 +123,37 @@ def test_near_copies_agree_with_and_without_numbers(spark, sample):
     a = near_duplicates(docs, row=row).select("doc_id", "component_id", "first")
     assert _rows(a) == _rows(near_duplicates(sample).select("doc_id", "component_id", "first"))
     assert np.isfinite(a.count())
+
+
+def test_numbers_of_files_hang_on_no_split_and_need_no_copy(spark, tmp_path):
+    path = str(tmp_path / "some docs")
+    spark.range(700).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.lit(1).alias("file_of_row")).repartition(5).write.parquet(path)
+    setting, got = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(setting)
+    try:
+        for size in (before, "700"):
+            spark.conf.set(setting, size)
+            out, row = identified(spark.read.parquet(path))
+            assert out.columns == ["doc_id", "text", "file_of_row", row] and all(path.replace(" ", "%20") in f for f in out.inputFiles())
+            got.append({r.doc_id: r[row] for r in out.collect()})
+            some = rows_among(out, row, out.where("doc_id % 3 = 1").select(F.col(row).alias("row_id")))
+            assert some.columns == out.columns and sorted(r.doc_id for r in some.collect()) == list(range(1, 700, 3))
+    finally:
+        spark.conf.set(setting, before)
+    assert got[0] == got[1] and len(set(got[0].values())) == 700
+    # the same file twice, and rows that are not a file's
+    for df in (spark.read.parquet(path, path), spark.read.parquet(path).where("doc_id < 9")):
+        out, row = identified(df)
+        assert not any("some" in f for f in out.inputFiles()) and out.select(row).distinct().count() == df.count()
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before = files()
+    counts = [spark.range(5000).groupBy((F.col("id") % (900 + i)).alias("k")).count() for i in range(3)]
+    saved = [save(c.repartition(3, "count"), "counts") for c in counts]
+    for _ in range(50):  # they go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and [x.count() for x in saved] == [900, 901, 902]
