@@ -11,6 +11,7 @@ from strandloom.functions import scalars as S
 from strandloom.functions import strings as T
 from strandloom.operators import aggregates as A
 from strandloom.operators import batch as B
+from strandloom.operators import baselines as BL
 from strandloom.operators import graph as G
 from strandloom.operators import joins as J
 from strandloom.operators import ordered as O
@@ -307,6 +308,29 @@ def test_two_columns_take_rows_with_equal_keys_and_skip_gaps(spark, tmp_path):
     assert share == round((1 + abs(np.corrcoef(q, p)[0, 1])) / 2, 4)
 
 
+def test_two_columns_take_one_pass_and_shuffle_no_rows(spark, tmp_path):
+    from strandloom.plans.queries import QUERIES
+
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    tracker = spark.sparkContext.statusTracker()
+    for name, rows in (("many", [(i, 1, float(i * 37 % 50), float(i * 91 % 977)) for i in range(3000)]), ("none", []), ("one", [(1, 1, 2.0, 3.0)]), ("constant", [(i, 1, 2.0, float(i)) for i in range(9)])):
+        spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        spark.sparkContext.setJobGroup(f"pca-{name}", name)
+        try:
+            share = QUERIES["pca_two_columns"](spark, f"{tmp_path}/{name}").first()[0]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        if name == "many":
+            q, p = np.array(rows)[:, 2:].T
+            assert share == round((1 + abs(np.corrcoef(q, p)[0, 1])) / 2, 4)
+            assert len(tracker.getJobIdsForGroup("pca-many")) <= 5  # listing, one pass, the answer; rounds over long rows take dozens
+        else:  # as corr() in SQL: null without rows, NaN without variance
+            assert share is None if name == "none" else np.isnan(share)
+    _, shares = BL.pca_columns(spark.read.parquet(f"{tmp_path}/many/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_orderkey"], 3)
+    want = np.linalg.eigvalsh(np.corrcoef(np.array([(r[2], r[3], r[0]) for r in [(i, 1, float(i * 37 % 50), float(i * 91 % 977)) for i in range(3000)]]).T))[::-1] / 3
+    assert np.allclose(shares, want)
+
+
 def test_no_task_makes_most_pairs_of_a_product(spark):
     x, y = np.arange(1200).reshape(400, 3) % 17 / 4, np.arange(90).reshape(3, 30) % 13 / 8
     a = spark.createDataFrame([(i, k, float(x[i, k])) for i in range(400) for k in range(3)], "i int, k int, v double")
